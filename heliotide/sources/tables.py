@@ -64,7 +64,7 @@ def read_table(
     path: str,
     keys: Sequence[str] = (),
     order: str | None = None,
-    schema: T.StructType | None = None,
+    schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """Current content.
 
