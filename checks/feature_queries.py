@@ -186,8 +186,8 @@ def _(spark, folder):
 PAST = ["y_lag_t-1", "y_lag_t-24", "y_ma_6", "y_volatility_6", "y_ramp_6", "y_ma_24", "y_volatility_24", "y_ramp_24"]
 PAST_SQL = """
   lag(y, 1) OVER w AS "y_lag_t-1", lag(y, 24) OVER w AS "y_lag_t-24",
-  avg(y) OVER (w6) AS y_ma_6, stddev_samp(y) OVER (w6) AS y_volatility_6, lag(y, 1) OVER w - lag(y, 7) OVER w AS y_ramp_6,
-  avg(y) OVER (w24) AS y_ma_24, stddev_samp(y) OVER (w24) AS y_volatility_24, lag(y, 1) OVER w - lag(y, 25) OVER w AS y_ramp_24"""
+  avg(y) OVER w6 AS y_ma_6, stddev_samp(y) OVER w6 AS y_volatility_6, lag(y, 1) OVER w - lag(y, 7) OVER w AS y_ramp_6,
+  avg(y) OVER w24 AS y_ma_24, stddev_samp(y) OVER w24 AS y_volatility_24, lag(y, 1) OVER w - lag(y, 25) OVER w AS y_ramp_24"""
 PAST_W = W + """,
   w6 AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING),
   w24 AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)"""
@@ -199,25 +199,25 @@ def past(spark, folder, grid="rows"):
 
 @query("past_features", f"""
 WITH {v.PROD}, f AS (SELECT series_id, ts, y, {PAST_SQL} FROM prod {PAST_W})
-SELECT series_id, ts, {rs(['y', *PAST])} FROM f""")
+SELECT series_id, ts, {rs(['y', *PAST], 8)} FROM f""")
 def _(spark, folder):
-    return rounded(past(spark, folder), "y", *PAST)
+    return rounded(past(spark, folder), "y", *PAST, places=8)
 
 
 @query("past_features_by_hour", f"""
 WITH {v.GRID}, f AS (SELECT series_id, ts, y, {PAST_SQL} FROM grid {PAST_W})
-SELECT series_id, ts, {rs(['y', *PAST])} FROM f WHERE y IS NOT NULL""")
+SELECT series_id, ts, {rs(['y', *PAST], 8)} FROM f WHERE y IS NOT NULL""")
 def _(spark, folder):
-    return rounded(past(spark, folder, "hours"), "y", *PAST)
+    return rounded(past(spark, folder, "hours"), "y", *PAST, places=8)
 
 
 @query("past_features_per_user", f"""
 WITH prod AS (SELECT CAST(user_id AS VARCHAR) AS series_id, date_trunc('hour', ts) AS ts, avg(value) AS y FROM events GROUP BY 1, 2),
 f AS (SELECT series_id, ts, y, {PAST_SQL} FROM prod {PAST_W})
-SELECT series_id, ts, {rs(['y', *PAST])} FROM f""")
+SELECT series_id, ts, {rs(['y', *PAST], 8)} FROM f""")
 def _(spark, folder):
     hourly = align.hourly_mean(v.records(spark, folder, "user_id"), ["y"])
-    return rounded(features.add_past_features(hourly, ["y"], [1, 24], [6, 24]), "y", *PAST)
+    return rounded(features.add_past_features(hourly, ["y"], [1, 24], [6, 24]), "y", *PAST, places=8)
 
 
 @query("latest_feature_row", f"""
@@ -225,10 +225,10 @@ WITH {v.PROD}, f AS (SELECT series_id, ts, y, {PAST_SQL} FROM prod {PAST_W}),
 t AS (SELECT *, round(sin(2 * pi() * month(ts) / 12), 5) AS month_sin, round(cos(2 * pi() * month(ts) / 12), 5) AS month_cos,
   round(sin(2 * pi() * hour(ts) / 24), 5) AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 5) AS hour_cos,
   row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS n FROM f)
-SELECT series_id, ts, {rs(['y', *PAST])}, month_sin, month_cos, hour_sin, hour_cos FROM t WHERE n = 1""")
+SELECT series_id, ts, {rs(['y', *PAST], 8)}, month_sin, month_cos, hour_sin, hour_cos FROM t WHERE n = 1""")
 def latest_feature_row(spark, folder):
     table = features.add_time_features(past(spark, folder), {"month": 12, "hour": 24})
-    return rounded(shape.last_row(table), "y", *PAST)
+    return rounded(shape.last_row(table), "y", *PAST, places=8)
 
 
 FORECAST = ["y_t+1", "y_t+12", "y_delta_t+1_t", "y_delta_t+24_t"]

@@ -196,23 +196,23 @@ cut AS (SELECT * FROM weekly WHERE day < DATE '1998-06-01')"""
 
 
 @query("cumulative_capacity", f"""
-WITH {CAPACITY} SELECT series_id, day, {r('capacity', 'capacity', 4)} FROM level WHERE day >= DATE '1996-01-01' AND day < DATE '1998-06-01'""")
+WITH {CAPACITY} SELECT series_id, day, {r('capacity', 'capacity', 7)} FROM level WHERE day >= DATE '1996-01-01' AND day < DATE '1998-06-01'""")
 def _(spark, folder):
     level = capacity.cumulative_capacity(daily_power(spark, folder), "1996-01-01", "1998-06-01")
-    return rounded(level, "capacity", places=4)
+    return rounded(level, "capacity", places=7)
 
 
-@query("weekly_capacity", f"WITH {CAPACITY} SELECT series_id, day, {r('capacity', 'capacity', 4)} FROM cut")
+@query("weekly_capacity", f"WITH {CAPACITY} SELECT series_id, day, {r('capacity', 'capacity', 7)} FROM cut")
 def _(spark, folder):
-    return rounded(capacity.weekly_capacity(daily_power(spark, folder), "1996-01-01", "1998-06-01"), "capacity", places=4)
+    return rounded(capacity.weekly_capacity(daily_power(spark, folder), "1996-01-01", "1998-06-01"), "capacity", places=7)
 
 
 @query("hourly_capacity", f"""
 WITH {CAPACITY}, nxt AS (SELECT series_id, day, capacity, coalesce(lead(day) OVER (PARTITION BY series_id ORDER BY day), day + 1) AS until FROM cut)
 SELECT series_id, unnest(generate_series(CAST(day AS TIMESTAMP), CAST(until AS TIMESTAMP) - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS ts,
-  {r('capacity', 'capacity', 4)} FROM nxt""")
+  {r('capacity', 'capacity', 7)} FROM nxt""")
 def _(spark, folder):
-    return rounded(capacity.hourly_capacity(daily_power(spark, folder), "1996-01-01", "1998-06-01"), "capacity", places=4)
+    return rounded(capacity.hourly_capacity(daily_power(spark, folder), "1996-01-01", "1998-06-01"), "capacity", places=7)
 
 
 # --- statistics -----------------------------------------------------------
@@ -323,7 +323,7 @@ WITH {v.PROD}, t AS (SELECT series_id, ts, y, CASE WHEN count(y) OVER f = 25 THE
   h AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 11 PRECEDING AND 12 FOLLOWING)),
 m AS (SELECT series_id, hour(ts) AS hr, avg(y - trend) AS raw FROM t GROUP BY 1, 2),
 s AS (SELECT series_id, hr, raw - avg(raw) OVER (PARTITION BY series_id) AS seasonal FROM m)
-SELECT t.series_id, t.ts, {r('y', 'y')}, {r('trend', 'trend')}, {r('seasonal', 'seasonal')}, {r('y - trend - seasonal', 'remainder')}
+SELECT t.series_id, t.ts, {r('y', 'y', 9)}, {r('trend', 'trend', 9)}, {r('seasonal', 'seasonal', 9)}, {r('y - trend - seasonal', 'remainder', 9)}
 FROM t JOIN s ON s.series_id = t.series_id AND s.hr = hour(t.ts)""")
 def _(spark, folder):
-    return rounded(stats.decompose_additive(v.prod(spark, folder), "y"), "y", "trend", "seasonal", "remainder")
+    return rounded(stats.decompose_additive(v.prod(spark, folder), "y"), "y", "trend", "seasonal", "remainder", places=9)

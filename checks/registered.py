@@ -26,7 +26,11 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
-    """Both sides round computed doubles, whose last bits depend on summation order."""
+    """Both sides round computed doubles, whose last bits depend on summation order.
+
+    The number of places is chosen so that exact halves cannot occur: means of
+    values in hundredths end after a few decimals.
+    """
     return df.select([
         F.round(F.col(f"`{c}`").cast("double"), places).alias(c) if c in columns else F.col(f"`{c}`")
         for c in df.columns

@@ -272,14 +272,13 @@ def _(spark, folder):
 # --- evaluation -----------------------------------------------------------
 
 WALK = f"""
-{v.PROD}, n AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n,
-  avg(y) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS ma FROM prod {W}),
-o AS (SELECT series_id, pos AS origin, n FROM n WHERE pos >= 48 AND pos < n - 24),
-walk AS (SELECT o.series_id, last.ts AS origin_ts, CAST(h AS INTEGER) AS horizon, t.ts AS target_ts, t.y AS actual, base.y AS baseline, last.ma AS prediction, origin
-  FROM o CROSS JOIN (SELECT unnest(range(1, 25)) AS h)
-  JOIN n t ON t.series_id = o.series_id AND t.pos = origin + h - 1
-  JOIN n base ON base.series_id = o.series_id AND base.pos = origin + h - 25
-  JOIN n last ON last.series_id = o.series_id AND last.pos = origin - 1)"""
+{v.PROD}, n AS (SELECT series_id, ts, row_number() OVER w AS origin, count(*) OVER (PARTITION BY series_id) AS n,
+  avg(y) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS ma,
+  list(ts) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) AS target_ts,
+  list(y) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) AS actual,
+  list(y) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS baseline FROM prod {W}),
+o AS (SELECT *, CAST(unnest(range(1, 25)) AS INTEGER) AS h FROM n WHERE origin >= 48 AND origin < n - 24),
+walk AS (SELECT series_id, ts AS origin_ts, h AS horizon, target_ts[h] AS target_ts, actual[h] AS actual, baseline[h] AS baseline, ma AS prediction, origin FROM o)"""
 
 
 @query("walk_forward", f"WITH {WALK} SELECT series_id, origin_ts, horizon, target_ts, {rs(['actual', 'baseline'])} FROM walk")
@@ -372,11 +371,11 @@ def _(spark, folder):
 @query("rescaled_text_predictions", f"""
 WITH {LONG}, q AS (SELECT series_id, arg_max(y, ts) AS q FROM prod GROUP BY 1)
 SELECT long.series_id, strftime(predicted_at, '%Y-%m-%d %H:%M:%S') AS predicted_at, strftime(forecast_horizon, '%Y-%m-%d %H:%M:%S') AS forecast_horizon,
-  {r('predicted_value * q', 'predicted_value', 3)} FROM long JOIN q ON q.series_id = long.series_id""")
+  {r('predicted_value * q', 'predicted_value', 10)} FROM long JOIN q ON q.series_id = long.series_id""")
 def _(spark, folder):
     factors = v.prod(spark, folder).select(SERIES, F.col("y").alias("p99_value"), F.col(TS).alias("computed_at"))
     scaled = publish.rescale_predictions(published(spark, folder), factors)
-    return rounded(publish.with_text_times(scaled), "predicted_value", places=3)
+    return rounded(publish.with_text_times(scaled), "predicted_value", places=10)
 
 
 @query("non_negative_values", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer")

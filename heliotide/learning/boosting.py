@@ -131,22 +131,17 @@ def fold_table(
     to the shared folder: every trial reads it and no trial recomputes it.
     """
     split = expanding_folds(labelled, folds)
-    parts = None
-    for fold in range(1, folds + 1):
-        rows = split.where(F.col("fold") == fold)
-        scaled = _scale_rows(SeriesNormaliser(covariates, target).fit(rows.where("role = 'train'")), rows)
-        parts = scaled if parts is None else parts.unionByName(scaled)
-    table = assemble(parts, features)
+    # each fold is a series of its own, so one normaliser pass serves all folds
+    keyed = split.withColumn(SERIES, F.concat_ws("#", "fold", SERIES))
+    model = SeriesNormaliser(covariates, target).fit(keyed.where("role = 'train'"))
+    table = assemble(_scale_rows(model, keyed), features)
     return cut_lineage(table.select("fold", "role", "inputs", "label", "actual", "denominator"))
 
 
 def _scale_rows(model: SeriesNormaliserModel, rows: DataFrame) -> DataFrame:
     """Scaled features, normalised ``label``, and ``actual``/``denominator`` to undo it."""
-    keys = [c for c in (SERIES, TS, "fold") if c in rows.columns]
-    scaled = model.transform(rows.drop("label"))
-    labels = model.with_denominator(rows.select(*keys, F.col("label").alias("actual")))
-    joined = scaled.join(labels, keys)
-    return joined.withColumn("label", F.try_divide("actual", "denominator"))
+    scaled = model.scale(rows.withColumnRenamed("label", "actual"), as_is=["fold", "role", "actual"])
+    return scaled.withColumn("label", F.try_divide("actual", "denominator"))
 
 
 def search(
@@ -247,7 +242,9 @@ def train_horizons(
     shifted once. Features are selected once per training set.
     """
     config = config or TrainingConfig()
+    df = cut_lineage(df)
     normaliser = SeriesNormaliser(covariates, target).fit(df)
+    normaliser.denominators = cut_lineage(normaliser.denominators)
     scaled = cut_lineage(normaliser.transform(df))
     points = sample_params(config.ranges, config.trials, config.seed)
     selected, models = {}, {}
@@ -263,6 +260,6 @@ def train_horizons(
         folds = fold_table(labelled, chosen, covariates, target, config.folds)
         rmse, params = search(folds, config.folds, points, config.parallel)
         final = assemble(_scale_rows(normaliser, labelled), chosen).where("label is not null")
-        trees = regressor(params, config.seed).fit(final.select("inputs", "label"))
+        trees = regressor(params, config.seed).fit(cut_lineage(final.select("inputs", "label")))
         models[h] = HorizonModel(h, name, chosen, trees, rmse, params)
     return MultiHorizonModel(normaliser, models)

@@ -92,6 +92,8 @@ def _rolling_in_chunks(df, value, window, q, min_values, chunk_rows) -> DataFram
 
 def column_bounds(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (SERIES,)) -> DataFrame:
     """Minimum and maximum of each column per series."""
+    if not columns:
+        return df.select(*keys).distinct()
     return df.groupBy(*keys).agg(
         *[F.min(c).alias(f"{c}_min") for c in columns], *[F.max(c).alias(f"{c}_max") for c in columns]
     )
@@ -154,7 +156,12 @@ class SeriesNormaliserModel(Model):
         ).drop("last_denominator")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        derived = target_columns(dataset.columns, self.target)
+        return self.scale(dataset).drop("denominator")
+
+    def scale(self, dataset: DataFrame, as_is: Sequence[str] = ()) -> DataFrame:
+        """Scaled columns and the ``denominator`` of each row; ``as_is`` columns pass unscaled."""
+        passed = {SERIES, TS, *as_is}
+        derived = [c for c in target_columns(dataset.columns, self.target) if c not in passed]
         scaled = [c for c in self.covariates if c in dataset.columns]
         wide = attach(self.with_denominator(dataset), self.bounds)
 
@@ -164,7 +171,7 @@ class SeriesNormaliserModel(Model):
                 out = min_max(c, F.col(f"{c}_min"), F.col(f"{c}_max"))
             return (F.try_divide(out, F.col("denominator")) if c in derived else out).alias(c)
 
-        return wide.select(*[column(c) for c in dataset.columns])
+        return wide.select(*[column(c) for c in dataset.columns], "denominator")
 
     def transform_y(self, df: DataFrame, y: str) -> DataFrame:
         divided = F.try_divide(F.col(y), F.col("denominator"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -136,28 +135,22 @@ def _centred(df: DataFrame, values: Sequence[str]) -> DataFrame:
     return joined.select(SERIES, TS, *[(F.col(v) - F.col(f"_m_{v}")).alias(v) for v in values])
 
 
-def _unpivot(df: DataFrame, names: dict[tuple, str], id_types: Sequence[str], value: str) -> DataFrame:
-    lines = [
-        F.struct(*[F.lit(part).alias(label) for part, label in zip(key, id_types)], F.col(col).alias(value))
-        for key, col in names.items()
-    ]
-    return df.select(SERIES, F.inline(F.array(*lines)))
-
-
 def autocorrelation(df: DataFrame, value: str, lags: int = 96) -> DataFrame:
     """``(series_id, lag, acf)`` for lags 0..``lags`` by row.
 
-    The series must have no missing values; fill them first.
+    Missing values count as the mean; fill them first if that is not wanted.
     """
-    centred = _centred(df, [value])
-    shifted = over_rows(
-        centred, lambda w: {f"p{k}": F.col(value) * F.lag(value, k).over(w) for k in range(lags + 1)}, back=lags
-    )
-    sums = shifted.groupBy(SERIES).agg(
-        F.sum("p0").alias("_p"), *[F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"p{k}") for k in range(lags + 1)]
+    centred = _centred(df, [value]).fillna(0.0, [value])
+    # newest first: the element at position k lies k rows back
+    framed = over_rows(
+        centred,
+        lambda w: {"_back": F.reverse(F.collect_list(value).over(w.rowsBetween(-lags, 0)))},
+        back=lags,
     )
-    scaled = sums.select(SERIES, *[F.try_divide(f"p{k}", "_p").alias(f"p{k}") for k in range(lags + 1)])
-    return _unpivot(scaled, {(k,): f"p{k}" for k in range(lags + 1)}, ["lag"], "acf")
+    pairs = framed.select(SERIES, value, F.posexplode("_back").alias("lag", "_x"))
+    sums = pairs.groupBy(SERIES, "lag").agg(F.sum(F.col(value) * F.col("_x")).alias("_p"))
+    variance = sums.where("lag = 0").select(SERIES, F.col("_p").alias("_p0"))
+    return sums.join(variance, SERIES).select(SERIES, "lag", F.try_divide("_p", "_p0").alias("acf"))
 
 
 def partial_autocorrelation(acf: DataFrame) -> DataFrame:
@@ -188,20 +181,24 @@ def cross_correlation(df: DataFrame, covariates: Sequence[str], target: str, lag
     Unadjusted, population deviations, lags 0..``lags - 1``.
     """
     values = list(dict.fromkeys([*covariates, target]))
-    centred = _centred(df, values)
-    names = {(c, k): f"c{i}_{k}" for i, c in enumerate(covariates) for k in range(lags)}
-    shifted = over_rows(
-        centred, lambda w: {n: F.lead(c, k).over(w) * F.col(target) for (c, k), n in names.items()}, ahead=lags - 1
+    centred = _centred(df, values).fillna(0.0, values)
+    row = F.struct(*covariates)
+    framed = over_rows(
+        centred, lambda w: {"_on": F.collect_list(row).over(w.rowsBetween(0, lags - 1))}, ahead=lags - 1
     )
-    sums = shifted.groupBy(SERIES).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.stddev_pop(v).alias(f"_s_{v}") for v in values],
-        *[F.sum(n).alias(n) for n in names.values()],
+    pairs = framed.select(SERIES, F.col(target).alias("_y"), F.posexplode("_on").alias("lag", "_x"))
+    sums = pairs.groupBy(SERIES, "lag").agg(*[F.sum(F.col("_y") * F.col(f"_x.{c}")).alias(c) for c in covariates])
+    long = sums.unpivot([SERIES, "lag"], list(covariates), "covariate", "_p")
+    spreads = centred.groupBy(SERIES).agg(
+        F.count(F.lit(1)).alias("_n"), F.stddev_pop(target).alias("_sy"),
+        F.map_from_arrays(
+            F.array(*[F.lit(c) for c in covariates]), F.array(*[F.stddev_pop(c) for c in covariates])
+        ).alias("_sx"),
+    )
+    scale = F.col("_n") * F.col("_sy") * F.col("_sx")[F.col("covariate")]
+    return long.join(spreads, SERIES).select(
+        SERIES, "covariate", "lag", F.try_divide("_p", scale).alias("ccf")
     )
-    scaled = sums.select(SERIES, *[
-        F.try_divide(F.coalesce(F.col(n), F.lit(0.0)), F.col("_n") * F.col(f"_s_{c}") * F.col(f"_s_{target}")).alias(n)
-        for (c, _), n in names.items()
-    ])
-    return _unpivot(scaled, names, ["covariate", "lag"], "ccf")
 
 
 def decompose_additive(df: DataFrame, value: str, period: int = 24) -> DataFrame:

@@ -152,8 +152,11 @@ def load_training_table(spark: SparkSession, path: str, zone: str = "Europe/Pari
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """CSV with a header."""
-    df.write.option("header", True).option("sep", sep).csv(path)
+    """CSV with a header; times keep their microseconds."""
+    df.write.options(
+        header=True, sep=sep,
+        timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    ).csv(path)
 
 
 def write_feature_sets(spark: SparkSession, sets: dict[str, Sequence[str]], path: str) -> None:
