@@ -127,7 +127,7 @@ def interpolate(df: DataFrame, values: Sequence[str], limit: int = 3) -> DataFra
     value is repeated, again at most ``limit`` times; rows before the first
     known value stay missing. Missing means NULL.
     """
-    numbered = number_rows(df, "_pos")
+    numbered = number_rows(df, "_pos", keep_block=True)
     known = {
         v: F.when(F.col(v).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(v).alias("v")))
         for v in values

@@ -14,7 +14,7 @@ from heliotide import SERIES, TS
 from heliotide.functions.calendar import add_hours
 from heliotide.functions.scaling import min_max, target_columns
 from heliotide.operators.ordered import (
-    attach, block_window, in_own_chunk, last_per_key, number_rows, over_rows, spread_chunks,
+    attach, block_window, number_rows, over_rows, spread_chunks,
     with_block_context,
 )
 
@@ -53,7 +53,8 @@ def rolling_quantile(
 
     ``fast`` computes each chunk with pandas, whose rolling quantile updates a
     sorted window instead of sorting every frame anew; otherwise it is Spark's
-    exact ``percentile`` on a row frame.
+    exact ``percentile`` on a row frame. All columns pass through, so select
+    the needed ones first.
     """
     if fast:
         rolled = _rolling_in_chunks(df, value, window, q, min_values, chunk_rows)
@@ -75,19 +76,18 @@ def rolling_quantile(
 
 
 def _rolling_in_chunks(df, value, window, q, min_values, chunk_rows) -> DataFrame:
-    base = number_rows(df.select(SERIES, TS, F.col(value).cast("double").alias("_v")))
-    spread = spread_chunks(base, back=window - 1, chunk_rows=chunk_rows)
-    schema = T.StructType([spread.schema[SERIES], spread.schema[TS], T.StructField("_q", T.DoubleType())])
+    spread = spread_chunks(number_rows(df), back=window - 1, chunk_rows=chunk_rows)
+    schema = T.StructType([*df.schema.fields, T.StructField("_q", T.DoubleType())])
+    names = schema.fieldNames()
 
     def roll(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")
-        part["_q"] = part["_v"].rolling(window, min_periods=min_values).quantile(q)
-        own = part["pos"] // chunk_rows == part["_chunk"]
-        return part.loc[own, [SERIES, TS, "_q"]].astype({"_q": "float64"})
+        values = part[value].astype("float64")
+        part["_q"] = values.rolling(window, min_periods=min_values).quantile(q)
+        return part.loc[part["pos"] // chunk_rows == part["_chunk"], names]
 
     rolled = spread.groupBy(SERIES, "_chunk").applyInPandas(roll, schema)
-    missing = F.when(~F.isnan("_q"), F.col("_q"))
-    return df.join(rolled.withColumn("_q", missing), [SERIES, TS])
+    return rolled.withColumn("_q", F.when(~F.isnan("_q"), F.col("_q")))
 
 
 def column_bounds(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (SERIES,)) -> DataFrame:
@@ -148,12 +148,13 @@ class SeriesNormaliserModel(Model):
         self.bounds, self.denominators = bounds, denominators
 
     def with_denominator(self, df: DataFrame) -> DataFrame:
-        at_hour = last_per_key(self.denominators, [SERIES, TS], ["denominator"])
-        matched = df.join(at_hour, [SERIES, TS], "left")
-        filled = attach(matched, last_denominator(self.denominators))
-        return filled.withColumn(
-            "denominator", F.coalesce("denominator", "last_denominator")
-        ).drop("last_denominator")
+        return self._with_stats(df, last_denominator(self.denominators)).drop("last_denominator")
+
+    def _with_stats(self, df: DataFrame, stats: DataFrame) -> DataFrame:
+        """``denominator`` of the hour, else the last one, and the per-series ``stats``."""
+        matched = df.join(self.denominators, [SERIES, TS], "left")
+        filled = F.coalesce("denominator", "last_denominator")
+        return attach(matched, stats).withColumn("denominator", filled)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self.scale(dataset).drop("denominator")
@@ -163,7 +164,8 @@ class SeriesNormaliserModel(Model):
         passed = {SERIES, TS, *as_is}
         derived = [c for c in target_columns(dataset.columns, self.target) if c not in passed]
         scaled = [c for c in self.covariates if c in dataset.columns]
-        wide = attach(self.with_denominator(dataset), self.bounds)
+        stats = self.bounds.join(last_denominator(self.denominators), SERIES, "full_outer")
+        wide = self._with_stats(dataset, stats)
 
         def column(c):
             out = F.col(f"`{c}`")

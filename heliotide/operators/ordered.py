@@ -54,10 +54,11 @@ def with_block_context(
     Each mapping gives output name -> aggregate over one block. ``before_sum``
     adds up the blocks before, ``before_last`` takes the nearest non-null one
     before, ``after_first`` the nearest non-null one after, ``total_sum`` adds
-    up all blocks.
+    up all blocks. A frame that already has ``_block`` keeps it, so steps on
+    the same blocks share one shuffle.
     """
     groups = [before_sum or {}, before_last or {}, after_first or {}, total_sum or {}]
-    blocked = df.withColumn(BLOCK, _block_of(df, ts, block_days))
+    blocked = df if BLOCK in df.columns else df.withColumn(BLOCK, _block_of(df, ts, block_days))
     blocks = blocked.groupBy(*keys, BLOCK).agg(
         *[agg.alias(name) for group in groups for name, agg in group.items()]
     )
@@ -87,6 +88,7 @@ def number_rows(
     keys: Sequence[str] = (SERIES,),
     ts: str = TS,
     block_days: int = BLOCK_DAYS,
+    keep_block: bool = False,
 ) -> DataFrame:
     """0-based position of each row in its series, and its length as ``total``."""
     context = with_block_context(
@@ -102,6 +104,7 @@ def number_rows(
         *df.columns,
         (F.col("_offset") + inside - 1).alias(name),
         *([total] if total else []),
+        *([BLOCK] if keep_block else []),
     )
 
 

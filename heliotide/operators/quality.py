@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliotide import SERIES, TS
-from heliotide.operators.ordered import attach, block_window, over_rows, with_block_context
+from heliotide.operators.ordered import BLOCK, attach, block_window, with_block_context
 from heliotide.operators.quantiles import exact_quantiles
 
 
@@ -159,17 +159,20 @@ def missing_runs(df: DataFrame, value: str, max_gap: int = 3) -> DataFrame:
     ``run_no`` counts all runs of the series, reported or not. ``open`` marks
     a run that reaches the end of the series.
     """
-    missing = F.col(value).isNull()
-    marked = over_rows(
-        df.select(SERIES, TS, missing.alias("_missing")),
-        lambda w: {"_starts": (
-            F.col("_missing") & ~F.coalesce(F.lag("_missing", 1).over(w), F.lit(False))
-        ).cast("int"), "_final": F.lead("_missing", 1).over(w).isNull()},
-        back=1,
-        ahead=1,
+    missing = F.col("_missing")
+    neighbours = with_block_context(
+        df.select(SERIES, TS, F.col(value).isNull().alias("_missing")),
+        before_last={"_prev": F.max_by("_missing", TS)},
+        after_first={"_next": F.min_by("_missing", TS)},
+    )
+    window = block_window()
+    before = F.coalesce(F.lag("_missing", 1).over(window), F.col("_prev"), F.lit(False))
+    marked = neighbours.select(
+        SERIES, TS, "_missing", BLOCK, (missing & ~before).cast("int").alias("_starts"),
+        F.coalesce(F.lead("_missing", 1).over(window), F.col("_next")).isNull().alias("_final"),
     )
     context = with_block_context(marked, before_sum={"_before": F.sum("_starts")})
-    run_no = F.col("_before") + F.sum("_starts").over(block_window())
+    run_no = F.col("_before") + F.sum("_starts").over(window)
     runs = (
         context.withColumn("run_no", run_no)
         .where("_missing")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from heliotide.operators.ordered import attach
 
-SLICES = 64
+SLICES = 256
 
 
 def _counted_slices(df: DataFrame, keys: Sequence[str], value: str, slices: int) -> DataFrame:
@@ -28,8 +28,19 @@ def _counted_slices(df: DataFrame, keys: Sequence[str], value: str, slices: int)
     )
     counted = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     placed = attach(counted, cuts, keys, "inner")
-    below = F.size(F.filter("_cuts", lambda cut: cut <= F.col("_v")))
-    return placed.select(*keys, "_v", "_c", below.alias("_slice"))
+    return placed.select(*keys, "_v", "_c", _cuts_up_to(slices).alias("_slice"))
+
+
+def _cuts_up_to(slices: int) -> Column:
+    """How many of the sorted ``_cuts`` are at most ``_v``, by binary search."""
+    steps = [1 << i for i in reversed(range(slices.bit_length()))]
+    return F.aggregate(
+        F.array(*map(F.lit, steps)),
+        F.lit(0),
+        lambda found, step: F.when(
+            F.get("_cuts", found + step - 1) <= F.col("_v"), found + step
+        ).otherwise(found),
+    )
 
 
 def _slice_ranks(counted: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -18,12 +18,26 @@ from heliotide.operators.split import ordered_split
 from heliotide.plans.feature_tables import (
     FeatureConfig, inference_table, production_table, training_table, weather_table,
 )
+from heliotide.session import cut_lineage
 from heliotide.sources.tables import (
     latest_quantile, load_training_table, read_predictions, read_quantiles, read_table,
     upsert_predictions, upsert_quantiles, write_table,
 )
 
 
+def _staged(
+    records: DataFrame, past: DataFrame, forecast: DataFrame, config: FeatureConfig, **bounds: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hourly production, past weather and forecast, each written once.
+
+    The feature plan refers to them several times; the raw files are scanned
+    only here.
+    """
+    production = cut_lineage(production_table(records, config, **bounds))
+    check_has_values(production, config.target)
+    return production, cut_lineage(weather_table(past, config)), cut_lineage(weather_table(forecast, config))
+
+
 class Layout:
     """Table folders below one root."""
 
@@ -55,8 +69,7 @@ def run_forecast(
 ) -> DataFrame:
     """Features -> stored table -> prediction by the aliased model -> stored predictions."""
     spark = records.sparkSession
-    production = check_has_values(production_table(records, config), config.target)
-    table = inference_table(production, weather_table(past, config), weather_table(forecast, config), config)
+    table = inference_table(*_staged(records, past, forecast, config), config)
     write_table(table, layout.features)
     stored = read_table(spark, layout.features)
     predictions = predict_latest(stored, read_quantiles(spark, layout.quantiles), load_model(spark, layout.root))
@@ -69,8 +82,7 @@ def build_training(
     start: str, end: str,
 ) -> DataFrame:
     """Training table for the closed range, stored."""
-    production = check_has_values(production_table(records, config, start, end), config.target)
-    table = training_table(production, weather_table(past, config), weather_table(forecast, config), config)
+    table = training_table(*_staged(records, past, forecast, config, start=start, end=end), config)
     write_table(table, layout.training)
     return read_table(records.sparkSession, layout.training)
 
