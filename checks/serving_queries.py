@@ -269,6 +269,24 @@ def _(spark, folder):
     return rounded(joined.select(SERIES, "l_orderkey", "l_linenumber", scaled.alias("scaled")), "scaled")
 
 
+@query("sequence_tables", f"""
+WITH {v.BOTH}, n AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n FROM ab {W}),
+p AS (SELECT *, CASE WHEN pos >= floor(n * CAST(0.75 AS DOUBLE)) THEN 'validation' ELSE 'train' END AS role FROM n),
+bounds AS (SELECT series_id, min(a) AS lo, max(a) AS hi FROM p WHERE role = 'train' GROUP BY 1),
+s AS (SELECT role, p.series_id, ts AS start, row_number() OVER k AS i, count(*) OVER f AS n_rows, sum((a - lo) / (hi - lo)) OVER q AS future_a
+  FROM p JOIN bounds USING (series_id) WINDOW k AS (PARTITION BY role, p.series_id ORDER BY ts),
+  f AS (PARTITION BY role, p.series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND 71 FOLLOWING),
+  q AS (PARTITION BY role, p.series_id ORDER BY ts ROWS BETWEEN 48 FOLLOWING AND 71 FOLLOWING))
+SELECT role, series_id, start, {r('future_a', 'future_a')} FROM s WHERE n_rows = 72 AND (i - 1) % 2 = 0""")
+def _(spark, folder):
+    from heliotide.plans.feature_tables import sequence_tables
+
+    train, validation = sequence_tables(v.both_halves(spark, folder), ["a"], ["a"], ["a"], "b", stride=2, window=240)
+    both = train.withColumn("role", F.lit("train")).unionByName(validation.withColumn("role", F.lit("validation")))
+    total = F.aggregate("x_future", F.lit(0.0), lambda acc, x: acc + x[0])
+    return rounded(both.select("role", SERIES, "start", total.alias("future_a")), "future_a")
+
+
 # --- evaluation -----------------------------------------------------------
 
 WALK = f"""

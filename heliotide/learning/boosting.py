@@ -133,7 +133,7 @@ def fold_table(
     split = expanding_folds(labelled, folds)
     # each fold is a series of its own, so one normaliser pass serves all folds
     keyed = split.withColumn(SERIES, F.concat_ws("#", "fold", SERIES))
-    model = SeriesNormaliser(covariates, target).fit(keyed.where("role = 'train'"))
+    model = SeriesNormaliser(covariates, target).fit(keyed.where("role = 'train'")).stored()
     table = assemble(_scale_rows(model, keyed), features)
     return cut_lineage(table.select("fold", "role", "inputs", "label", "actual", "denominator"))
 
@@ -243,8 +243,7 @@ def train_horizons(
     """
     config = config or TrainingConfig()
     df = cut_lineage(df)
-    normaliser = SeriesNormaliser(covariates, target).fit(df)
-    normaliser.denominators = cut_lineage(normaliser.denominators)
+    normaliser = SeriesNormaliser(covariates, target).fit(df).stored()
     scaled = cut_lineage(normaliser.transform(df))
     points = sample_params(config.ranges, config.trials, config.seed)
     selected, models = {}, {}

@@ -17,6 +17,7 @@ from heliotide.operators.ordered import (
     attach, block_window, number_rows, over_rows, spread_chunks,
     with_block_context,
 )
+from heliotide.session import cut_lineage
 
 WINDOW_ROWS = 90 * 24
 MIN_VALUES = 24
@@ -53,8 +54,8 @@ def rolling_quantile(
 
     ``fast`` computes each chunk with pandas, whose rolling quantile updates a
     sorted window instead of sorting every frame anew; otherwise it is Spark's
-    exact ``percentile`` on a row frame. All columns pass through, so select
-    the needed ones first.
+    exact ``percentile`` on a row frame, the better choice for very many short
+    series. All columns pass through, so select the needed ones first.
     """
     if fast:
         rolled = _rolling_in_chunks(df, value, window, q, min_values, chunk_rows)
@@ -147,6 +148,14 @@ class SeriesNormaliserModel(Model):
         self.covariates, self.target = covariates, target
         self.bounds, self.denominators = bounds, denominators
 
+    def stored(self) -> SeriesNormaliserModel:
+        """The same model with its denominators written to the shared folder.
+
+        For a model that is used more than once; otherwise every use computes
+        the rolling quantile again.
+        """
+        return SeriesNormaliserModel(self.covariates, self.target, self.bounds, cut_lineage(self.denominators))
+
     def with_denominator(self, df: DataFrame) -> DataFrame:
         return self._with_stats(df, last_denominator(self.denominators)).drop("last_denominator")
 

@@ -43,14 +43,22 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(a, b, spearman)`` over rows complete in all columns.
 
-    Equal rows are merged first. Ranks are looked up per distinct value with
-    the value salted, so a value held by most rows does not form one task.
+    Equal rows are merged first, then all columns are ranked in one pass. Ranks
+    are looked up per distinct value with the value salted, so a value held by
+    most rows does not form one task.
     """
-    complete = df.select(*columns).dropna()
-    ranked = complete.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    for i, c in enumerate(columns):
-        ranks = average_ranks(complete, [], c).withColumnRenamed("avg_rank", f"_rank{i}")
-        ranked = attach(ranked, ranks, [c], "inner", salts=4)
+    rows = df.select(F.struct(*columns).alias("_row")).where(
+        " AND ".join(f"_row.`{c}` IS NOT NULL" for c in columns)
+    ).groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.col(f"_row.{c}").cast("double").alias("_x")) for i, c in enumerate(columns)
+    ])
+    long = rows.select("_row", "_n", F.inline(cells))
+    ranks = average_ranks(long.select("_i", "_x", "_n"), ["_i"], "_x", weight="_n")
+    placed = attach(long, ranks, ["_i", "_x"], "inner", salts=4)
+    ranked = placed.groupBy("_row").agg(F.max("_n").alias("_n"), *[
+        F.max(F.when(F.col("_i") == i, F.col("avg_rank"))).alias(f"_rank{i}") for i in range(len(columns))
+    ])
     return _pair_table(ranked, {c: f"_rank{i}" for i, c in enumerate(columns)}, "spearman", "_n")
 
 

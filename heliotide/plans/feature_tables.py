@@ -6,13 +6,18 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from heliotide import SERIES, TS
 from heliotide.operators.align import between_times, clip_to, hourly_mean, join_hourly
-from heliotide.operators.features import add_forecast_features, add_past_features, add_time_features
+from heliotide.operators.features import (
+    add_forecast_features, add_past_features, add_time_features, sequences,
+)
+from heliotide.operators.normalize import WINDOW_ROWS, SeriesNormaliser
 from heliotide.operators.quality import WEATHER_RANGES, require_columns
 from heliotide.operators.shape import add_suffix, drop_unshifted
 from heliotide.operators.spatial import central_and_dispersion
+from heliotide.operators.split import validation_split
 from heliotide.sources.readers import expand_weather
 
 
@@ -93,3 +98,29 @@ def training_table(
         )
         full = drop_unshifted(leads, _columns(ahead))
     return add_time_features(full, config.periods)
+
+
+def sequence_tables(
+    df: DataFrame,
+    covariates: Sequence[str],
+    encoder: Sequence[str],
+    decoder: Sequence[str],
+    target: str,
+    past: int = 48,
+    future: int = 24,
+    stride: int = 1,
+    share: float = 0.25,
+    window: int = WINDOW_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """Training and validation samples for sequence models.
+
+    The normaliser is fitted on the training rows and applied to both parts;
+    no sample spans the two.
+    """
+    split = validation_split(df, share)
+    parts = [split.where(F.col("role") == role).drop("role") for role in ("train", "validation")]
+    model = SeriesNormaliser(covariates, target, window=window).fit(parts[0])
+    first, second = (
+        sequences(model.transform(part), encoder, decoder, target, past, future, stride) for part in parts
+    )
+    return first, second
