@@ -36,7 +36,9 @@ def _block_of(df: DataFrame, ts: str, block_days: int) -> Column:
         day = F.unix_seconds(ts) / 86400
     else:
         day = F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01"))
-    return F.floor(day / block_days)
+    # Declared non-null: otherwise the join below filters one of its two branches on
+    # the block and Spark no longer sees that both read the same upstream exchange.
+    return F.coalesce(F.floor(day / block_days), F.lit(0))
 
 
 def with_block_context(
@@ -160,6 +162,9 @@ def over_rows(
     ``keep``, the series length ``n_rows``. ``keep`` lists which of the two
     stay in the result.
     """
+    taken = {"pos", "n_rows", "_chunk"} & set(df.columns)
+    if taken:
+        raise ValueError(f"rename these columns first: {sorted(taken)}")
     total = "n_rows" if "n_rows" in keep else None
     numbered = number_rows(df, "pos", total, keys, ts, block_days)
     spread = spread_chunks(numbered, back, ahead, chunk_rows)

@@ -119,7 +119,7 @@ def sequence_tables(
     """
     split = validation_split(df, share)
     parts = [split.where(F.col("role") == role).drop("role") for role in ("train", "validation")]
-    model = SeriesNormaliser(covariates, target, window=window).fit(parts[0])
+    model = SeriesNormaliser(covariates, target, window=window).fit(parts[0]).stored()
     first, second = (
         sequences(model.transform(part), encoder, decoder, target, past, future, stride) for part in parts
     )

@@ -4,6 +4,7 @@ from conftest import ordered, per_series, same, to_spark
 from pyspark.sql import functions as F
 
 from heliotide.operators import ordered as o
+from heliotide.operators.align import hourly_mean
 
 
 def test_positions_cross_blocks(hourly):
@@ -42,6 +43,20 @@ def test_no_window_over_a_whole_series(hourly):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_raw_records_are_scanned_once(hourly, tmp_path):
+    hourly[1].write.parquet(str(tmp_path / "raw"))
+    raw = hourly[1].sparkSession.read.parquet(str(tmp_path / "raw"))
+    df = o.over_rows(hourly_mean(raw, ["y"]), lambda w: {"l": F.lag("y", 1).over(w)}, back=1)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Scan parquet") == 1 and "ReusedExchange" in final
+
+
+def test_reserved_names_are_refused(hourly):
+    with pytest.raises(ValueError, match="rename"):
+        o.over_rows(hourly[1].withColumn("pos", F.lit(1)), lambda w: {}, back=1)
+
+
 def test_attach_keeps_rows_of_a_hot_key(spark):
     rows = spark.range(3000).select(F.when(F.col("id") < 2000, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("series_id"), "id")
     stats = rows.groupBy("series_id").agg(F.count("*").alias("n"))
