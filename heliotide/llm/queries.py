@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliotide.llm import decontaminate, exact, packing, quality, toxicity
+from heliotide.llm import decontaminate, exact, licences, packing, quality, secrets, toxicity
 from heliotide.llm.arrow import remainder
 from heliotide.session import cut_lineage
 
@@ -75,3 +75,50 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"lower({text})"
+    for pattern, to in licences.EQUIVALENT:
+        # RE2 has no look-ahead: the one pattern that has it is written with a group instead.
+        pattern, to = pattern.replace("(?=[0-9])", "([0-9])"), to.replace("$1", chr(92) + "1")
+        to = to + (chr(92) + "1" if "([0-9])" in pattern else "")
+        quoted = pattern.replace("'", "''")
+        out = f"regexp_replace({out}, '{quoted}', '{to}', 'g')"
+    return f"trim(regexp_replace(regexp_replace({out}, '{licences.COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def _licence_sql() -> str:
+    pairs = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licences.KNOWN)
+    return f"""
+WITH known AS (
+    SELECT DISTINCT licence, {_canonical_sql("t")} AS canon FROM (VALUES {pairs}) AS k(licence, t)
+), units AS (
+    SELECT doc_id, 'text' AS scope, 0 AS unit, text AS t FROM documents
+    UNION ALL
+    SELECT doc_id, 'paragraph', i, p[i] FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\n[ \t]*\n') AS p FROM documents) WHERE len(p) > 1)
+    UNION ALL
+    SELECT doc_id, 'line', i, p[i] FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) WHERE len(p) > 1)
+), met AS (
+    SELECT doc_id, scope, unit, licence FROM units JOIN known ON {_canonical_sql("units.t")} = known.canon
+), found AS (
+    SELECT doc_id, min(licence) FILTER (scope = 'text') AS whole_licence,
+           array_to_string(list_sort(list(DISTINCT licence)), ',') AS licences, count(DISTINCT (scope, unit)) AS n_units
+    FROM met GROUP BY doc_id
+)
+SELECT d.doc_id, whole_licence, coalesce(licences, '') AS licences, coalesce(n_units, 0) AS n_units
+FROM documents d LEFT JOIN found USING (doc_id)
+"""
+
+
+ORACLES["op9_licences"] = _licence_sql()
