@@ -26,7 +26,7 @@ from heliotide.llm import bpe
 from heliotide.session import cut_lineage
 
 LIMIT = 1024
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 END_ID = 0
 
 
