@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliotide.llm import automaton, decontaminate, exact, licences, packing, quality, secrets, suffixes, toxicity
+from heliotide.llm import automaton, decontaminate, exact, licences, near, packing, quality, secrets, suffixes, toxicity
 from heliotide.llm.arrow import remainder
 from heliotide.session import cut_lineage
 
@@ -132,3 +132,8 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
