@@ -171,6 +171,32 @@ def shards(items: DataFrame, window: int = WINDOW, size: int = SHARD_WINDOWS) ->
         yield windows_of(part, window)
 
 
+def send(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_windows: int = SHARD_WINDOWS) -> list[Broadcast]:
+    """The indexes of all shards of ``items``, with words ordered by the documents that hold them."""
+    sc = docs.sparkSession.sparkContext
+    sent = []
+    for windows in shards(items, window, shard_windows):
+        words = sc.broadcast(windows.vocabulary())
+        sent.append(sc.broadcast(index_of(windows, _documents_with(docs, words))))
+    return sent
+
+
+def _marked(data: np.ndarray, texts: np.ndarray, sent: list[Broadcast]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """Per text the number of words, of hit words, and the ids of the items found, as strings."""
+    words = _words(data, texts)
+    edges = np.zeros(len(words.starts) + 1, dtype=np.int64)
+    found: list[set[str]] = [set() for _ in range(len(texts) - 1)]
+    for shard in sent:
+        index = shard.value
+        pairs = list(occurrences(words, index))
+        for (a, w), t in zip(pairs, np.searchsorted(words.first, [a for a, _ in pairs], side="right") - 1):
+            edges[a] += 1
+            edges[a + index.windows.lengths[w]] -= 1
+            found[t].update(str(i) for i in index.windows.items[w] if i is not None)
+    total = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
+    return np.diff(words.first).astype(np.int64), total[words.first[1:]] - total[words.first[:-1]], found
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """``doc_id, n_words, n_hit, items`` (item ids as sorted strings) for each row of ``docs``.
 
@@ -178,32 +204,16 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_windows:
     nothing. An item with a null id hits words but is not listed; repeated items
     count once. An empty benchmark hits nothing; an empty ``docs`` gives no rows.
     """
-    sc = docs.sparkSession.sparkContext
     docs = ids_and_texts(docs)
-    sent = []
-    for windows in shards(items, window, shard_windows):
-        words = sc.broadcast(windows.vocabulary())
-        sent.append(sc.broadcast(index_of(windows, _documents_with(docs, words))))
+    sent = send(docs, items, window, shard_windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, last, data, texts in slices(batch.column("text")):
-                words = _words(data, texts)
-                edges = np.zeros(len(words.starts) + 1, dtype=np.int64)
-                found: list[set[str]] = [set() for _ in range(last - row)]
-                for shard in sent:
-                    index = shard.value
-                    pairs = list(occurrences(words, index))
-                    for (a, w), t in zip(pairs, np.searchsorted(words.first, [a for a, _ in pairs], side="right") - 1):
-                        edges[a] += 1
-                        edges[a + index.windows.lengths[w]] -= 1
-                        found[t].update(str(i) for i in index.windows.items[w] if i is not None)
-                total = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
+                n_words, n_hit, found = _marked(data, texts, sent)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(row, last - row),
-                        pa.array(np.diff(words.first).astype(np.int64)),
-                        pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()),
+                        batch.column("doc_id").slice(row, last - row), pa.array(n_words), pa.array(n_hit, pa.int64()),
                         pa.array([sorted(f) for f in found], pa.list_(pa.string())),
                     ],
                     names=["doc_id", "n_words", "n_hit", "items"],
@@ -212,6 +222,19 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_windows:
     return docs.mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>")
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` without a hit, with all their columns, in one pass without a shuffle."""
+    sent = send(ids_and_texts(docs), items, window, shard_windows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_marked(data, texts, sent)[1] == 0 for _, _, data, texts in slices(batch.column("text"))]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs``."""
     return hits(docs, items).select(

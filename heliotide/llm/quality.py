@@ -26,6 +26,8 @@ NEAR_POOLED = 0.15
 NEAR_ROUND = 0.02
 FLOOR = 1e-4
 THRESHOLD = 0.3
+#: A pipeline fits on about so many labelled rows at most.
+FIT_ROWS = 200_000
 _BINS = 200
 
 #: Kinds of bytes whose share of a text is a statistic.
