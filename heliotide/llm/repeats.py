@@ -4,10 +4,10 @@ A window is ``WINDOW`` consecutive units (words or bytes) of one document. Of th
 k-grams in a window the one with the least hash is its anchor, so equal windows
 have equal anchors, and a run of windows with one anchor is one *context*.
 
-1. *Anchors.* Each slice of the documents sends its anchors, packed, to buckets
+1. *Anchors.* Each task sends the anchors of its documents, packed, to buckets
    by hash; a bucket says which are held by two documents or more. An anchor
-   that a slice itself sees in several documents is sent once, so a passage that
-   a third of all documents share costs one entry per slice.
+   that a task itself sees in several documents is sent once, so a passage that
+   a third of all documents share costs one entry per task.
 2. *Contexts* of shared anchors only. Equal contexts are combined in the slice
    (only the smallest id travels, the other copies are covered), then in the
    bucket of their anchor, where a matcher compares the different contexts of an
@@ -39,6 +39,7 @@ LEAST_HOT = 64
 LEAST_BUCKETS = 16
 BUCKET_BYTES = 64 << 20
 SLICE_BYTES = 1 << 21
+FLUSH_ANCHORS = 1 << 21
 _CONTEXT_BASE = 0xA24BAED4963EE407
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -114,14 +115,14 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Ascending offsets as steps of two bytes, or of eight where a step is too long."""
-    steps = np.diff(values, prepend=0)
-    small = len(steps) == 0 or steps.max() < 1 << 16
-    return (b"\x02" if small else b"\x08") + steps.astype(np.uint16 if small else np.int64).tobytes()
+    """Places of some texts, in two bytes each, or four (eight) where a text is too long."""
+    most = int(values.max()) if len(values) else 0
+    kind = np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64
+    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, np.uint16 if raw[:1] == b"\x02" else np.int64, offset=1), dtype=np.int64)
+    return np.frombuffer(raw, {2: np.uint16, 4: np.uint32, 8: np.int64}[raw[0]], offset=1).astype(np.int64)
 
 
 def _int64(raw: bytes) -> np.ndarray:
@@ -129,54 +130,69 @@ def _int64(raw: bytes) -> np.ndarray:
 
 
 _STAGE1 = pa.schema([
-    ("bucket", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("first", pa.binary()), ("anchors", pa.binary()),
-    ("at", pa.binary()), ("several", pa.binary()), ("row_key", pa.int64()), ("places", pa.binary()),
+    ("bucket", pa.int32()), ("docs", pa.binary()), ("anchors", pa.binary()), ("places", pa.binary()), ("several", pa.binary()), ("row_key", pa.int64()),
 ])
-_STAGE1_DDL = "bucket int, ids binary, keys binary, first binary, anchors binary, at binary, several binary, row_key bigint, places binary"
+_STAGE1_DDL = "bucket int, docs binary, anchors binary, places binary, several binary, row_key bigint"
 _SHARED = pa.schema([("row_key", pa.int64()), ("places", pa.binary()), ("hot", pa.int64()), ("n", pa.int64())])
 _SHARED_DDL = "row_key bigint, places binary, hot bigint, n bigint"
 _SPANS = pa.schema([("row_key", pa.int64()), ("spans", pa.binary())])
 
 
 def _send_anchors(buckets: int, as_units: Callable):
+    """Anchors of all texts, packed per bucket; many texts go together, so a row holds many anchors also if there are many buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n, docs = [], 0, 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             keys = batch.column("row_key").to_numpy(zero_copy_only=False)
             for row, last, data, texts in slices(batch.column("text"), SLICE_BYTES):
                 units = as_units(data, texts)
                 text, anchor, place, _, _ = contexts(units)
-                if not len(text):
-                    continue
-                own, out = ids[row:last], []
-                order = np.lexsort((own[text], anchor))
-                a, d = anchor[order], own[text][order]
-                head = np.flatnonzero(_first_of(a))
-                size = np.diff(np.append(head, len(a)))
-                low, high = d[head], np.maximum.reduceat(d, head)
-                local = low != high
-                n_docs = np.add.reduceat(_first_of(a, d).astype(np.int64), head)
-                mine = np.zeros(len(a), dtype=bool)
-                mine[order] = np.repeat(local, size)
-                for t, places in _by(text[mine], place[mine]):
-                    out.append({"bucket": int(keys[row + t] % buckets), "row_key": int(keys[row + t]), "places": _packed(np.sort(places) - units.first[t])})
-                to = (anchor >> np.uint64(48)).astype(np.int64) % buckets
-                to_local = (a[head][local] >> np.uint64(48)).astype(np.int64) % buckets
-                shared = np.column_stack([(a[head][local] & _LOW48).astype(np.int64), low[local], high[local], n_docs[local]])
-                at_order = np.argsort(place, kind="stable")
-                for b in range(buckets):
-                    pick = at_order[(to[at_order] == b) & ~mine[at_order]]
-                    several = shared[to_local == b]
-                    if len(pick) or len(several):
-                        out.append({
-                            "bucket": b, "ids": own.astype(np.int64).tobytes(), "keys": keys[row:last].astype(np.int64).tobytes(), "first": units.first.astype(np.int64).tobytes(),
-                            "anchors": np.ascontiguousarray(anchor[pick].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), "at": _packed(place[pick]), "several": several.tobytes(),
-                        })
-                yield pa.RecordBatch.from_pylist(out, schema=_STAGE1)
+                parts.append((anchor, docs + text, ids[row:last][text], keys[row:last][text], place - units.first[text]))
+                docs += last - row
+                n += len(text)
+                if n >= FLUSH_ANCHORS:
+                    yield _anchor_rows(parts, buckets)
+                    parts, n = [], 0
+        if n:
+            yield _anchor_rows(parts, buckets)
 
     return run
 
 
+def _anchor_rows(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+    anchor, doc, own, key, place = (np.concatenate(c) for c in zip(*parts))
+    out = []
+    order = np.lexsort((own, anchor))
+    a, d = anchor[order], own[order]
+    head = np.flatnonzero(_first_of(a))
+    low, high = d[head], np.maximum.reduceat(d, head)
+    local = low != high
+    n_docs = np.add.reduceat(_first_of(a, d).astype(np.int64), head)
+    mine = np.zeros(len(a), dtype=bool)
+    mine[order] = np.repeat(local, np.diff(np.append(head, len(a))))
+    # Known to be shared already: the places need no answer, the anchor is sent once.
+    for t, where in _by(doc[mine], np.flatnonzero(mine)):
+        out.append({"bucket": int(key[where[0]] % buckets), "row_key": int(key[where[0]]), "places": _packed(np.sort(place[where]))})
+    shared = np.column_stack([(a[head][local] & _LOW48).astype(np.int64), low[local], high[local], n_docs[local]])
+    to_shared = (a[head][local] >> np.uint64(48)).astype(np.int64) % buckets
+    alone = np.flatnonzero(~mine)
+    to = (anchor[alone] >> np.uint64(48)).astype(np.int64) % buckets
+    alone = alone[np.lexsort((place[alone], doc[alone], to))]
+    to = np.sort(to)
+    for b in np.union1d(to, to_shared).tolist():
+        pick = alone[np.searchsorted(to, b) : np.searchsorted(to, b, side="right")]
+        first = np.flatnonzero(_first_of(doc[pick]))
+        count = np.diff(np.append(first, len(pick)))
+        out.append({
+            "bucket": b, "docs": np.column_stack([own[pick][first], key[pick][first], count]).astype(np.int64).tobytes(),
+            "anchors": np.ascontiguousarray(anchor[pick].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(),
+            "places": _packed(place[pick]), "several": shared[to_shared == b].tobytes(),
+        })
+    return pa.RecordBatch.from_pylist(out, schema=_STAGE1)
+
+
 def _by(group: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(group, its values) for each group."""
     order = np.argsort(group, kind="stable")
@@ -195,12 +211,11 @@ def _meet_anchors(hot_at: int):
                 continue
             wide = np.zeros((len(r["anchors"]) // 6, 8), dtype=np.uint8)
             wide[:, :6] = np.frombuffer(r["anchors"], np.uint8).reshape(-1, 6)
-            first, at = _int64(r["first"]), _unpacked(r["at"])
-            text = np.searchsorted(first, at, side="right") - 1
+            docs = _int64(r["docs"]).reshape(-1, 3)
             anchors.append(wide.view(np.int64).ravel())
-            ids.append(_int64(r["ids"])[text])
-            keys.append(_int64(r["keys"])[text])
-            places.append(at - first[text])
+            ids.append(np.repeat(docs[:, 0], docs[:, 2]))
+            keys.append(np.repeat(docs[:, 1], docs[:, 2]))
+            places.append(_unpacked(r["places"]))
             several.append(_int64(r["several"]).reshape(-1, 4))
         if anchors:
             more = np.concatenate(several)
