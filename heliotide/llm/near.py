@@ -41,6 +41,7 @@ _BLOCKS = 32
 FREQUENT = 4096
 _IS_FREQUENT = 255
 STAR_ROWS = 256
+MOST_BITS = 1 << 13
 SLICE_BYTES = 1 << 20
 
 
@@ -71,6 +72,24 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """Parity of the number of shingles per slot, for about as many slots as shingles (a power of two)."""
+    width = min(MOST_BITS, max(64, 1 << max(len(tokens) - 1, 0).bit_length()))
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(n: int, bits: bytes, m: int, other: bytes, percent: int = PERCENT) -> bool:
+    """False only if sizes or parities rule a link out: each differing slot needs a shingle that only one set has."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    x, y = np.frombuffer(bits, np.uint8), np.frombuffer(other, np.uint8)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def _slots(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
@@ -80,7 +99,7 @@ def _scan(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("class_key", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("class_key", pa.int64()), ("bits", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for row, last, data, texts in slices(batch.column("text"), SLICE_BYTES):
                 sets = shingle_sets(data, texts, size)
@@ -92,14 +111,14 @@ def _scan(size: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(row, n), batch.column("row_key").slice(row, n), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                        pa.array(keys, pa.int64()), pa.array([parity_bits(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
                     ],
                     schema=schema,
                 )
         for block, part in enumerate(np.split(counters, _BLOCKS)):
             if part.any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(1, pa.binary()), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=schema)
 
     return run
 
@@ -151,6 +170,15 @@ def _sign(size: int, percent: int, ranks: Broadcast):
     return run
 
 
+def _possible(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_link(*values, percent) for values in zip(*(batch.column(c).to_pylist() for c in ("n", "bits", "m", "other")))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verify(size: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         owners = table.column("a").to_pylist()
@@ -170,9 +198,13 @@ def _verify(size: int, percent: int):
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (``a, b`` class keys) whose sets are similar enough.
 
-    Each centre b meets its partners in groups of about ``STAR_ROWS``, so a
+    Sizes and parity bits first rule out pairs that cannot link, so few texts
+    travel; what is left is compared set by set. Each centre b meets its partners in groups of about ``STAR_ROWS``, so a
     centre with very many partners is spread over many tasks.
     """
+    known = classes.select("class_key", F.struct("n", "bits").alias("known"))
+    pairs = pairs.join(known.select(F.col("class_key").alias("a"), F.col("known").alias("x")), "a").join(known.select(F.col("class_key").alias("b"), F.col("known").alias("y")), "b")
+    pairs = cut_lineage(pairs.select("a", "b", "x.n", "x.bits", F.col("y.n").alias("m"), F.col("y.bits").alias("other")).mapInArrow(_possible(percent), "a bigint, b bigint"))
     stars = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).alias("parts"))
     placed = pairs.join(stars, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
     roles = placed.union(placed.select(F.col("b").alias("a"), "b", "part").distinct())
@@ -191,9 +223,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("row_key"))
-    scanned = cut_lineage(docs.mapInArrow(_scan(size), "doc_id bigint, row_key bigint, n bigint, class_key bigint, block int, counts binary"))
-    rows = scanned.where("block IS NULL").select("doc_id", "row_key", "n", "class_key")
-    classes = cut_lineage(rows.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("n").alias("n")))
+    scanned = cut_lineage(docs.mapInArrow(_scan(size), "doc_id bigint, row_key bigint, n bigint, class_key bigint, bits binary, block int, counts binary"))
+    rows = scanned.where("block IS NULL").drop("block", "counts")
+    classes = cut_lineage(rows.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     mean = (classes.agg(F.sum("n")).first()[0] or 0) / (1 << COUNTER_BITS)
     blocks = scanned.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_ranks(mean, frequent), "block int, ranks binary")
     table = np.zeros((_BLOCKS, (1 << COUNTER_BITS) // _BLOCKS), dtype=np.uint8)
