@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from heliotide.llm.components import components
 from heliotide.llm.words import mix, shingles, slices, split
-from heliotide.session import cut_lineage
+from heliotide.llm.settle import settled
 
 SHINGLE = 4
 PERCENT = 85
@@ -204,13 +204,13 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
     """
     known = classes.select("class_key", F.struct("n", "bits").alias("known"))
     pairs = pairs.join(known.select(F.col("class_key").alias("a"), F.col("known").alias("x")), "a").join(known.select(F.col("class_key").alias("b"), F.col("known").alias("y")), "b")
-    pairs = cut_lineage(pairs.select("a", "b", "x.n", "x.bits", F.col("y.n").alias("m"), F.col("y.bits").alias("other")).mapInArrow(_possible(percent), "a bigint, b bigint"))
+    pairs = settled(pairs.select("a", "b", "x.n", "x.bits", F.col("y.n").alias("m"), F.col("y.bits").alias("other")).mapInArrow(_possible(percent), "a bigint, b bigint"))
     stars = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).alias("parts"))
     placed = pairs.join(stars, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
     roles = placed.union(placed.select(F.col("b").alias("a"), "b", "part").distinct())
     one = classes.select(F.col("class_key").alias("a"), "row_key")
     texts = docs.select("row_key", "text").join(roles.join(one, "a"), "row_key").select("a", "b", "part", "text")
-    return cut_lineage(texts.groupBy("b", "part").applyInArrow(_verify(size, percent), "a bigint, b bigint"))
+    return settled(texts.groupBy("b", "part").applyInArrow(_verify(size, percent), "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
@@ -223,9 +223,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("row_key"))
-    scanned = cut_lineage(docs.mapInArrow(_scan(size), "doc_id bigint, row_key bigint, n bigint, class_key bigint, bits binary, block int, counts binary"))
+    scanned = settled(docs.mapInArrow(_scan(size), "doc_id bigint, row_key bigint, n bigint, class_key bigint, bits binary, block int, counts binary"))
     rows = scanned.where("block IS NULL").drop("block", "counts")
-    classes = cut_lineage(rows.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    classes = settled(rows.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     mean = (classes.agg(F.sum("n")).first()[0] or 0) / (1 << COUNTER_BITS)
     blocks = scanned.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_ranks(mean, frequent), "block int, ranks binary")
     table = np.zeros((_BLOCKS, (1 << COUNTER_BITS) // _BLOCKS), dtype=np.uint8)
@@ -238,10 +238,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     postings = docs.mapInArrow(_sign(size, percent, ranks), "sig bigint, class_key bigint, n bigint").select(
         "sig", "class_key", "n", F.min("class_key").over(group).alias("centre"), F.max("class_key").over(group).alias("other")
     )
-    postings = cut_lineage(postings.where("centre <> other").drop("other").distinct())
+    postings = settled(postings.where("centre <> other").drop("other").distinct())
     stars = postings.where("class_key <> centre").select(F.col("class_key").alias("a"), F.col("centre").alias("b")).distinct()
-    links = verified(docs, classes, cut_lineage(stars), size, percent)
-    links = links.union(verified(docs, classes, cut_lineage(_across(postings, components(links), percent)), size, percent))
+    links = verified(docs, classes, settled(stars), size, percent)
+    links = links.union(verified(docs, classes, settled(_across(postings, components(links), percent)), size, percent))
     roots = components(links).select(F.col("a").alias("class_key"), "root")
     return _labelled(rows, classes, roots)
 
@@ -256,7 +256,7 @@ def _across(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     member = member.select("sig", "class_key", "n", F.coalesce("root", "class_key").alias("root"))
     counts = member.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
     most = counts.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    mixed = cut_lineage(member.join(most, "sig"))
+    mixed = settled(member.join(most, "sig"))
     outside = mixed.where("root <> major").select("sig", F.col("class_key").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
     fits = (F.least("nx", "n") * 100 >= F.greatest("nx", "n") * percent) & (F.col("rx") != F.col("root"))
     pairs = outside.join(mixed, "sig").where(fits)

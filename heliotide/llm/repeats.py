@@ -30,16 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliotide.llm.words import mix, shingles, slices, span_hashes, split
-from heliotide.session import cut_lineage
+from heliotide.llm.settle import settled
 
 WINDOW = 50
-GRAM = 8
+#: Grams are long enough that few texts share one by chance.
+WORD_GRAM, BYTE_GRAM = 8, 16
 HOT_SHARE = 1000
-LEAST_HOT = 64
+LEAST_HOT = 1000
 LEAST_BUCKETS = 16
 BUCKET_BYTES = 64 << 20
 SLICE_BYTES = 1 << 21
 FLUSH_ANCHORS = 1 << 21
+FLUSH_CONTEXTS = 1 << 18
 _CONTEXT_BASE = 0xA24BAED4963EE407
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -69,16 +71,23 @@ def bytes_as_units(data: np.ndarray, texts: np.ndarray) -> Units:
     return Units(data, texts, lambda a, b: data[a:b].tobytes())
 
 
+def gram_of(values: np.ndarray) -> int:
+    return BYTE_GRAM if values.dtype == np.uint8 else WORD_GRAM
+
+
 def _grams(values: np.ndarray) -> np.ndarray:
     if values.dtype != np.uint8:
-        return shingles(values, GRAM)
-    n = len(values) - GRAM + 1
+        return shingles(values, WORD_GRAM)
+    n = len(values) - BYTE_GRAM + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(GRAM):
-        out |= values[j : n + j].astype(np.uint64) << np.uint64(8 * j)
-    return mix(out + np.uint64(0x632BE59BD9B4E019))
+    halves = []
+    for k in (0, BYTE_GRAM // 2):
+        half = np.zeros(n, dtype=np.uint64)
+        for j in range(BYTE_GRAM // 2):
+            half |= values[k + j : k + j + n].astype(np.uint64) << np.uint64(8 * j)
+        halves.append(half)
+    return mix(mix(halves[0] + np.uint64(0x632BE59BD9B4E019)) + halves[1])
 
 
 def contexts(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +97,7 @@ def contexts(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     none = np.empty(0, np.int64)
     if n <= 0:
         return none, np.empty(0, np.uint64), none, none, none
-    width = WINDOW - GRAM + 1
+    width = WINDOW - gram_of(units.values) + 1
     best, at, span = grams, np.arange(len(grams), dtype=np.int64), 1
     while span < width:
         step = min(span, width - span)
@@ -240,14 +249,27 @@ def _meet_anchors(hot_at: int):
 
 
 _STAGE2 = pa.schema([
-    ("bucket", pa.int32()), ("entries", pa.binary()), ("sizes", pa.binary()), ("content", pa.binary()), ("windows", pa.binary()),
-    ("row_key", pa.int64()), ("spans", pa.binary()),
+    ("bucket", pa.int32()), ("docs", pa.binary()), ("anchors", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()),
+    ("content", pa.binary()), ("windows", pa.binary()), ("row_key", pa.int64()), ("spans", pa.binary()),
 ])
-_STAGE2_DDL = "bucket int, entries binary, sizes binary, content binary, windows binary, row_key bigint, spans binary"
+_STAGE2_DDL = (
+    "bucket int, docs binary, anchors binary, starts binary, counts binary, sizes binary, content binary, windows binary, row_key bigint, spans binary"
+)
+
+
+def _later_copies(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by ``keys``, the last being the doc_id, and whether an entry repeats the other keys of one with a smaller id."""
+    order = np.lexsort(keys[::-1])
+    doc = keys[-1][order]
+    head = _first_of(*(k[order] for k in keys[:-1]))
+    return order, doc > doc[head][np.cumsum(head) - 1] if len(doc) else np.zeros(0, bool)
 
 
 def _send_contexts(buckets: int, as_units: Callable, hot: np.ndarray):
+    """Different contexts of shared anchors, each with the smallest id that this task saw; spans of all other copies."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cold, warm, contents = [], [], []
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             keys = batch.column("row_key").to_numpy(zero_copy_only=False)
@@ -258,53 +280,67 @@ def _send_contexts(buckets: int, as_units: Callable, hot: np.ndarray):
                     np.concatenate([_unpacked(p) for p in shared[row + t].as_py()]) + units.first[t] for t in range(last - row)
                 ])
                 text, anchor, place, start, end = contexts(units)
-                keep = np.isin(place, known)
+                keep = np.flatnonzero(np.isin(place, known))
                 text, anchor, start, end = text[keep], anchor[keep], start[keep], end[keep]
-                doc, key = ids[row:last][text], keys[row:last][text]
+                whole = span_hashes(units.values, start, end + WINDOW - 1, _CONTEXT_BASE)
+                order, copy = _later_copies(anchor, whole, ids[row:last][text])
+                text, anchor, start, end, whole = (x[order] for x in (text, anchor, start, end, whole))
+                doc, key, inside = ids[row:last][text], keys[row:last][text], start - units.first[text]
+                yield from _span_rows(key[copy], np.column_stack([inside, inside + (end - start) + WINDOW - 1])[copy], buckets)
                 is_hot = np.isin((anchor & _LOW48).astype(np.int64), hot)
-                out, covered = [], []
-
-                cold = np.flatnonzero(~is_hot)
-                whole = span_hashes(units.values, start[cold], end[cold] + WINDOW - 1, _CONTEXT_BASE)
-                order = np.lexsort((doc[cold], whole, anchor[cold]))
-                cold, whole = cold[order], whole[order]
-                head = _first_of(anchor[cold], whole)
-                least = doc[cold][head][np.cumsum(head) - 1] if len(cold) else doc[cold]
-                copy = doc[cold] > least
-                covered.append(np.column_stack([text[cold][copy], start[cold][copy], end[cold][copy] + WINDOW - 1]))
-                cold, whole = cold[~copy], whole[~copy]
-                to = (anchor[cold] % np.uint64(buckets)).astype(np.int64)
-                entry = np.column_stack([anchor[cold].view(np.int64), whole.view(np.int64), doc[cold], key[cold], start[cold] - units.first[text[cold]], end[cold] - start[cold]])
-
-                warm = np.flatnonzero(is_hot)
-                count = end[warm] - start[warm]
-                each = np.repeat(warm, count)
-                at = np.repeat(start[warm], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                window = span_hashes(units.values, at, at + WINDOW, _CONTEXT_BASE) if len(at) else np.empty(0, np.uint64)
-                order = np.lexsort((doc[each], window))
-                each, at, window = each[order], at[order], window[order]
-                head = _first_of(window)
-                copy = doc[each] > (doc[each][head][np.cumsum(head) - 1] if len(each) else doc[each])
-                covered.append(np.column_stack([text[each][copy], at[copy], at[copy] + WINDOW]))
-                each, at, window = each[~copy], at[~copy], window[~copy]
-                to_window = (window % np.uint64(buckets)).astype(np.int64)
-                single = np.column_stack([window.view(np.int64), doc[each], key[each], at - units.first[text[each]]])
-
-                for b in np.unique(np.concatenate([to, to_window])).tolist():
-                    pick = np.flatnonzero(to == b)
-                    parts = [units.content(int(start[i]), int(end[i]) + WINDOW - 1) for i in cold[pick].tolist()]
-                    out.append({
-                        "bucket": b, "entries": entry[pick].astype(np.int64).tobytes(), "sizes": np.array([len(p) for p in parts], np.int64).tobytes(),
-                        "content": b"".join(parts), "windows": single[to_window == b].astype(np.int64).tobytes(),
-                    })
-                spans = np.concatenate(covered)
-                for t, rows in _by(spans[:, 0], spans[:, 1:]):
-                    out.append({"bucket": int(keys[row + t] % buckets), "row_key": int(keys[row + t]), "spans": _union(rows - units.first[t]).astype(np.int64).tobytes()})
-                yield pa.RecordBatch.from_pylist(out, schema=_STAGE2)
+                pick = np.flatnonzero(~copy & ~is_hot)
+                cold.append(np.column_stack([anchor[pick].view(np.int64), whole[pick].view(np.int64), doc[pick], key[pick], inside[pick], (end - start)[pick]]))
+                contents += [units.content(a, b) for a, b in zip(start[pick].tolist(), (end[pick] + WINDOW - 1).tolist())]
+                pick = np.flatnonzero(~copy & is_hot)
+                count = (end - start)[pick]
+                step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                at = np.repeat(start[pick], count) + step
+                window = span_hashes(units.values, at, at + WINDOW, _CONTEXT_BASE)
+                warm.append(np.column_stack([window.view(np.int64), np.repeat(doc[pick], count), np.repeat(key[pick], count), np.repeat(inside[pick], count) + step]))
+                if len(contents) + sum(map(len, warm)) // 8 >= FLUSH_CONTEXTS:
+                    yield from _context_rows(np.concatenate(cold), contents, np.concatenate(warm), buckets)
+                    cold, warm, contents = [], [], []
+        if cold:
+            yield from _context_rows(np.concatenate(cold), contents, np.concatenate(warm), buckets)
 
     return run
 
 
+def _span_rows(key: np.ndarray, spans: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    out = [{"bucket": int(k % buckets), "row_key": k, "spans": _union(s).tobytes()} for k, s in _by(key, spans)]
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=_STAGE2)
+
+
+def _context_rows(entry: np.ndarray, contents: list[bytes], windows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    order, copy = _later_copies(entry[:, 0], entry[:, 1], entry[:, 2])
+    gone = entry[order[copy]]
+    yield from _span_rows(gone[:, 3], np.column_stack([gone[:, 4], gone[:, 4] + gone[:, 5] + WINDOW - 1]), buckets)
+    left = order[~copy]
+    to = (entry[left, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    # By bucket, then by document, so a document is named once per row.
+    again = np.lexsort((entry[left, 4], entry[left, 3], to))
+    left, to = left[again], to[again]
+    order, copy = _later_copies(windows[:, 0], windows[:, 1])
+    gone = windows[order[copy]]
+    yield from _span_rows(gone[:, 2], np.column_stack([gone[:, 3], gone[:, 3] + WINDOW]), buckets)
+    windows = windows[order[~copy]]
+    to_window = (windows[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    out = []
+    for b in np.union1d(to, to_window).tolist():
+        pick = left[np.searchsorted(to, b) : np.searchsorted(to, b, side="right")]
+        e = entry[pick]
+        first = np.flatnonzero(_first_of(e[:, 3]))
+        docs = np.column_stack([e[first, 2], e[first, 3], np.diff(np.append(first, len(e)))])
+        parts = [contents[i] for i in pick.tolist()]
+        out.append({
+            "bucket": b, "docs": docs.astype(np.int64).T.tobytes(), "anchors": e[:, 0].tobytes(), "starts": _packed(e[:, 4]), "counts": _packed(e[:, 5]),
+            "sizes": _packed(np.array([len(p) for p in parts], dtype=np.int64)), "content": b"".join(parts), "windows": windows[to_window == b].T.tobytes(),
+        })
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=_STAGE2)
+
+
 def _union(spans: np.ndarray) -> np.ndarray:
     """Ascending disjoint spans (start, end) that cover the same places; touching spans join."""
     if not len(spans):
@@ -324,10 +360,15 @@ def _meet_contexts(matcher: Matcher):
             if r["row_key"] is not None:
                 out.append({"row_key": r["row_key"], "spans": r["spans"]})
                 continue
-            entries.append(_int64(r["entries"]).reshape(-1, 6))
-            ends = np.cumsum(_int64(r["sizes"])).tolist()
+            docs = _int64(r["docs"]).reshape(3, -1)
+            ends = np.cumsum(_unpacked(r["sizes"]))
+            whole = span_hashes(np.frombuffer(r["content"], np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)], ends, _CONTEXT_BASE)
+            entries.append(np.column_stack([
+                _int64(r["anchors"]), whole.view(np.int64), np.repeat(docs[0], docs[2]), np.repeat(docs[1], docs[2]), _unpacked(r["starts"]), _unpacked(r["counts"]),
+            ]))
+            ends = ends.tolist()
             contents += [r["content"][a:b] for a, b in zip([0, *ends[:-1]], ends)]
-            windows.append(_int64(r["windows"]).reshape(-1, 4))
+            windows.append(_int64(r["windows"]).reshape(4, -1).T)
         keys, spans = [], []
         if entries:
             e = np.concatenate(entries)
@@ -374,7 +415,7 @@ def covered(docs: DataFrame, as_units: Callable, matcher: Matcher, hot_docs: int
 
     A null text is empty. A row without doc_id neither covers nor is covered;
     rows with one doc_id do not cover each other. ``hot_docs`` (default: a
-    thousandth of all rows, 64 at least) sets from how many documents on an
+    thousandth of all rows, 1000 at least) sets from how many documents on an
     anchor is hot; the result does not depend on it.
     """
     rows = docs.select(
@@ -384,12 +425,12 @@ def covered(docs: DataFrame, as_units: Callable, matcher: Matcher, hot_docs: int
     buckets = max(LEAST_BUCKETS, -(-(size["b"] or 0) // BUCKET_BYTES))
     hot_docs = hot_docs or max(LEAST_HOT, size["n"] // HOT_SHARE)
     able = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") >= WINDOW)
-    shared = cut_lineage(able.mapInArrow(_send_anchors(buckets, as_units), _STAGE1_DDL).groupBy("bucket").applyInArrow(_meet_anchors(hot_docs), _SHARED_DDL))
+    shared = settled(able.mapInArrow(_send_anchors(buckets, as_units), _STAGE1_DDL).groupBy("bucket").applyInArrow(_meet_anchors(hot_docs), _SHARED_DDL))
     # At most HOT_SHARE times the anchors of a mean document.
     hot = np.array([r["hot"] for r in shared.where("hot IS NOT NULL").select("hot").collect()], dtype=np.int64)
     places = shared.where("row_key IS NOT NULL").groupBy("row_key").agg(F.collect_list("places").alias("places"))
     sent = able.join(places, "row_key").select("doc_id", "row_key", "text", "places").mapInArrow(_send_contexts(buckets, as_units, hot), _STAGE2_DDL)
-    spans = cut_lineage(sent.groupBy("bucket").applyInArrow(_meet_contexts(matcher), "row_key bigint, spans binary"))
+    spans = settled(sent.groupBy("bucket").applyInArrow(_meet_contexts(matcher), "row_key bigint, spans binary"))
     return rows.join(spans.groupBy("row_key").agg(F.collect_list("spans").alias("spans")), "row_key", "left").select("doc_id", "text", "spans")
 
 

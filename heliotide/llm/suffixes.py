@@ -18,11 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from heliotide.llm.repeats import GRAM, WINDOW, bytes_as_units, covered, spans_of
+from heliotide.llm.repeats import WINDOW, bytes_as_units, covered, spans_of
 from heliotide.llm.words import slices
 
-#: A context has at most this many bytes: all windows around one anchor.
-WIDTH = 2 * (WINDOW - GRAM) + GRAM
 _BORDER = -1
 
 
