@@ -31,16 +31,45 @@ def production_records(spark, folder):
 def _(spark, folder):
     path = shared_dir(spark)
     fields = ["code_insee_region", "date", "heure", "date_heure", "solaire"]
-    # a page holds at most 96 records, as event numbers are unique
+    # a page holds at most 96 records, as event numbers are unique; a file holds many pages
     pages = production_records(spark, folder).groupBy(F.floor(F.col("event_id") / 96).alias("page")).agg(
         F.collect_list(F.struct(*fields)).alias("results")
     )
     pages.select("results").write.json(path)
-    landed = spark.read.schema(schemas.PRODUCTION_PAYLOAD).json(path)
-    hourly = readers.hourly_input(landed.select(F.inline("results")))
+    hourly = readers.hourly_input(readers.read_production_pages(spark, path))
     return hourly.select(SERIES, F.unix_micros(TS).alias("micros"), "solaire")
 
 
+@query("production_json", """
+SELECT event_type AS code_insee_region, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS date_heure, value AS solaire
+FROM events WHERE event_id % 7 <> 3""")
+def _(spark, folder):
+    """Files with one page over many lines, files with many pages, broken pages among them."""
+    path = shared_dir(spark)
+    record = F.to_json(F.struct("code_insee_region", "date", "heure", "date_heure", "solaire"))
+    records = production_records(spark, folder)
+    broken = F.col("event_id") % 7 == 3
+    # a page lists at most 50 records, as event numbers are unique
+    page = records.groupBy(F.floor(F.col("event_id") / 350).alias("p"), (F.col("event_id") % 7).alias("k")).agg(
+        F.concat(F.lit('{"results": [\n'), F.array_join(F.sort_array(F.collect_list(record)), ",\n"), F.lit("\n]}")).alias("value"),
+        F.first(broken).alias("broken"),
+    )
+    page.select(F.when(F.col("broken"), F.concat(F.lit("{oops "), "value")).otherwise(F.col("value"))).write.text(path)
+    return readers.read_production(spark, path, ["code_insee_region", "date_heure", "solaire"], kind="json")
+
+
+@query("payload_report", """
+SELECT count(DISTINCT event_id // 96) AS pages, 0 AS skipped_pages, count(*) AS records FROM events""")
+def _(spark, folder):
+    path = shared_dir(spark)
+    pages = production_records(spark, folder).groupBy(F.floor(F.col("event_id") / 96).alias("page")).agg(
+        F.collect_list(F.struct("code_insee_region", "date", "heure", "date_heure", "solaire")).alias("results")
+    )
+    pages.select("results").write.json(path)
+    report = readers.payload_report(readers.production_payloads(spark, path, layout="lines"))
+    return report.agg(*[F.sum(c).alias(c) for c in ("pages", "skipped_pages", "records")])
+
+
 @query("production_parquet", """
 SELECT event_type AS code_insee_region, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS date_heure, value AS solaire
 FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-15 00:00:00'""")

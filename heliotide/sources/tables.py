@@ -1,16 +1,20 @@
-"""Tables the jobs keep: versioned parquet, latest-wins on read.
-
-A table is a folder with complete snapshots ``base/v=<n>`` and changes
-``delta/v=<n>``. Replacing a table adds a snapshot, an upsert adds only its
-own rows as a change, and a read takes the newest snapshot plus later changes
-with the newest row per key. So an upsert costs what it brings, not what the
-table holds; ``compact`` folds changes into a new snapshot. Version folders
-are never modified once complete, and one without a success marker is
-invisible, so readers never meet half a write.
+"""Tables the jobs keep: parquet folders, latest-wins on read.
+
+A table is a folder with complete snapshots ``base/v=<version>`` and changes
+``delta/v=<version>``. Replacing a table adds a snapshot, an upsert adds only
+its own rows as a change. Every snapshot has a list of the changes it stands
+for, written before its data; a read takes the newest snapshot and every
+complete change that its list does not name. So a change written while a
+snapshot is made is neither lost nor counted twice, whichever ends first.
+Versions are unique names that sort by time, so writers never share one.
+Version folders are never modified once complete, and one without a success
+marker is invisible, so readers never meet half a write.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,53 +37,67 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(folder)
 
 
-def _versions(spark: SparkSession, folder: str, complete: bool = True) -> list[int]:
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the complete versions below ``folder``, oldest first."""
     fs, root = _fs(spark, folder)
     if not fs.exists(root):
         return []
     names = [status.getPath().getName() for status in fs.listStatus(root)]
-    numbers = sorted(int(n[2:]) for n in names if n.startswith("v="))
-    if not complete:
-        return numbers
-    return [n for n in numbers if path_exists(spark, f"{_folder(folder, n)}/_SUCCESS")]
+    return sorted(n[2:] for n in names if n.startswith("v=") and path_exists(spark, f"{folder}/{n}/_SUCCESS"))
 
 
-def _folder(root: str, version: int) -> str:
-    return f"{root}/v={version:08d}"
+def _new_version() -> str:
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
 
 
-def _next(spark: SparkSession, path: str) -> int:
-    used = _versions(spark, f"{path}/base", False) + _versions(spark, f"{path}/delta", False)
-    return max(used, default=0) + 1
+def _write_list(spark: SparkSession, path: str, names: Sequence[str]) -> None:
+    fs, file = _fs(spark, path)
+    out = fs.create(file, False)
+    out.write(bytearray("\n".join(names).encode()))
+    out.close()
+
+
+def _read_list(spark: SparkSession, path: str) -> set[str]:
+    fs, file = _fs(spark, path)
+    stream = fs.open(file)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return set(text.split())
+
+
+def _state(spark: SparkSession, path: str) -> tuple[str | None, list[str]]:
+    """The newest snapshot and the changes it does not stand for."""
+    base = _versions(spark, f"{path}/base")
+    changes = _versions(spark, f"{path}/delta")
+    if not base:
+        return None, changes
+    folded = _read_list(spark, f"{path}/base/_folded-{base[-1]}")
+    return base[-1], [v for v in changes if v not in folded]
+
+
+def _snapshot(df: DataFrame, path: str, folded: Sequence[str], partition_by: Sequence[str] = ()) -> None:
+    version = _new_version()
+    _write_list(df.sparkSession, f"{path}/base/_folded-{version}", folded)
+    df.write.partitionBy(*partition_by).parquet(f"{path}/base/v={version}")
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace the table's content by a new snapshot."""
-    target = _folder(f"{path}/base", _next(df.sparkSession, path))
-    df.write.partitionBy(*partition_by).parquet(target)
+    """Replace the table's content by a new snapshot (S10); changes that end later stay changes."""
+    _snapshot(df, path, _versions(df.sparkSession, f"{path}/delta"), partition_by)
 
 
-def read_table(
-    spark: SparkSession,
-    path: str,
-    keys: Sequence[str] = (),
-    order: str | None = None,
-    schema: T.StructType | str | None = None,
+def _content(
+    spark: SparkSession, path: str, base: str | None, changes: Sequence[str], keys: Sequence[str], order: str | None,
+    schema: T.StructType | str | None,
 ) -> DataFrame:
-    """Current content.
-
-    ``keys`` and ``order`` resolve upserts; without them only the newest
-    snapshot is read. With ``schema`` a table that was never written is empty.
-    """
-    base = _versions(spark, f"{path}/base")
-    newest = base[-1] if base else 0
-    changes = [v for v in _versions(spark, f"{path}/delta") if v > newest] if keys else []
+    if changes and not keys:
+        raise ValueError(f"{path} has upserts: give the keys and the order that resolve them")
     parts = []
     if base:
-        parts.append(spark.read.parquet(_folder(f"{path}/base", newest)).withColumn("_v", F.lit(newest)))
+        parts.append(spark.read.parquet(f"{path}/base/v={base}").withColumn("_v", F.lit("")))
     if changes:
         reader = spark.read.option("basePath", f"{path}/delta")
-        delta = reader.parquet(*[_folder(f"{path}/delta", v) for v in changes])
+        delta = reader.parquet(*[f"{path}/delta/v={v}" for v in changes])
         parts.append(delta.withColumnRenamed("v", "_v"))
     if not parts:
         if schema is None:
@@ -91,6 +109,21 @@ def read_table(
     return rows.drop("_v")
 
 
+def read_table(
+    spark: SparkSession,
+    path: str,
+    keys: Sequence[str] = (),
+    order: str | None = None,
+    schema: T.StructType | str | None = None,
+) -> DataFrame:
+    """Current content.
+
+    ``keys`` and ``order`` resolve upserts; a read without them fails when there
+    are upserts. With ``schema`` a table that was never written is empty.
+    """
+    return _content(spark, path, *_state(spark, path), keys, order, schema)
+
+
 def merge_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Union where the highest ``order`` per key wins; ties go to ``new``."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
@@ -99,12 +132,14 @@ def merge_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str
 
 def upsert(df: DataFrame, path: str) -> None:
     """Add ``df`` as a change; reads by key take the newest row."""
-    df.write.parquet(_folder(f"{path}/delta", _next(df.sparkSession, path)))
+    df.write.parquet(f"{path}/delta/v={_new_version()}")
 
 
 def compact(spark: SparkSession, path: str, keys: Sequence[str], order: str) -> None:
-    """Fold the changes into a new snapshot."""
-    write_table(read_table(spark, path, keys, order), path)
+    """Fold the changes that are complete now into a new snapshot."""
+    base, changes = _state(spark, path)
+    folded = {*changes, *(_read_list(spark, f"{path}/base/_folded-{base}") if base else ())}
+    _snapshot(_content(spark, path, base, changes, keys, order, None), path, sorted(folded))
 
 
 PREDICTION_KEYS = (SERIES, "predicted_at", "forecast_horizon")
@@ -128,17 +163,35 @@ def read_quantiles(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, [SERIES], "computed_at", schemas.QUANTILES)
 
 
-def latest_quantile(df: DataFrame, keys: Sequence[str] = (SERIES,)) -> DataFrame:
-    """Newest ``p99_value`` per series; a missing or non-finite one fails the query."""
+def latest_quantile(df: DataFrame, keys: Sequence[str] = (SERIES,), not_finite: str = "raise") -> DataFrame:
+    """Newest ``p99_value`` per series.
+
+    A newest value that is missing or not finite fails the query. With
+    ``not_finite="last"`` its series takes its newest finite value instead
+    (NULL if it never had one), with the time of that value; the others are
+    untouched, and ``stale_quantiles`` lists the series concerned.
+    """
+    value = F.col("p99_value")
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    if not_finite == "last":
+        at = F.when(finite, F.col("computed_at"))
+        return df.groupBy(*keys).agg(F.max_by(F.when(finite, value), at).alias("p99_value"), F.max(at).alias("computed_at"))
+    if not_finite != "raise":
+        raise ValueError(f"unknown rule {not_finite}")
     newest = df.groupBy(*keys).agg(
         F.max_by("p99_value", "computed_at").alias("p99_value"), F.max("computed_at").alias("computed_at")
     )
-    value = F.col("p99_value")
-    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
     bad = F.raise_error(F.lit("newest quantile is not a finite number")).cast("double")
     return newest.withColumn("p99_value", F.when(finite, value).otherwise(bad))
 
 
+def stale_quantiles(df: DataFrame, keys: Sequence[str] = (SERIES,)) -> DataFrame:
+    """Series whose newest quantile is missing or not finite, with its time."""
+    newest = df.groupBy(*keys).agg(F.max_by("p99_value", "computed_at").alias("v"), F.max("computed_at").alias("computed_at"))
+    bad = F.col("v").isNull() | F.isnan("v") | (F.abs("v") == F.lit(float("inf")))
+    return newest.where(bad).drop("v")
+
+
 def load_training_table(spark: SparkSession, path: str, zone: str = "Europe/Paris") -> DataFrame:
     """Training table with ``ts_local``, the wall-clock time in ``zone``."""
     df = read_table(spark, path)

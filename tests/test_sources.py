@@ -33,11 +33,54 @@ def test_pages_skip_bad_files_and_allow_none(spark, tmp_path):
     assert none.count() == 0 and "date_heure" in none.columns
 
 
+def test_files_with_one_many_and_broken_pages(spark, tmp_path):
+    page = lambda n: {"results": [RECORD] * n}
+    (tmp_path / "one.json").write_text(json.dumps(page(2), indent=2))
+    (tmp_path / "many.json").write_text("\n".join(json.dumps(page(n)) for n in (1, 3, 4)) + "\n\n")
+    (tmp_path / "pretty.json").write_text("\n".join(json.dumps(page(n), indent=1) for n in (5, 6)))
+    (tmp_path / "broken.json").write_text(json.dumps(page(1)) + "\n" + '{"results": [{"code"' + "\n")
+    (tmp_path / "empty.json").write_text("")
+    assert readers.read_production_pages(spark, str(tmp_path)).count() == 2 + 8 + 11 + 1
+    assert readers.read_production(spark, str(tmp_path), kind="json").count() == 22
+    report = readers.payload_report(readers.production_payloads(spark, str(tmp_path))).collect()
+    got = {r["file"].rsplit("/", 1)[1]: (r["pages"], r["skipped_pages"], r["records"]) for r in report}
+    assert got == {"one.json": (1, 0, 2), "many.json": (3, 0, 8), "pretty.json": (2, 0, 11), "broken.json": (2, 1, 1)}
+    lines = readers.payload_report(readers.production_payloads(spark, str(tmp_path / "many.json"), "lines")).first()
+    assert (lines["pages"], lines["records"]) == (3, 8)
+
+
+def test_parquet_is_the_fallback_of_its_own_payload(spark, tmp_path):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    spark.createDataFrame([tuple(RECORD.values())] * 3, schemas.PRODUCTION).coalesce(1).write.parquet(str(tmp_path / "pq"))
+    part = next((tmp_path / "pq").glob("*.parquet")).read_bytes()
+    for name, text in (("good", json.dumps({"results": [RECORD]})), ("bad", "<html>")):
+        (folder / f"{name}.json").write_text(text)
+        (folder / f"{name}.parquet").write_bytes(part)
+    assert readers.read_production(spark, str(folder)).count() == 1 + 3
+
+
+def test_unreadable_times_are_reported(spark):
+    rows = [tuple(RECORD.values()), tuple({**RECORD, "date_heure": "soon"}.values()), tuple({**RECORD, "date_heure": None}.values())]
+    df = spark.createDataFrame(rows, schemas.PRODUCTION)
+    with pytest.raises(Exception, match="unreadable time"):
+        readers.hourly_input(df).collect()
+    assert readers.hourly_input(df, unreadable="skip").count() == 1
+    assert readers.unreadable_times(df).first().asDict() == {"series_id": "76", "records": 3, "unreadable": 2}
+
+
+def test_since_compares_instants(spark):
+    rows = [tuple({**RECORD, "date_heure": t}.values()) for t in ("2024-01-01T00:30:00+01:00", "2024-01-01T01:00:00+02:00", "2024-01-01T00:00:00+00:00")]
+    df = spark.createDataFrame(rows, schemas.PRODUCTION)
+    got = readers.select_production(df, 76, "2024-01-01T00:30:00+01:00", ["date_heure"]).collect()
+    assert [r.date_heure for r in got] == ["2024-01-01T00:30:00+01:00", "2024-01-01T00:00:00+00:00"]
+
+
 def test_selection_is_pushed_down(spark, tmp_path):
     spark.createDataFrame([tuple(RECORD.values())], schemas.PRODUCTION).write.parquet(str(tmp_path / "p"))
-    df = readers.select_production(spark.read.parquet(str(tmp_path / "p")), 76, "2023", ["solaire"])
+    df = readers.select_production(spark.read.parquet(str(tmp_path / "p")), 76, "2023-12-31T23:00:00+00:00", ["solaire"])
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(code_insee_region,76)" in plan and "GreaterTha" in plan.split("PushedFilters")[1]
+    assert "EqualTo(code_insee_region,76)" in plan and "Or(IsNull(da" in plan.split("PushedFilters")[1]
     assert df.count() == 1
 
 
@@ -56,6 +99,9 @@ def test_coordinates(spark, tmp_path):
     df = spark.createDataFrame([(0, "POINT (1.44 43.6)"), (1, "POINT(-0.5 42)"), (2, "LINE (0 0)")], schemas.COORDINATES)
     got = ordered(readers.wkt_points(df), "id")
     assert got.lon.tolist()[:2] == [1.44, -0.5] and got.lat.tolist()[:2] == [43.6, 42.0] and math.isnan(got.lon[2])
+    df.write.parquet(str(tmp_path / "l"))
+    with pytest.raises(Exception, match="not a point"):
+        readers.read_coordinates(spark, str(tmp_path / "l"))
     df.limit(0).write.parquet(str(tmp_path / "c"))
     with pytest.raises(ValueError):
         readers.read_coordinates(spark, str(tmp_path / "c"))
@@ -79,6 +125,41 @@ def test_upsert_compact_and_unfinished_version(spark, tmp_path):
     assert read() == {"a": 3.0, "b": 5.0}
 
 
+@pytest.mark.parametrize("moment", ["before the list", "after the list", "after the data"])
+def test_an_upsert_during_compaction_is_kept(spark, tmp_path, monkeypatch, moment):
+    path, day = str(tmp_path / "q"), lambda d: datetime(2024, 1, d)
+    make = lambda *rows: spark.createDataFrame(list(rows), schemas.QUANTILES)
+    tables.upsert_quantiles(make(("a", 1.0, day(1))), path)
+    late = lambda: tables.upsert_quantiles(make(("b", 2.0, day(1)), ("a", 3.0, day(1))), path)
+    kept = tables._state, tables._write_list, tables._snapshot
+    if moment == "before the list":
+        monkeypatch.setattr(tables, "_state", lambda *a: (kept[0](*a), late())[0])
+        tables.compact(spark, path, ["series_id"], "computed_at")
+    elif moment == "after the list":
+        monkeypatch.setattr(tables, "_write_list", lambda *a: (kept[1](*a), late())[0])
+        tables.compact(spark, path, ["series_id"], "computed_at")
+    else:
+        monkeypatch.setattr(tables, "_snapshot", lambda *a: (kept[2](*a), late())[0])
+        tables.compact(spark, path, ["series_id"], "computed_at")
+    monkeypatch.undo()
+    want = {"a": 3.0, "b": 2.0}
+    for _ in range(2):
+        assert {r.series_id: r.p99_value for r in tables.read_quantiles(spark, path).collect()} == want
+        tables.compact(spark, path, ["series_id"], "computed_at")
+    assert tables.read_table(spark, path).count() == 2
+
+
+def test_a_read_without_keys_refuses_upserts(spark, tmp_path):
+    path = str(tmp_path / "q")
+    tables.write_table(spark.createDataFrame([("a", 1.0, datetime(2024, 1, 1))], schemas.QUANTILES), path)
+    tables.upsert_quantiles(spark.createDataFrame([("b", 1.0, datetime(2024, 1, 1))], schemas.QUANTILES), path)
+    with pytest.raises(ValueError, match="keys"):
+        tables.read_table(spark, path)
+    assert tables.read_quantiles(spark, path).count() == 2
+    tables.write_table(spark.createDataFrame([("c", 1.0, datetime(2024, 1, 1))], schemas.QUANTILES), path)
+    assert [r.series_id for r in tables.read_table(spark, path).collect()] == ["c"]
+
+
 def test_later_delivery_wins_a_tie(spark, tmp_path):
     path, t = str(tmp_path / "p"), datetime(2024, 1, 1)
     for value in (1.0, 2.0):
@@ -92,6 +173,9 @@ def test_latest_quantile_must_be_finite(spark):
     assert tables.latest_quantile(df.where("p99_value = 1")).first().p99_value == 1.0
     with pytest.raises(Exception, match="finite"):
         tables.latest_quantile(df).collect()
+    more = df.union(spark.createDataFrame([("b", 7.0, datetime(2024, 1, 1))], schemas.QUANTILES))
+    assert {r.series_id: r.p99_value for r in tables.latest_quantile(more, not_finite="last").collect()} == {"a": 1.0, "b": 7.0}
+    assert [r.series_id for r in tables.stale_quantiles(more).collect()] == ["a"]
 
 
 def test_csv_training_table_and_feature_sets(spark, tmp_path):
