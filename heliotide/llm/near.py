@@ -9,9 +9,10 @@ it: of r single and f frequent shingles in a prefix, any ``r + f - 2`` may be
 missing and one single shingle or one pair is still left.
 
 Candidates with a common signature are not expanded into all pairs. First every
-member is verified against the smallest class of its group; what is linked falls
-into components. Then only pairs of one group in different components are left,
-and all of those are verified too. So no link between components is missed, and
+member is verified against four classes of its group, the first and last in two
+orders; what is linked falls into components. Then only pairs of one group in
+different components are left, and all of those are verified too, save those
+that sizes or parities rule out. So no link between components is missed, and
 links inside one change nothing.
 
 The order comes from counters over hashed shingles of all documents. Their
@@ -42,6 +43,8 @@ FREQUENT = 4096
 _IS_FREQUENT = 255
 STAR_ROWS = 256
 MOST_BITS = 1 << 13
+LONGS = 8
+_LONGS = [f"l{i}" for i in range(LONGS)]
 SLICE_BYTES = 1 << 20
 
 
@@ -79,6 +82,12 @@ def parity_bits(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def parity_longs(tokens: np.ndarray) -> np.ndarray:
+    """Parities over a fixed number of slots, as 64-bit numbers: coarser for large sets, but a join condition can use them."""
+    odd = np.bincount((tokens & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def may_link(n: int, bits: bytes, m: int, other: bytes, percent: int = PERCENT) -> bool:
     """False only if sizes or parities rule a link out: each differing slot needs a shingle that only one set has."""
     if 100 * min(n, m) < percent * max(n, m):
@@ -99,7 +108,7 @@ def _scan(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("class_key", pa.int64()), ("bits", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("class_key", pa.int64()), ("bits", pa.binary()), *[(c, pa.int64()) for c in _LONGS], ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for row, last, data, texts in slices(batch.column("text"), SLICE_BYTES):
                 sets = shingle_sets(data, texts, size)
@@ -108,17 +117,18 @@ def _scan(size: int):
                 if distinct:
                     np.add.at(counters, _slots(np.concatenate(list(distinct.values()))), 1)
                 n = last - row
+                longs = np.array([parity_longs(s) for s in sets], dtype=np.int64).reshape(n, LONGS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(row, n), batch.column("row_key").slice(row, n), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(keys, pa.int64()), pa.array([parity_bits(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                        pa.array(keys, pa.int64()), pa.array([parity_bits(s) for s in sets], pa.binary()), *[pa.array(longs[:, i]) for i in range(LONGS)], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
                     ],
                     schema=schema,
                 )
         for block, part in enumerate(np.split(counters, _BLOCKS)):
             if part.any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(1, pa.binary()), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(1, pa.binary()), *[none] * LONGS, pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=schema)
 
     return run
 
@@ -223,9 +233,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("row_key"))
-    scanned = settled(docs.mapInArrow(_scan(size), "doc_id bigint, row_key bigint, n bigint, class_key bigint, bits binary, block int, counts binary"))
+    scanned = settled(docs.mapInArrow(_scan(size), f"doc_id bigint, row_key bigint, n bigint, class_key bigint, bits binary, {', '.join(f'{c} bigint' for c in _LONGS)}, block int, counts binary"))
     rows = scanned.where("block IS NULL").drop("block", "counts")
-    classes = settled(rows.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    classes = settled(rows.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("bits", *_LONGS)]))
     mean = (classes.agg(F.sum("n")).first()[0] or 0) / (1 << COUNTER_BITS)
     blocks = scanned.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_ranks(mean, frequent), "block int, ranks binary")
     table = np.zeros((_BLOCKS, (1 << COUNTER_BITS) // _BLOCKS), dtype=np.uint8)
@@ -235,19 +245,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     ranks = spark.sparkContext.broadcast(table.ravel())
 
     group = Window.partitionBy("sig")
+    least, most = F.min("class_key").over(group), F.max("class_key").over(group)
+    mixed = F.struct(F.xxhash64("class_key").alias("h"), "class_key")
+    others = [F.min(mixed).over(group)["class_key"], F.max(mixed).over(group)["class_key"]]
     postings = docs.mapInArrow(_sign(size, percent, ranks), "sig bigint, class_key bigint, n bigint").select(
-        "sig", "class_key", "n", F.min("class_key").over(group).alias("centre"), F.max("class_key").over(group).alias("other")
+        "sig", "class_key", "n", least.alias("least"), most.alias("most"), F.array(least, most, *others).alias("centres")
     )
-    postings = settled(postings.where("centre <> other").drop("other").distinct())
-    stars = postings.where("class_key <> centre").select(F.col("class_key").alias("a"), F.col("centre").alias("b")).distinct()
+    postings = settled(postings.where("least <> most").drop("least", "most").distinct())
+    stars = postings.select(F.col("class_key").alias("a"), F.explode("centres").alias("b")).where("a <> b").distinct()
+    postings = postings.drop("centres")
     links = verified(docs, classes, settled(stars), size, percent)
-    links = links.union(verified(docs, classes, settled(_across(postings, components(links), percent)), size, percent))
+    links = links.union(verified(docs, classes, settled(_across(postings, classes, components(links), percent)), size, percent))
     roots = components(links).select(F.col("a").alias("class_key"), "root")
     return _labelled(rows, classes, roots)
 
 
-def _across(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one signature group in different components whose sizes allow a link.
+def _across(postings: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one signature group in different components that sizes and parities do not rule out.
 
     In each group one component is the commonest; only members outside it are
     paired with the others, so a group that is one component makes no rows.
@@ -256,10 +270,17 @@ def _across(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     member = member.select("sig", "class_key", "n", F.coalesce("root", "class_key").alias("root"))
     counts = member.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
     most = counts.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    mixed = settled(member.join(most, "sig"))
-    outside = mixed.where("root <> major").select("sig", F.col("class_key").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    fits = (F.least("nx", "n") * 100 >= F.greatest("nx", "n") * percent) & (F.col("rx") != F.col("root"))
-    pairs = outside.join(mixed, "sig").where(fits)
+    mixed = settled(member.join(most, "sig").join(classes.select("class_key", *_LONGS), "class_key"))
+    outside = mixed.where("root <> major").select(
+        "sig", F.col("class_key").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), *[F.col(c).alias(f"x{c}") for c in _LONGS]
+    )
+    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"x{c}"))) for c in _LONGS), F.lit(0))
+    fits = (
+        (F.col("rx") != F.col("root"))
+        & (F.least("nx", "n") * 100 >= F.greatest("nx", "n") * percent)
+        & (differing * (100 + percent) <= (F.col("nx") + F.col("n")) * (100 - percent))
+    )
+    pairs = outside.join(mixed, (outside["sig"] == mixed["sig"]) & fits)
     return pairs.select(F.greatest("x", "class_key").alias("a"), F.least("x", "class_key").alias("b")).distinct()
 
 

@@ -108,6 +108,8 @@ def test_similar_sets_share_a_signature(seed):
     x = np.unique(rng.integers(0, 2**64, rng.integers(2, 120), dtype=np.uint64))
     y = np.unique(np.concatenate([rng.permutation(x)[: max(1, int(len(x) * 0.93))], rng.integers(0, 2**64, rng.integers(0, 8), dtype=np.uint64)]))
     if near.similar(x, y) and len(y) > 1:
+        differing = int(np.bitwise_count((near.parity_longs(x) ^ near.parity_longs(y)).view(np.uint64)).sum())
+        assert differing * 185 <= (len(x) + len(y)) * 15
         assert near.may_link(len(x), near.parity_bits(x), len(y), near.parity_bits(y))
         assert set(near.signatures(x, ranks).tolist()) & set(near.signatures(y, ranks).tolist())
 
