@@ -258,6 +258,18 @@ def _(spark, folder):
     return calendar.add_calendar(v.table(spark, folder, "events").select("event_id", "ts"))
 
 
+@query("calendar_of_instants", """
+SELECT event_id, CAST(hour(w) AS INTEGER) AS hour, CAST(isodow(w) - 1 AS INTEGER) AS weekday,
+       CAST(month(w) AS INTEGER) AS month, CAST(year(w) AS INTEGER) AS year
+FROM (SELECT event_id, timezone('Europe/Paris', timezone('UTC', ts)) AS w FROM events)""")
+def _(spark, folder):
+    events = v.table(spark, folder, "events")
+    # zone-less UTC times as instants, whatever the session's zone
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts)")
+    instants = events.select("event_id", F.timestamp_micros(micros).alias("ts"))
+    return calendar.add_calendar(instants).drop("ts")
+
+
 @query("local_time_and_text", """
 SELECT event_id, ts + INTERVAL 30 HOUR AS later, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Paris' AS local,
   strftime(ts, '%Y-%m-%d %H:%M:%S') AS text FROM events""")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliotide import SERIES, TS
-from heliotide.functions.calendar import add_hours
+from heliotide.functions.calendar import ZONE, add_hours, bound
 from heliotide.operators.ordered import (
     attach, block_window, number_rows, over_rows, with_block_context,
 )
@@ -37,10 +37,10 @@ def select_region(df: DataFrame, code: int | str, column: str = "code_insee_regi
     return df.where(F.col(column) == str(code))
 
 
-def between_times(df: DataFrame, start: str, end: str, ts: str = TS) -> DataFrame:
-    """Closed time range."""
+def between_times(df: DataFrame, start: str, end: str, ts: str = TS, zone: str = ZONE) -> DataFrame:
+    """Closed time range (P2); for instants, bounds without offset are wall-clock times in ``zone``."""
     kind = df.schema[ts].dataType
-    return df.where(F.col(ts).between(F.lit(start).cast(kind), F.lit(end).cast(kind)))
+    return df.where(F.col(ts).between(bound(start, kind, zone), bound(end, kind, zone)))
 
 
 def clip_to(rows: DataFrame, reference: DataFrame, extra_hours: int = 0) -> DataFrame:

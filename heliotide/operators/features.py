@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from heliotide import SERIES, TS
-from heliotide.functions.calendar import add_cyclic
+from heliotide.functions.calendar import ZONE, add_cyclic
 from heliotide.operators.align import fill_hour_grid
 from heliotide.operators.ordered import attach, over_rows
 
@@ -174,9 +174,9 @@ def standardise(df: DataFrame, values: Sequence[str]) -> DataFrame:
     return joined.select(*[scaled[c].alias(c) if c in scaled else c for c in df.columns])
 
 
-def add_time_features(df: DataFrame, periods: Mapping[str, int] | None = None) -> DataFrame:
-    """Cyclic month and hour, the defaults of the feature table (F1)."""
-    return add_cyclic(df, periods or {"month": 12, "hour": 24})
+def add_time_features(df: DataFrame, periods: Mapping[str, int] | None = None, zone: str = ZONE) -> DataFrame:
+    """Cyclic month and hour, the defaults of the feature table (F1), by the clock of ``zone``."""
+    return add_cyclic(df, periods or {"month": 12, "hour": 24}, zone=zone)
 
 
 def pareto_select(

@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliotide import SERIES, TS
+from heliotide.session import cut_lineage
 
 BLOCK = "_block"
 BLOCK_DAYS = 128
 CHUNK_ROWS = 4096
-SALTS = 16
+#: Per-key tables up to this size are sent to the rows.
+BROADCAST_BYTES = 32 << 20
 
 
 def _block_of(df: DataFrame, ts: str, block_days: int) -> Column:
@@ -184,20 +186,42 @@ def attach(
     stats: DataFrame,
     keys: Sequence[str] = (SERIES,),
     how: str = "left",
-    salts: int = SALTS,
+    salts: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join one-row-per-key ``stats`` to ``rows`` with the key salted.
+    """Join one-row-per-key ``stats`` to ``rows`` without moving ``rows``, if ``stats`` is small.
 
-    A key that owns a third of ``rows`` is spread over ``salts`` join
-    partitions; ``stats`` is small next to ``rows`` and is copied ``salts``
-    times. Spark broadcasts it instead when its measured size allows.
+    ``stats`` is written once and measured. Up to ``broadcast_bytes`` it is sent
+    to where the rows are; beyond, the rows are shuffled (``attach_spread``). The
+    result is the same both ways. ``stats`` holds numbers, times and short texts.
     """
-    hashed = [
+    stored = cut_lineage(stats)
+    if stored.count() * sum(_width(f.dataType) for f in stored.schema.fields) <= broadcast_bytes:
+        return rows.join(F.broadcast(stored), list(keys), how)
+    return attach_spread(rows, stored, keys, how, salts)
+
+
+def _width(kind: T.DataType) -> int:
+    """Bytes of a value in memory, roughly; texts, maps and arrays count as a kilobyte."""
+    return 16 if isinstance(kind, (T.NumericType, T.DatetimeType, T.BooleanType)) else 1024
+
+
+def attach_spread(
+    rows: DataFrame, stats: DataFrame, keys: Sequence[str] = (SERIES,), how: str = "left", salts: int | None = None
+) -> DataFrame:
+    """Join one-row-per-key ``stats`` to ``rows`` with the key spread over ``salts`` join partitions.
+
+    By default there are as many as the session has shuffle partitions, so a key
+    that owns a third of the rows is no single task however many rows there are.
+    Rows are spread by their time, or by their values where they have none.
+    """
+    n = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = [TS] if TS in rows.columns else [
         f.name for f in rows.schema.fields
-        if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.VariantType))
-    ]
-    salted = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
+        if f.name not in keys and not isinstance(f.dataType, (T.MapType, T.ArrayType, T.VariantType))
+    ] or list(keys)
+    salted = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    salt = F.pmod(F.xxhash64(*spread), F.lit(n)).cast("int")
     return rows.withColumn("_salt", salt).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliotide import SERIES
-from heliotide.functions.calendar import as_text
+from heliotide.functions.calendar import as_text, wall_clock
 from heliotide.functions.scaling import rescale
 from heliotide.operators.ordered import attach
 from heliotide.operators.shape import newest_predictions
@@ -21,9 +21,11 @@ def rescale_predictions(predictions: DataFrame, factors: DataFrame, value: str =
     return joined.select(*[rescale(value, "_factor").alias(c) if c == value else c for c in predictions.columns])
 
 
-def with_text_times(df: DataFrame, columns: Sequence[str] = ("predicted_at", "forecast_horizon")) -> DataFrame:
-    """Published text form of the time columns."""
-    return df.withColumns({c: as_text(c) for c in columns})
+def with_text_times(
+    df: DataFrame, columns: Sequence[str] = ("predicted_at", "forecast_horizon"), zone: str = "UTC"
+) -> DataFrame:
+    """Published text form of the time columns (F7); instants by the clock of ``zone``."""
+    return df.withColumns({c: as_text(wall_clock(df, c, zone)) for c in columns})
 
 
 def nested_latest(predictions: DataFrame, keys: Sequence[str] = (SERIES,)) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliotide import SERIES, TS
-from heliotide.operators.ordered import attach, over_rows
+from heliotide.functions.calendar import ZONE, wall_clock
+from heliotide.operators.ordered import attach, attach_spread, over_rows
 from heliotide.operators.quantiles import average_ranks, exact_quantiles
 
 
@@ -55,7 +56,7 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ])
     long = rows.select("_row", "_n", F.inline(cells))
     ranks = average_ranks(long.select("_i", "_x", "_n"), ["_i"], "_x", weight="_n")
-    placed = attach(long, ranks, ["_i", "_x"], "inner", salts=4)
+    placed = attach_spread(long, ranks, ["_i", "_x"], "inner")
     ranked = placed.groupBy("_row").agg(F.max("_n").alias("_n"), *[
         F.max(F.when(F.col("_i") == i, F.col("avg_rank"))).alias(f"_rank{i}") for i in range(len(columns))
     ])
@@ -103,7 +104,7 @@ def histogram(df: DataFrame, value: str, bins: int = 20, keys: Sequence[str] = (
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_total")
     )
     # counted per value first: the join sees each value once per group
-    placed = attach(known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), bounds, keys, "inner")
+    placed = attach_spread(known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), bounds, keys, "inner")
     width = (F.col("_hi") - F.col("_lo")) / bins
     bucket = F.least(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width)), F.lit(bins - 1))
     counted = placed.groupBy(*keys, F.coalesce(bucket, F.lit(0)).alias("bin")).agg(
@@ -209,8 +210,8 @@ def cross_correlation(df: DataFrame, covariates: Sequence[str], target: str, lag
     )
 
 
-def decompose_additive(df: DataFrame, value: str, period: int = 24) -> DataFrame:
-    """Trend, seasonal part by hour of day, remainder.
+def decompose_additive(df: DataFrame, value: str, period: int = 24, zone: str = ZONE) -> DataFrame:
+    """Trend, seasonal part by hour of day (by the clock of ``zone``), remainder.
 
     Trend is the centred moving mean whose two end rows weigh half; it is
     missing for half a period at both ends. The seasonal part averages to zero.
@@ -223,7 +224,7 @@ def decompose_additive(df: DataFrame, value: str, period: int = 24) -> DataFrame
         return {"trend": F.when(full, (F.avg(value).over(left) + F.avg(value).over(right)) / 2)}
 
     trended = over_rows(df.select(SERIES, TS, value), build, back=half, ahead=half)
-    phase = trended.withColumn("_hour", F.hour(TS) % period)
+    phase = trended.withColumn("_hour", F.hour(wall_clock(trended, TS, zone)) % period)
     means = phase.groupBy(SERIES, "_hour").agg(F.avg(F.col(value) - F.col("trend")).alias("_raw"))
     level = means.groupBy(SERIES).agg(F.avg("_raw").alias("_level"))
     seasonal = means.join(level, SERIES).select(SERIES, "_hour", (F.col("_raw") - F.col("_level")).alias("seasonal"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliotide import SERIES, TS
+from heliotide.functions.calendar import ZONE
 from heliotide.operators.align import between_times, clip_to, hourly_mean, join_hourly
 from heliotide.operators.features import (
     add_forecast_features, add_past_features, add_time_features, sequences,
@@ -23,7 +24,10 @@ from heliotide.sources.readers import expand_weather
 
 @dataclass
 class FeatureConfig:
-    """What the feature tables hold; the defaults are the full settings."""
+    """What the feature tables hold; the defaults are the full settings.
+
+    Fixed values: the defaults must equal the published ones.
+    """
 
     target: str = "solaire"
     variables: Sequence[str] = tuple(WEATHER_RANGES)
@@ -36,6 +40,8 @@ class FeatureConfig:
     periods: Mapping[str, int] = field(default_factory=lambda: {"month": 12, "hour": 24})
     forecast_hours: int = 48
     grid: str = "rows"
+    #: The clock that bounds, hours and months are read off.
+    zone: str = ZONE
 
 
 def production_table(records: DataFrame, config: FeatureConfig, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -44,7 +50,7 @@ def production_table(records: DataFrame, config: FeatureConfig, start: str | Non
     if (start is None) != (end is None):
         raise ValueError("give both start and end, or neither")
     if start is not None:
-        records = between_times(records, start, end)
+        records = between_times(records, start, end, zone=config.zone)
     return hourly_mean(records, [config.target])
 
 
@@ -71,7 +77,7 @@ def inference_table(production: DataFrame, past: DataFrame, forecast: DataFrame,
     )
     leads = add_forecast_features(ahead, _columns(ahead), config.forecast_leads, config.forecast_deltas, config.grid)
     joined = join_hourly(behind, drop_unshifted(leads, _columns(ahead)), "right")
-    return add_time_features(clip_to(joined, past), config.periods)
+    return add_time_features(clip_to(joined, past), config.periods, config.zone)
 
 
 def training_table(
@@ -97,7 +103,7 @@ def training_table(
             behind, _columns(ahead), config.forecast_leads, config.forecast_deltas, config.grid
         )
         full = drop_unshifted(leads, _columns(ahead))
-    return add_time_features(full, config.periods)
+    return add_time_features(full, config.periods, config.zone)
 
 
 def sequence_tables(

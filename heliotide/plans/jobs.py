@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliotide import SERIES, TS
+from heliotide.functions.calendar import bound
 from heliotide.learning.boosting import MultiHorizonModel, TrainingConfig, train_horizons
 from heliotide.learning.registry import load_model, log_run, publish_model
 from heliotide.operators.normalize import recent_quantile
@@ -25,6 +28,11 @@ from heliotide.sources.tables import (
 )
 
 
+#: How far back the jobs read production.
+FORECAST_HOURS = 99
+QUANTILE_HOURS = 91 * 24
+
+
 def _staged(
     records: DataFrame, past: DataFrame, forecast: DataFrame, config: FeatureConfig, **bounds: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -50,9 +58,27 @@ class Layout:
         self.runs = f"{self.root}/runs"
 
 
-def refresh_quantile(records: DataFrame, layout: Layout, config: FeatureConfig, days: int = 90, q: float = 0.99) -> DataFrame:
-    """Quantile of the last days per series, kept for the forecast job."""
-    hourly = production_table(records, config)
+def recent(df: DataFrame, hours: int | None, now: datetime | None, ts: str = TS) -> DataFrame:
+    """Rows of the last ``hours`` before ``now`` (the present by default); the bound is a constant that scans can use.
+
+    Without ``hours`` nothing is left out. ``ts`` is an instant, or zone-less UTC.
+    """
+    if hours is None:
+        return df
+    since = (now or datetime.now(timezone.utc)) - timedelta(hours=hours)
+    return df.where(F.col(ts) >= bound(since.isoformat() if isinstance(df.schema[ts].dataType, T.TimestampType) else since.replace(tzinfo=None).isoformat(), df.schema[ts].dataType))
+
+
+def refresh_quantile(
+    records: DataFrame, layout: Layout, config: FeatureConfig, days: int = 90, q: float = 0.99,
+    hours: int | None = QUANTILE_HOURS, now: datetime | None = None,
+) -> DataFrame:
+    """Quantile of the last days per series, kept for the forecast job.
+
+    Only the last ``hours`` before ``now`` are read: the days and one to spare.
+    ``hours=None`` reads all, for series that ended earlier.
+    """
+    hourly = production_table(recent(records, hours, now), config)
     factors = recent_quantile(hourly, config.target, days, q)
     upsert_quantiles(factors.withColumn("computed_at", F.current_timestamp()), layout.quantiles)
     return read_quantiles(records.sparkSession, layout.quantiles)
@@ -65,10 +91,19 @@ def predict_latest(features: DataFrame, factors: DataFrame, model: MultiHorizonM
 
 
 def run_forecast(
-    records: DataFrame, past: DataFrame, forecast: DataFrame, layout: Layout, config: FeatureConfig
+    records: DataFrame, past: DataFrame, forecast: DataFrame, layout: Layout, config: FeatureConfig,
+    hours: int | None = FORECAST_HOURS, now: datetime | None = None,
 ) -> DataFrame:
-    """Features -> stored table -> prediction by the aliased model -> stored predictions."""
+    """Features -> stored table -> prediction by the aliased model -> stored predictions.
+
+    Only production of the last ``hours`` before ``now`` is read, which must
+    hold the longest lag and window of ``config``; ``hours=None`` reads all.
+    """
     spark = records.sparkSession
+    reach = max([*config.past_lags, *config.past_windows])
+    if hours is not None and hours <= reach:
+        raise ValueError(f"{hours} hours do not hold the longest lag or window, {reach}")
+    records = recent(records, hours, now)
     table = inference_table(*_staged(records, past, forecast, config), config)
     write_table(table, layout.features)
     stored = read_table(spark, layout.features)

@@ -182,24 +182,21 @@ def _known(x: Column) -> Column:
 
 
 def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
-    """Coordinates table with WKT points; fails when it has no row."""
-    points = wkt_points(spark.read.schema(schemas.COORDINATES).parquet(path), strict=True)
-    if points.isEmpty():
-        raise ValueError(f"no coordinates in {path}")
+    """Coordinates table with WKT points; fails when it has no row, or one that is no point."""
+    points = wkt_points(spark.read.schema(schemas.COORDINATES).parquet(path))
+    seen = points.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lon").isNull() | F.col("lat").isNull()).alias("bad")).first()
+    if not seen["n"] or seen["bad"]:
+        raise ValueError(f"{seen['n']} coordinates in {path}, {seen['bad']} of them not a point")
     return points
 
 
-def wkt_points(df: DataFrame, geometry: str = "geometry", strict: bool = False) -> DataFrame:
-    """``POINT (lon lat)`` -> ``lon, lat`` (S6); other text gives NULL, or fails the query if ``strict``."""
+def wkt_points(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """``POINT (lon lat)`` -> ``lon, lat``; other text gives NULL."""
     number = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
     pattern = rf"^\s*POINT\s*\(\s*{number}\s+{number}\s*\)\s*$"
 
     def part(k):
-        number = F.regexp_extract(geometry, pattern, k).try_cast("double")
-        if not strict:
-            return number
-        wrong = F.raise_error(F.concat(F.lit("not a point: "), F.coalesce(F.col(geometry), F.lit("(none)")))).cast("double")
-        return F.coalesce(number, wrong)
+        return F.regexp_extract(geometry, pattern, k).try_cast("double")
 
     return df.select(*[c for c in df.columns if c != geometry], part(1).alias("lon"), part(2).alias("lat"))
 

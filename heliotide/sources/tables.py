@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliotide import SERIES, TS
-from heliotide.functions.calendar import to_local
+from heliotide.functions.calendar import ZONE, to_local, wall_clock
 from heliotide.operators.ordered import last_per_key
 from heliotide.sources import schemas
 
@@ -192,15 +192,11 @@ def stale_quantiles(df: DataFrame, keys: Sequence[str] = (SERIES,)) -> DataFrame
     return newest.where(bad).drop("v")
 
 
-def load_training_table(spark: SparkSession, path: str, zone: str = "Europe/Paris") -> DataFrame:
+def load_training_table(spark: SparkSession, path: str, zone: str = ZONE) -> DataFrame:
     """Training table with ``ts_local``, the wall-clock time in ``zone``."""
     df = read_table(spark, path)
     if isinstance(df.schema[TS].dataType, T.TimestampType):
-        seconds = (F.unix_micros(TS) / F.lit(1_000_000)).cast("decimal(18,6)")
-        zero = F.lit(0)
-        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-        utc = df.withColumn("ts_local", epoch + F.make_dt_interval(zero, zero, zero, seconds))
-        return utc.withColumn("ts_local", to_local("ts_local", zone))
+        return df.withColumn("ts_local", wall_clock(df, TS, zone))
     return df.withColumn("ts_local", to_local(TS, zone))
 
 

@@ -1,6 +1,6 @@
 """Models and the three jobs end to end on a small region."""
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
@@ -70,14 +70,17 @@ def test_jobs_end_to_end(spark, region, tmp_path):
     assert [(r.feature_set, r.horizon_tag) for r in runs] == [("short", "short"), ("long", "long")]
     assert all(r.tags["horizon_bucket"] == r.horizon_tag and np.isfinite(r.rmse) for r in runs)
 
-    factor = jobs.refresh_quantile(production, layout, config).first().p99_value
-    predictions = jobs.run_forecast(production, past, forecast, layout, config).orderBy("forecast_horizon").collect()
+    now = (START + timedelta(hours=HOURS)).replace(tzinfo=timezone.utc)
+    factor = jobs.refresh_quantile(production, layout, config, now=now).first().p99_value
+    predictions = jobs.run_forecast(production, past, forecast, layout, config, now=now).orderBy("forecast_horizon").collect()
     last_hour = START + timedelta(hours=HOURS - 1)
     assert [p.forecast_horizon for p in predictions] == [last_hour + timedelta(hours=1), last_hour + timedelta(hours=24)]
     assert all(0 <= p.predicted_value <= 2 * factor for p in predictions)
     assert nested_latest(spark.createDataFrame(predictions)).count() == 1
     # a second run replaces the rows of the same hour
-    assert jobs.run_forecast(production, past, forecast, layout, config).count() == 2
+    assert jobs.run_forecast(production, past, forecast, layout, config, hours=None).count() == 2
+    with pytest.raises(ValueError, match="longest"):
+        jobs.run_forecast(production, past, forecast, layout, config, hours=24)
     with pytest.raises(ValueError):
         registry.resolve_alias(spark, layout.root, "other")
 
@@ -92,3 +95,15 @@ def test_selection_falls_back_to_the_strongest(spark, monkeypatch):
     gains = spark.createDataFrame([(1, "a", 1.0), (1, "b", 0.0)], "horizon int, feature string, gain double")
     monkeypatch.setattr(boosting, "fit_gains", lambda *a, **k: gains)
     assert boosting.fit_selected_features(gains, ["a", "b"], "y", [1], {}) == ["a"]
+
+
+def test_jobs_read_only_what_they_need(spark, region, tmp_path):
+    production = region[0]
+    production.write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    now = (START + timedelta(hours=HOURS)).replace(tzinfo=timezone.utc)
+    few = jobs.recent(stored, 10, now)
+    assert few.count() == 40
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in plan.split("PushedFilters")[1]
+    assert jobs.recent(stored, None, now) is stored

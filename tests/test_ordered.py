@@ -60,9 +60,25 @@ def test_reserved_names_are_refused(hourly):
 def test_attach_keeps_rows_of_a_hot_key(spark):
     rows = spark.range(3000).select(F.when(F.col("id") < 2000, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("series_id"), "id")
     stats = rows.groupBy("series_id").agg(F.count("*").alias("n"))
-    out = o.attach(rows, stats)
-    assert out.count() == 3000
-    assert out.where("series_id = 'hot' AND n = 2000").count() == 2000
+    for out in (o.attach(rows, stats), o.attach(rows, stats, broadcast_bytes=0, salts=7), o.attach_spread(rows, stats)):
+        assert out.count() == 3000
+        assert out.where("series_id = 'hot' AND n = 2000").count() == 2000
+
+
+def test_attach_does_not_move_rows_when_the_table_is_small(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        spark.range(5000).select(F.lit("hot").alias("series_id"), F.col("id").cast("timestamp").alias("ts"), "id").write.parquet(str(tmp_path / "r"))
+        rows = spark.read.parquet(str(tmp_path / "r"))
+        stats = rows.groupBy("series_id").agg(F.avg("id").alias("m"))
+        near, far = o.attach(rows, stats), o.attach(rows, stats, broadcast_bytes=0)
+        assert sorted(near.collect()) == sorted(far.select(*near.columns).collect())
+        plans = [df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0] for df in (near, far)]
+        assert "Exchange hashpartitioning" not in plans[0] and "BroadcastHashJoin" in plans[0]
+        spread = far.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert spread > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_last_per_key_and_empty_input(spark, hourly):
