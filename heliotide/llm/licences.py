@@ -59,13 +59,22 @@ EQUIVALENT = (
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(?:copyright|\(c\)).*$"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, one spelling, no copyright lines, letters and digits alone with one space between words."""
+def canonical_lines(text: Column) -> Column:
+    """Lower case, one spelling, no copyright lines, letters and digits alone; line breaks stay."""
     out = F.lower(text)
     for pattern, to in EQUIVALENT:
         out = F.regexp_replace(out, pattern, to)
     out = F.regexp_replace(out, COPYRIGHT_LINE, " ")
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+
+
+def joined(lines: Column) -> Column:
+    """Canonical lines as one text, with one space between words."""
+    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+
+
+def canonical(text: Column) -> Column:
+    return joined(canonical_lines(text))
 
 
 def known_licences(spark, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
@@ -74,15 +83,15 @@ def known_licences(spark, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame
     return texts.where("canon <> ''").select("licence", F.sha2("canon", 256).alias("digest")).distinct()
 
 
-def _units(text: Column) -> Column:
-    paragraphs = F.split(text, r"\n[ \t]*\n")
-    lines = F.split(text, r"\n")
+def _units(lines: Column) -> Column:
+    """(scope, canonical text) of the whole, of its paragraphs and of its lines, the latter where there are several."""
     unit = lambda scope: lambda t: F.struct(F.lit(scope).alias("scope"), t.alias("text"))
+    filled = lambda units: F.filter(units, lambda t: t != "")
     several = lambda units: F.when(F.size(units) > 1, units).otherwise(F.array().cast("array<string>"))
     return F.concat(
-        F.array(F.struct(F.lit("text").alias("scope"), text.alias("text"))),
-        F.transform(several(paragraphs), unit("paragraph")),
-        F.transform(several(lines), unit("line")),
+        F.transform(filled(F.array(joined(lines))), unit("text")),
+        F.transform(several(filled(F.transform(F.split(lines, r"\n(?: *\n)+"), joined))), unit("paragraph")),
+        F.transform(several(filled(F.transform(F.split(lines, r"\n"), lambda t: F.trim(t)))), unit("line")),
     )
 
 
@@ -90,13 +99,15 @@ def matches(docs: DataFrame, licences: DataFrame) -> DataFrame:
     """``doc_id, text_key, scope, unit, licence`` for each unit of a text whose digest is known.
 
     A document is looked up as a whole; its paragraphs and lines too where it
-    has several. ``licences`` comes from ``known_licences``.
+    has several. Paragraphs end at lines without letters or digits, such as
+    blank lines and copyright lines. ``licences`` comes from ``known_licences``.
     """
-    units = docs.select(
+    texts = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"),
-        F.posexplode(_units(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("unit", "u"),
-    ).where(F.length("u.text") > 0)
-    digests = units.select("doc_id", "text_key", "unit", F.col("u.scope").alias("scope"), F.sha2(canonical(F.col("u.text")), 256).alias("digest"))
+        canonical_lines(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("lines"),
+    )
+    units = texts.select("doc_id", "text_key", F.posexplode(_units(F.col("lines"))).alias("unit", "u"))
+    digests = units.select("doc_id", "text_key", "unit", F.col("u.scope").alias("scope"), F.sha2("u.text", 256).alias("digest"))
     return digests.join(licences, "digest").select("doc_id", "text_key", "scope", "unit", "licence")
 
 

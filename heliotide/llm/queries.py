@@ -95,25 +95,32 @@ def _canonical_sql(text: str) -> str:
         to = to + (chr(92) + "1" if "([0-9])" in pattern else "")
         quoted = pattern.replace("'", "''")
         out = f"regexp_replace({out}, '{quoted}', '{to}', 'g')"
-    return f"trim(regexp_replace(regexp_replace({out}, '{licences.COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    return f"regexp_replace(regexp_replace({out}, '{licences.COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
 
 
 def _licence_sql() -> str:
     pairs = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licences.KNOWN)
+    joined = lambda x: f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))"
+    filled = lambda units: f"list_filter(list_transform({units}, lambda t: {joined('t')}), lambda t: t <> '')"
     return f"""
 WITH known AS (
-    SELECT DISTINCT licence, {_canonical_sql("t")} AS canon FROM (VALUES {pairs}) AS k(licence, t)
+    SELECT DISTINCT licence, {joined(_canonical_sql("t"))} AS canon FROM (VALUES {pairs}) AS k(licence, t)
+), texts AS (
+    SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS c FROM documents
+), parts AS (
+    SELECT doc_id, {filled("[c]")} AS whole, {filled("regexp_split_to_array(c, '\\n(?: *\\n)+')")} AS paragraphs,
+           {filled("string_split(c, chr(10))")} AS lines FROM texts
 ), units AS (
-    SELECT doc_id, 'text' AS scope, 0 AS unit, text AS t FROM documents
+    SELECT doc_id, 'text' AS scope, i, whole[i] AS t FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM parts)
     UNION ALL
-    SELECT doc_id, 'paragraph', i, p[i] FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\n[ \t]*\n') AS p FROM documents) WHERE len(p) > 1)
+    SELECT doc_id, 'paragraph', i, paragraphs[i] FROM (SELECT *, unnest(range(1, len(paragraphs) + 1)) AS i FROM parts WHERE len(paragraphs) > 1)
     UNION ALL
-    SELECT doc_id, 'line', i, p[i] FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) WHERE len(p) > 1)
+    SELECT doc_id, 'line', i, lines[i] FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM parts WHERE len(lines) > 1)
 ), met AS (
-    SELECT doc_id, scope, unit, licence FROM units JOIN known ON {_canonical_sql("units.t")} = known.canon
+    SELECT doc_id, scope, i, licence FROM units JOIN known ON units.t = known.canon
 ), found AS (
     SELECT doc_id, min(licence) FILTER (scope = 'text') AS whole_licence,
-           array_to_string(list_sort(list(DISTINCT licence)), ',') AS licences, count(DISTINCT (scope, unit)) AS n_units
+           array_to_string(list_sort(list(DISTINCT licence)), ',') AS licences, count(DISTINCT (scope, i)) AS n_units
     FROM met GROUP BY doc_id
 )
 SELECT d.doc_id, whole_licence, coalesce(licences, '') AS licences, coalesce(n_units, 0) AS n_units

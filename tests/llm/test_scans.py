@@ -195,5 +195,5 @@ def test_licences(spark):
     assert got[1][0][:2] == ("MIT", "MIT")
     assert got[2] == [(None, "", 0)] and got[5] == got[6] == got[7] == [(None, "", 0)]
     assert got[3] == [(None, "Apache-2.0", 1)] * 2
-    assert got[4] == got[None] == [("all-rights-reserved", "all-rights-reserved", 2)]
+    assert got[4] == got[None] == [("all-rights-reserved", "all-rights-reserved", 1)]
     assert licences.report(empty(spark)).count() == 0
