@@ -176,7 +176,7 @@ def test_secrets(spark):
     assert spans[1] == f"assign:2:17,access:23:43,hex:47:71"
     assert (spans[2], spans[3], spans[4], spans[6], spans[9], spans[10]) == ("", "", "", "", "", "")
     assert spans[5] == "identifier:0:12,run:18:36" and spans[7] == "run:0:18,endpoint:22:46"
-    assert spans[8] == "assign:23:37" and spans[11] == "endpoint:0:13,hex:14:46"
+    assert spans[8] == "assign:21:35" and spans[11] == "endpoint:0:13,hex:14:46"
     assert got[1][0]["base_sha256"] == hashlib.sha256(spans[1].encode()).hexdigest()
     assert got[7][0]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[7][0]["n_linked"] == 2
     assert secrets.report(empty(spark)).count() == 0
