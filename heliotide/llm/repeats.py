@@ -38,7 +38,8 @@ WORD_GRAM, BYTE_GRAM = 8, 16
 HOT_SHARE = 1000
 LEAST_HOT = 1000
 LEAST_BUCKETS = 16
-BUCKET_BYTES = 64 << 20
+#: Bytes of text per bucket, for anchors and for contexts.
+BUCKET_BYTES, CONTEXT_BUCKET_BYTES = 64 << 20, 16 << 20
 SLICE_BYTES = 1 << 21
 FLUSH_ANCHORS = 1 << 21
 FLUSH_CONTEXTS = 1 << 18
@@ -423,13 +424,14 @@ def covered(docs: DataFrame, as_units: Callable, matcher: Matcher, hot_docs: int
     )
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     buckets = max(LEAST_BUCKETS, -(-(size["b"] or 0) // BUCKET_BYTES))
+    context_buckets = max(LEAST_BUCKETS, -(-(size["b"] or 0) // CONTEXT_BUCKET_BYTES))
     hot_docs = hot_docs or max(LEAST_HOT, size["n"] // HOT_SHARE)
     able = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") >= WINDOW)
     shared = settled(able.mapInArrow(_send_anchors(buckets, as_units), _STAGE1_DDL).groupBy("bucket").applyInArrow(_meet_anchors(hot_docs), _SHARED_DDL))
     # At most HOT_SHARE times the anchors of a mean document.
     hot = np.array([r["hot"] for r in shared.where("hot IS NOT NULL").select("hot").collect()], dtype=np.int64)
     places = shared.where("row_key IS NOT NULL").groupBy("row_key").agg(F.collect_list("places").alias("places"))
-    sent = able.join(places, "row_key").select("doc_id", "row_key", "text", "places").mapInArrow(_send_contexts(buckets, as_units, hot), _STAGE2_DDL)
+    sent = able.join(places, "row_key").select("doc_id", "row_key", "text", "places").mapInArrow(_send_contexts(context_buckets, as_units, hot), _STAGE2_DDL)
     spans = settled(sent.groupBy("bucket").applyInArrow(_meet_contexts(matcher), "row_key bigint, spans binary"))
     return rows.join(spans.groupBy("row_key").agg(F.collect_list("spans").alias("spans")), "row_key", "left").select("doc_id", "text", "spans")
 

@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame
 
 from heliotide.session import cut_lineage
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, with the shuffle files of its plan let go.
+    """``df`` written to the shared folder and read back; the shuffle files of its plan are removed once it is written.
 
-    Spark removes shuffle files when the driver's collector finds that nobody
-    refers to them any more. A small driver may not collect for a long time, so
-    it is asked to: disk then holds one step at a time, not all of them.
+    Disk then holds the shuffles of one step at a time. The plan is never run
+    again, so nobody misses them; executors lost before the write ends are
+    handled as always.
     """
-    out = cut_lineage(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return cut_lineage(df)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
