@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliotide.session import cut_lineage
+from heliotide.llm.settle import settled
 
 WHITE = (" ", "\t", "\n", "\x0b", "\f", "\r")
 HOT_SHARE = 1000
@@ -84,7 +84,7 @@ def fates(docs: DataFrame, carry: list[str], digest: Digest = whole, salts: int
     different texts under one digest are told apart by their content.
     """
     groups = combined(docs, digest, salts)
-    winners = cut_lineage(groups.select("_digest", "_n", "_best"))
+    winners = settled(groups.select("_digest", "_n", "_best"))
     clash = not winners.groupBy("_digest").count().where("count > 1").isEmpty()
     key = ["_digest", "_content"] if clash else ["_digest"]
     winners = groups.select(*key, "_n", "_best") if clash else winners
