@@ -115,9 +115,21 @@ def _(spark, folder):
     return rounded(quality.column_profile(df, percentiles=True), "mean", "std", "p25", "p50", "p75", places=3)
 
 
-@query("column_types", "SELECT * FROM (VALUES ('bigint', CAST(3 AS BIGINT)), ('int', 1), ('double', 4), ('string', 2), ('timestamp_ntz', 1)) t(dtype, n_columns)")
+_TYPES = {"bigint": ["l_orderkey", "l_partkey", "l_suppkey"], "int": ["l_linenumber"], "double": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]}
+
+
+@query("typed_profile", " UNION ALL ".join(
+    f"SELECT '{dtype}' AS dtype, CAST({len(names)} AS BIGINT) AS n_columns, "
+    f"CAST({' + '.join(f'count({c})' for c in names)} AS BIGINT) AS n_values FROM lineitem" for dtype, names in _TYPES.items()))
 def _(spark, folder):
-    return quality.type_counts(v.table(spark, folder, "lineitem"))
+    """Columns per type, and the values they hold."""
+    lines = v.table(spark, folder, "lineitem").select(*[c for names in _TYPES.values() for c in names])
+    held = [
+        lines.agg(sum(F.count(c) for c in names).alias("n_values")).select(F.lit(dtype).alias("dtype"), "n_values")
+        for dtype, names in _TYPES.items()
+    ]
+    values = held[0].unionByName(held[1]).unionByName(held[2])
+    return quality.type_counts(lines).join(values, "dtype").select("dtype", "n_columns", "n_values")
 
 
 @query("duplicate_share", """
