@@ -205,16 +205,19 @@ def _verify(size: int, percent: int):
     return run
 
 
+def possible(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (``a, b`` class keys) without those that sizes or parity bits rule out."""
+    known = classes.select("class_key", F.struct("n", "bits").alias("known"))
+    both = pairs.join(known.select(F.col("class_key").alias("a"), F.col("known").alias("x")), "a").join(known.select(F.col("class_key").alias("b"), F.col("known").alias("y")), "b")
+    return both.select("a", "b", "x.n", "x.bits", F.col("y.n").alias("m"), F.col("y.bits").alias("other")).mapInArrow(_possible(percent), "a bigint, b bigint")
+
+
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (``a, b`` class keys) whose sets are similar enough.
 
-    Sizes and parity bits first rule out pairs that cannot link, so few texts
-    travel; what is left is compared set by set. Each centre b meets its partners in groups of about ``STAR_ROWS``, so a
+    Each centre b meets its partners in groups of about ``STAR_ROWS``, so a
     centre with very many partners is spread over many tasks.
     """
-    known = classes.select("class_key", F.struct("n", "bits").alias("known"))
-    pairs = pairs.join(known.select(F.col("class_key").alias("a"), F.col("known").alias("x")), "a").join(known.select(F.col("class_key").alias("b"), F.col("known").alias("y")), "b")
-    pairs = settled(pairs.select("a", "b", "x.n", "x.bits", F.col("y.n").alias("m"), F.col("y.bits").alias("other")).mapInArrow(_possible(percent), "a bigint, b bigint"))
     stars = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).alias("parts"))
     placed = pairs.join(stars, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
     roles = placed.union(placed.select(F.col("b").alias("a"), "b", "part").distinct())
@@ -254,7 +257,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     postings = settled(postings.where("least <> most").drop("least", "most").distinct())
     stars = postings.select(F.col("class_key").alias("a"), F.explode("centres").alias("b")).where("a <> b").distinct()
     postings = postings.drop("centres")
-    links = verified(docs, classes, settled(stars), size, percent)
+    links = verified(docs, classes, settled(possible(classes, stars, percent)), size, percent)
     links = links.union(verified(docs, classes, settled(_across(postings, classes, components(links), percent)), size, percent))
     roots = components(links).select(F.col("a").alias("class_key"), "root")
     return _labelled(rows, classes, roots)
