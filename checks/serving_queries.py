@@ -347,6 +347,19 @@ def evaluated(spark, folder):
     return evaluate.join_predictions(walk, predictions)
 
 
+@query("prediction_coverage", f"""
+WITH {WALK} SELECT series_id, horizon, count(*) AS n_actual,
+  CAST(count(*) FILTER (WHERE hour(origin_ts) % 2 = 1 OR horizon NOT IN (1, 2, 24)) AS BIGINT) AS n_missing,
+  {r('sum(prediction * 2) FILTER (WHERE hour(origin_ts) % 2 = 0 AND horizon IN (1, 2, 24))', 'total', 3)} FROM walk GROUP BY 1, 2""")
+def _(spark, folder):
+    """Wide predictions of every second origin and three horizons: the others are counted, not dropped."""
+    table = features.add_past_features(v.prod(spark, folder), ["y"], [1], [24]).where(F.hour(TS) % 2 == 0)
+    wide = table.select(SERIES, TS, F.lit(2.0).alias("denominator"), *[F.col("y_ma_24").alias(f"+{h}h") for h in (1, 2, 24)])
+    joined = evaluate.join_predictions(evaluate.walk_forward(v.prod(spark, folder), "y"), evaluate.predictions_by_origin(wide, "denominator"))
+    totals = joined.groupBy(SERIES, "horizon").agg(F.sum("prediction").alias("total"))
+    return rounded(evaluate.prediction_coverage(joined).join(totals, [SERIES, "horizon"]), "total", places=3)
+
+
 @query("error_summary", f"""
 WITH {WALK} SELECT series_id, count(*) AS n, {r('sqrt(avg((actual - prediction) ** 2))', 'rmse')}, {r('avg(abs(actual - prediction))', 'mae')},
   {r('avg(abs((actual - prediction) / (actual + 1e-6))) * 100', 'mape', 3)} FROM walk GROUP BY 1""")

@@ -135,7 +135,7 @@ def fold_table(
     keyed = split.withColumn(SERIES, F.concat_ws("#", "fold", SERIES))
     model = SeriesNormaliser(covariates, target).fit(keyed.where("role = 'train'")).stored()
     table = assemble(_scale_rows(model, keyed), features)
-    return cut_lineage(table.select("fold", "role", "inputs", "label", "actual", "denominator"))
+    return cut_lineage(table.select("fold", "role", "inputs", "label", "actual", "denominator"), ("fold", "role"))
 
 
 def _scale_rows(model: SeriesNormaliserModel, rows: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliotide import SERIES, TS
+from heliotide.functions.calendar import horizon_of
 from heliotide.operators.ordered import over_rows
 
 HORIZONS = 24
@@ -49,9 +51,32 @@ def walk_forward(
     )
 
 
+def predictions_by_origin(wide: DataFrame, factor: str | None = None) -> DataFrame:
+    """``+1h .. +24h`` predictions made at each row -> ``(series_id, origin_ts, horizon, prediction)``.
+
+    ``factor`` names the column that undoes the normalisation of that row, such
+    as its denominator.
+    """
+    horizons = [c for c in wide.columns if re.fullmatch(r"\+\d+h", c)]
+    long = wide.unpivot([SERIES, TS, *([factor] if factor else [])], [f"`{c}`" for c in horizons], "_label", "_value")
+    value = F.col("_value") * F.col(factor) if factor else F.col("_value")
+    return long.select(SERIES, F.col(TS).alias("origin_ts"), horizon_of("_label").alias("horizon"), value.alias("prediction"))
+
+
 def join_predictions(walk: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Add ``prediction`` from ``(series_id, origin_ts, horizon, prediction)``."""
-    return walk.join(predictions, [SERIES, "origin_ts", "horizon"])
+    """Add ``prediction`` from ``(series_id, origin_ts, horizon, prediction)``.
+
+    An origin without a prediction keeps its row with NULL; ``prediction_coverage`` counts such rows.
+    """
+    return walk.join(predictions, [SERIES, "origin_ts", "horizon"], "left")
+
+
+def prediction_coverage(df: DataFrame, by: Sequence[str] = (SERIES, "horizon")) -> DataFrame:
+    """Rows with an actual value, and how many of them lack a prediction."""
+    known = F.col("actual").isNotNull()
+    return df.groupBy(*by).agg(
+        F.count_if(known).alias("n_actual"), F.count_if(known & F.col("prediction").isNull()).alias("n_missing")
+    )
 
 
 def error_summary(df: DataFrame, actual: str = "actual", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
