@@ -37,7 +37,7 @@ WINDOW = 50
 WORD_GRAM, BYTE_GRAM = 8, 16
 HOT_SHARE = 1000
 LEAST_HOT = 1000
-LEAST_BUCKETS = 16
+LEAST_BUCKETS, LEAST_CONTEXT_BUCKETS = 16, 64
 #: Bytes of text per bucket, for anchors and for contexts.
 BUCKET_BYTES, CONTEXT_BUCKET_BYTES = 64 << 20, 16 << 20
 SLICE_BYTES = 1 << 21
@@ -424,7 +424,7 @@ def covered(docs: DataFrame, as_units: Callable, matcher: Matcher, hot_docs: int
     )
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     buckets = max(LEAST_BUCKETS, -(-(size["b"] or 0) // BUCKET_BYTES))
-    context_buckets = max(LEAST_BUCKETS, -(-(size["b"] or 0) // CONTEXT_BUCKET_BYTES))
+    context_buckets = max(LEAST_CONTEXT_BUCKETS, -(-(size["b"] or 0) // CONTEXT_BUCKET_BYTES))
     hot_docs = hot_docs or max(LEAST_HOT, size["n"] // HOT_SHARE)
     able = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") >= WINDOW)
     shared = settled(able.mapInArrow(_send_anchors(buckets, as_units), _STAGE1_DDL).groupBy("bucket").applyInArrow(_meet_anchors(hot_docs), _SHARED_DDL))
