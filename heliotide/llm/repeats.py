@@ -354,7 +354,19 @@ def _union(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[head, 0], reach[np.append(head[1:], len(spans)) - 1]])
 
 
-def _meet_contexts(matcher: Matcher):
+def _batches(edges: list[int], size: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring groups (between consecutive ``edges``) put together until they have ``size`` members or more.
+
+    Windows of different anchors are different, so groups do not disturb each other.
+    """
+    first = 0
+    for k, edge in enumerate(edges):
+        if edge - first >= size or (k == len(edges) - 1 and edge > first):
+            yield first, edge
+            first = edge
+
+
+def _meet_contexts(matcher: Matcher, batch: int):
     def run(table: pa.Table) -> pa.Table:
         out, entries, contents, windows = [], [], [], []
         for r in table.to_pylist():
@@ -389,7 +401,7 @@ def _meet_contexts(matcher: Matcher):
             several[:-1] |= anchor[1:] == anchor[:-1]
             edge = np.flatnonzero(_first_of(anchor[several])) if several.any() else np.empty(0, np.int64)
             lead_of = np.flatnonzero(several)
-            for a, b in zip(edge.tolist(), np.append(edge[1:], len(lead_of)).tolist()):
+            for a, b in _batches(np.append(edge, len(lead_of)).tolist(), batch):
                 members = lead_of[a:b]
                 hits = matcher([contents[order[lead[g]]] for g in members.tolist()], [int(least[g]) for g in members.tolist()])
                 for g, hit in zip(members.tolist(), hits):
@@ -411,13 +423,14 @@ def _meet_contexts(matcher: Matcher):
     return run
 
 
-def covered(docs: DataFrame, as_units: Callable, matcher: Matcher, hot_docs: int | None = None) -> DataFrame:
+def covered(docs: DataFrame, as_units: Callable, matcher: Matcher, hot_docs: int | None = None, batch: int = 1) -> DataFrame:
     """``docs`` (``doc_id, text``) with ``spans``: array of packed spans of covered units, null if there are none.
 
     A null text is empty. A row without doc_id neither covers nor is covered;
     rows with one doc_id do not cover each other. ``hot_docs`` (default: a
     thousandth of all rows, 1000 at least) sets from how many documents on an
-    anchor is hot; the result does not depend on it.
+    anchor is hot, ``batch`` how many contexts the
+    matcher gets at least; the result depends on neither.
     """
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("row_key")
@@ -432,7 +445,7 @@ def covered(docs: DataFrame, as_units: Callable, matcher: Matcher, hot_docs: int
     hot = np.array([r["hot"] for r in shared.where("hot IS NOT NULL").select("hot").collect()], dtype=np.int64)
     places = shared.where("row_key IS NOT NULL").groupBy("row_key").agg(F.collect_list("places").alias("places"))
     sent = able.join(places, "row_key").select("doc_id", "row_key", "text", "places").mapInArrow(_send_contexts(context_buckets, as_units, hot), _STAGE2_DDL)
-    spans = settled(sent.groupBy("bucket").applyInArrow(_meet_contexts(matcher), "row_key bigint, spans binary"))
+    spans = settled(sent.groupBy("bucket").applyInArrow(_meet_contexts(matcher, batch), "row_key bigint, spans binary"))
     return rows.join(spans.groupBy("row_key").agg(F.collect_list("spans").alias("spans")), "row_key", "left").select("doc_id", "text", "spans")
 
 
