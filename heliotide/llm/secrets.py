@@ -33,14 +33,16 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 #: Weak kinds, after the strong ones in the order of listing.
-IDENTIFIER = re.compile(r"""(?a:\b(?i:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64}))""")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,64}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""(?a:https?://[^\s"'<>]{4,200}|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?\b)""")
+IDENTIFIER = re.compile(r"""(?a:\b(?i:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,}))""")
+#: Whole runs of any length; a run right behind '=' is a value, one right before '=' and more of them a name.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"""(?a:https?://[^\s"'<>]{4,}|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?\b)""")
 
 KINDS = ("assign", "access", "hex", "identifier", "run", "endpoint")
 STRONG = KINDS[:3]
 ROLE = {"assign": "secret", "access": "name", "hex": "secret", "identifier": "name", "run": "secret", "endpoint": "place"}
 COMPLEMENTS = {"secret": ("name", "place"), "name": ("secret",), "place": ("secret",)}
+_CUT = {KINDS.index("identifier"): IDENTIFIER, KINDS.index("endpoint"): ENDPOINT}
 _PART = "struct<start:int,kind:int,end:int>"
 
 
@@ -54,7 +56,7 @@ def parts_of(text: str) -> list[tuple[int, int, int]]:
     weak += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     strong.sort()
     if weak and strong:
-        weak = _outside(sorted(weak), strong)
+        weak = _outside(text, sorted(weak), strong)
     return sorted(strong + weak)
 
 
@@ -63,15 +65,22 @@ def _mixed(run: str) -> bool:
     return any(c.isdigit() for c in run) and any("a" <= c <= "z" for c in run) and any("A" <= c <= "Z" for c in run)
 
 
-def _outside(weak: list[tuple[int, int, int]], strong: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The weak parts that overlap no strong one; both sorted by start."""
+def _outside(text: str, weak: list[tuple[int, int, int]], strong: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The weak parts that overlap no strong one; both sorted by start.
+
+    An identifier or endpoint that runs into a strong part ends before it, if what is left is still one.
+    """
     out, k, reach = [], 0, -1
     for start, kind, end in weak:
-        while k < len(strong) and strong[k][0] < end:
+        while k < len(strong) and strong[k][0] <= start:
             reach = max(reach, strong[k][2])
             k += 1
-        if reach <= start:
+        if reach > start:
+            continue
+        if k == len(strong) or strong[k][0] >= end:
             out.append((start, kind, end))
+        elif kind in _CUT and (left := _CUT[kind].match(text, start, strong[k][0])):
+            out.append((start, kind, left.end()))
     return out
 
 

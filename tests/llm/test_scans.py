@@ -182,6 +182,30 @@ def test_secrets(spark):
     assert secrets.report(empty(spark)).count() == 0
 
 
+def test_secrets_are_found_whole(spark):
+    name, value, key = "AKIA" + "ABCDEFGH12345678", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKE", "aB3+" * 21 + "aB=="
+    url = "https://example.org/" + "path." * 96
+    long_url = "https://example.org/" + "path." * 60 + "?"
+    texts = {
+        1: f"aws_access_key_id={name}\naws_secret_access_key={value}\n",
+        2: f"AccountName: store; AccountKey={key}; end",
+        3: f"see {url} and Zx9Qw8Er7Ty6Ui5Op4",
+        4: "login: " + "n" * 100 + " Zx9Qw8Er7Ty6Ui5Op4",
+        5: "KEY=Zx9Qw8Er7Ty6Ui5Op4 alone",
+        6: f"{long_url}token=abcdef then Zx9Qw8Er7Ty6Ui5Op4",
+    }
+    spans = {r["doc_id"]: r["spans"] for r in secrets.report(frame(spark, list(texts.items()))).collect()}
+    at = lambda i, kind, part: f"{kind}:{texts[i].index(part)}:{texts[i].index(part) + len(part)}"
+    assert len(key) == 88 and len(value) == 40 and len(url) == 500
+    assert spans[1] == f"{at(1, 'access', name)},{at(1, 'run', value)}"
+    assert spans[2] == "" and spans[5] == ""  # no complementary part
+    assert spans[3] == f"{at(3, 'endpoint', url)},{at(3, 'run', 'Zx9Qw8Er7Ty6Ui5Op4')}"
+    assert spans[4] == f"identifier:0:107,{at(4, 'run', 'Zx9Qw8Er7Ty6Ui5Op4')}"
+    assert spans[6] == f"{at(6, 'endpoint', long_url)},{at(6, 'assign', 'token=abcdef')},{at(6, 'run', 'Zx9Qw8Er7Ty6Ui5Op4')}"
+    stored = [(i, f"login: bob {t}") for i, t in ((1, f"AccountKey={key}"), (2, f"AccountKey = {key}"))]
+    assert [r["spans"].split(",")[1] for r in secrets.report(frame(spark, stored)).orderBy("doc_id").collect()] == ["run:22:110", "run:24:112"]
+
+
 def test_licences(spark):
     mit = dict(licences.KNOWN[4:5])["MIT"]
     texts = {
