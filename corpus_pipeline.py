@@ -14,10 +14,8 @@ from heliotide.llm.arrow import remainder
 from heliotide.session import cut_lineage
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``dropped``; rows with a null id stay."""
-    gone = dropped.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+#: Near copies in the stage: five words and 80 %; operator 2 by itself has its own values.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +42,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates (operator 2)."""
-    groups = near.near_duplicates(docs)
-    return _without(docs, groups.where("doc_id <> component_id"))
+    """Keeps the row with the smallest doc_id of each group of near duplicates (operator 2); each row is judged by its own text."""
+    return near.without_copies(docs, NEAR_SIZE, NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliotide.llm.components import components
@@ -234,8 +234,32 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     Null texts and texts without words have an empty set, link with nothing and
     keep their own id. Rows that repeat a doc_id are judged by their own text.
     """
+    return _labelled(*_grouped(docs, size, percent, frequent))
+
+
+def without_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest (doc_id, row key).
+
+    Null ids come last. Rows without words all stay, and so do rows that are
+    equal to the kept one in doc_id and text (``exact`` leaves one of them).
+    """
+    rows, classes, roots = _grouped(docs, size, percent, frequent)
+    # Per class first, so that a class of very many rows is one row when it meets its component.
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    best = rows.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(first).alias("first"))
+    stay = best.join(roots, "class_key", "left").groupBy(F.coalesce("root", "class_key")).agg(F.min("first")["row_key"].alias("_stay"))
+    stay = stay.select("_stay").union(rows.where("class_key IS NULL").select("row_key")).distinct()
+    return docs.join(stay, _row_key(docs) == stay["_stay"], "left_semi")
+
+
+def _row_key(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (``doc_id, row_key, n, class_key, ...``), their classes, and ``class_key, root`` of the classes that are no root."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("row_key"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key(docs).alias("row_key"))
     scanned = settled(docs.mapInArrow(_scan(size), f"doc_id bigint, row_key bigint, n bigint, class_key bigint, bits binary, {', '.join(f'{c} bigint' for c in _LONGS)}, block int, counts binary"))
     rows = scanned.where("block IS NULL").drop("block", "counts")
     classes = settled(rows.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("bits", *_LONGS)]))
@@ -260,7 +284,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     links = verified(docs, classes, settled(possible(classes, stars, percent)), size, percent)
     links = links.union(verified(docs, classes, settled(_across(postings, classes, components(links), percent)), size, percent))
     roots = components(links).select(F.col("a").alias("class_key"), "root")
-    return _labelled(rows, classes, roots)
+    return rows, classes, roots
 
 
 def _across(postings: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:

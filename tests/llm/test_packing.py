@@ -87,3 +87,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept["near"] - kept["decontamination"] == {5}
     packed = corpus_pipeline.run(spark, folder)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == kept["decontamination"]
+
+
+def test_near_stage_decides_per_row(spark):
+    """Five words and 80 %; a repeated doc_id loses only its copy, a copy without id goes too."""
+    w = [f"w{i}" for i in range(400)]
+    base, other = w[:100], " ".join(w[200:260])
+    longer = " ".join(base + w[300:320])  # 96 of 116 shingles of five words, 97 of 117 of four
+    rows = [(3, " ".join(base)), (7, longer), (7, other), (None, " ".join(base[1:])), (None, "alone " * 9), (8, None), (8, ""), (9, "-")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.near_stage(spark, docs, "")
+    assert kept.columns == BASE
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in rows if t not in (longer, " ".join(base[1:])))
