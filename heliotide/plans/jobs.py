@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from datetime import datetime, timedelta, timezone
 
@@ -28,9 +29,10 @@ from heliotide.sources.tables import (
 )
 
 
-#: How far back the jobs read production.
+#: Fixed value: how far back the forecast reads production.
 FORECAST_HOURS = 99
-QUANTILE_HOURS = 91 * 24
+#: The refresh reads its days and one to spare.
+FROM_DAYS = "days"
 
 
 def _staged(
@@ -69,16 +71,37 @@ def recent(df: DataFrame, hours: int | None, now: datetime | None, ts: str = TS)
     return df.where(F.col(ts) >= bound(since.isoformat() if isinstance(df.schema[ts].dataType, T.TimestampType) else since.replace(tzinfo=None).isoformat(), df.schema[ts].dataType))
 
 
+def ended_series(records: DataFrame, days: int, hours: int, now: datetime | None = None) -> DataFrame:
+    """``series_id, newest`` of series whose last ``days`` are not within the last ``hours`` before ``now``."""
+    newest = records.groupBy(SERIES).agg(F.max(TS).alias("newest"))
+    live = recent(newest, hours - 24 * days, now, "newest")
+    return newest.join(live.select(SERIES), SERIES, "left_anti")
+
+
 def refresh_quantile(
     records: DataFrame, layout: Layout, config: FeatureConfig, days: int = 90, q: float = 0.99,
-    hours: int | None = QUANTILE_HOURS, now: datetime | None = None,
+    hours: int | str | None = FROM_DAYS, now: datetime | None = None,
 ) -> DataFrame:
     """Quantile of the last days per series, kept for the forecast job.
 
-    Only the last ``hours`` before ``now`` are read: the days and one to spare.
-    ``hours=None`` reads all, for series that ended earlier.
+    Days count back from each series' newest row. The last ``hours`` before
+    ``now`` are read, by default the days and one to spare, and of all records
+    the newest time per series. Series that ended too early for ``hours`` are
+    named in a warning and read whole, so every series gets the value that
+    ``hours=None``, which reads all, gives.
     """
-    hourly = production_table(recent(records, hours, now), config)
+    if hours == FROM_DAYS:
+        hours = 24 * (days + 1)
+    if hours is not None and hours < 24 * days:
+        raise ValueError(f"{hours} hours do not hold {days} days")
+    read = recent(records, hours, now)
+    if hours is not None:
+        ended = cut_lineage(ended_series(records, days, hours, now))
+        some = [str(r[SERIES]) for r in ended.orderBy(SERIES).select(SERIES).limit(20).collect()]
+        if some:
+            warnings.warn(f"{ended.count()} series ended too early for {hours} hours and are read whole, such as {', '.join(some)}", stacklevel=2)
+            read = read.join(ended, SERIES, "left_anti").unionByName(records.join(ended, SERIES, "left_semi"))
+    hourly = production_table(read, config)
     factors = recent_quantile(hourly, config.target, days, q)
     upsert_quantiles(factors.withColumn("computed_at", F.current_timestamp()), layout.quantiles)
     return read_quantiles(records.sparkSession, layout.quantiles)

@@ -107,3 +107,20 @@ def test_jobs_read_only_what_they_need(spark, region, tmp_path):
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts," in plan.split("PushedFilters")[1]
     assert jobs.recent(stored, None, now) is stored
+
+
+def test_refreshed_quantile_is_that_of_all_records(spark, region, tmp_path):
+    """Longer days, and series that ended long ago, give what a read of everything gives."""
+    config, end = region[3], datetime(2024, 12, 1)
+    ends = {"live": 0, "late": 3, "gone": 250}
+    rows = [(s, end - timedelta(days=k + i), float(i)) for s, k in ends.items() for i in range(1, 240)]
+    records = spark.createDataFrame(rows, "series_id string, ts timestamp, solaire double")
+    value = lambda df: {r["series_id"]: r["p99_value"] for r in df.collect()}
+    now = end.replace(tzinfo=timezone.utc)
+    for days in (90, 180):
+        with pytest.warns(UserWarning, match="2 series .*gone, late"):
+            got = value(jobs.refresh_quantile(records, jobs.Layout(str(tmp_path / f"a{days}")), config, days=days, now=now))
+        everything = value(jobs.refresh_quantile(records, jobs.Layout(str(tmp_path / f"b{days}")), config, days=days, hours=None))
+        assert got == everything and got.keys() == ends.keys() and got["live"] == pytest.approx(1 + 0.99 * (days - 1))
+    with pytest.raises(ValueError, match="180 days"):
+        jobs.refresh_quantile(records, jobs.Layout(str(tmp_path / "c")), config, days=180, hours=24 * 91)
