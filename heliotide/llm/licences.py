@@ -8,13 +8,15 @@ units that are looked up whole are the document, its paragraphs and its lines.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Licences and the notices by which texts declare them.
-KNOWN = (
+_NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -49,6 +51,69 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ("all-rights-reserved", "All rights reserved."),
 )
 
+#: The identifiers of tag lines, beside those above.
+_TAGS = {
+    "BSD-2-Clause": ("BSD-2-Clause",), "BSD-3-Clause": ("BSD-3-Clause",), "MPL-1.1": ("MPL-1.1",), "MPL-2.0": ("MPL-2.0",), "Unlicense": ("Unlicense",),
+    "CC0-1.0": ("CC0-1.0",), "CC-BY-4.0": ("CC-BY-4.0",), "CC-BY-NC-4.0": ("CC-BY-NC-4.0",), "Zlib": ("Zlib",), "BSL-1.0": ("BSL-1.0",), "Artistic-1.0-Perl": ("Artistic-1.0-Perl",),
+    **{f"{k}-{v}": (f"{k}-{v}", f"{k}-{v}-only", f"{k}-{v}-or-later", f"{k}-{v}+") for k, v in (
+        ("GPL", "1.0"), ("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0"), ("GFDL", "1.2"), ("GFDL", "1.3"))},
+}
+_APACHE_HEADER = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
+    "either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+)
+_MPL_HEADER = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+)
+#: Family, name of the licence, version, what stands before "you can redistribute it".
+_GNU = (
+    ("GPL", "GNU General Public License", "2", ";"), ("GPL", "GNU General Public License", "3", ":"), ("AGPL", "GNU Affero General Public License", "3", ":"),
+    ("LGPL", "GNU Library General Public License", "2", ";"), ("LGPL", "GNU Lesser General Public License", "2.1", ";"), ("LGPL", "GNU Lesser General Public License", "3", ":"),
+)
+
+
+def _headers() -> Iterator[tuple[str, str]]:
+    """Standard headers: whole, and their first paragraphs, which name the licence."""
+    yield "Apache-2.0", "\n\n".join(_APACHE_HEADER)
+    yield "Apache-2.0", " ".join(_APACHE_HEADER[:2])
+    yield "Apache-2.0", _APACHE_HEADER[0]
+    yield "Apache-2.0", _APACHE_HEADER[2]
+    yield "MPL-2.0", _MPL_HEADER
+    for family, name, version, mark in _GNU:
+        for thing in ("program", "library"):
+            for either in (f"either version {version} of the License, or (at your option) any later version", f"version {version} of the License"):
+                first = f"This {thing} is free software{mark} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation{';' if mark == ';' else ','} {either}."
+                second = f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+                third = f"You should have received a copy of the {name} along with this {thing}. If not, see <http://www.gnu.org/licenses/>."
+                licence = f"{family}-{version if '.' in version else version + '.0'}"
+                yield licence, first
+                yield licence, f"{first}\n\n{second}"
+                yield licence, f"{first}\n\n{second}\n\n{third}"
+
+
+def _whole() -> Iterator[tuple[str, str]]:
+    """Whole texts as published and with each paragraph on one line, with and without what follows their terms and without their title."""
+    for path in sorted(files("heliotide.llm").joinpath("licence_texts").iterdir(), key=lambda p: p.name):
+        if not path.name.endswith(".txt"):
+            continue
+        licence, text = path.name[: -len(".txt")], path.read_bytes().decode()
+        texts = [text]
+        if "END OF TERMS AND CONDITIONS" in text:
+            texts.append(text[: text.index("END OF TERMS AND CONDITIONS")] + "END OF TERMS AND CONDITIONS")
+            texts.append(text[: text.index("END OF TERMS AND CONDITIONS")])
+        if licence.startswith(("BSD", "Zlib", "BSL")):
+            texts.append(text.split("\n\n", 1)[1])
+            texts += [t.replace("All rights reserved.\n", "") for t in texts if "All rights reserved." in t]
+        for t in texts:
+            yield licence, t
+            yield licence, "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", t))
+
+
+#: Notices, tag lines, standard headers and whole texts.
+KNOWN = tuple(dict.fromkeys((*_NOTICES, *((k, f"SPDX-License-Identifier: {tag}") for k, tags in _TAGS.items() for tag in tags), *_headers(), *_whole())))
+
 #: Spellings that mean the same, as (pattern over the lower-cased text, replacement).
 EQUIVALENT = (
     (r"licence", "license"), (r"licencing", "licensing"), (r"sub-license", "sublicense"), (r"non-commercial", "noncommercial"),

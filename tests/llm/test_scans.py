@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from importlib.resources import files
 from collections import Counter
 
 import numpy as np
@@ -221,3 +222,19 @@ def test_licences(spark):
     assert got[3] == [(None, "Apache-2.0", 1)] * 2
     assert got[4] == got[None] == [("all-rights-reserved", "all-rights-reserved", 1)]
     assert licences.report(empty(spark)).count() == 0
+
+
+def test_whole_licences_and_headers(spark):
+    folder = files("heliotide.llm").joinpath("licence_texts")
+    text = lambda name: folder.joinpath(f"{name}.txt").read_bytes().decode()
+    # The published files, by their own digests.
+    assert hashlib.sha256(text("Apache-2.0").encode()).hexdigest() == "cfc7749b96f63bd31c3c42b5c471bf756814053e847c10f3eb003417bc523d30"
+    names = sorted(p.name[:-4] for p in folder.iterdir() if p.name.endswith(".txt"))
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "CC0-1.0"} <= set(names)
+    docs = [(i, text(n).replace("<year> <owner>", "2020 Somebody Else")) for i, n in enumerate(names)]
+    header = "/*\n * Copyright 2020 A. Person\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n */\ncode();"
+    docs += [(100, text("Apache-2.0").upper()), (101, text("GPL-3.0")[: text("GPL-3.0").index("END OF TERMS")]), (102, header), (103, "# SPDX-License-Identifier: LGPL-2.1-or-later\ncode()"), (104, text("GPL-3.0").replace("copyleft", "copyright", 1))]
+    got = {r["doc_id"]: (r["whole_licence"], r["licences"]) for r in licences.report(frame(spark, docs)).collect()}
+    assert [got[i][0] for i in range(len(names))] == names
+    assert got[100][0] == "Apache-2.0" and got[101][0] == "GPL-3.0" and got[102] == (None, "Apache-2.0") and got[103] == (None, "LGPL-2.1")
+    assert got[104][0] is None
