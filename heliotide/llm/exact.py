@@ -64,13 +64,21 @@ def _keyed(docs: DataFrame, digest: Digest, *more: Column) -> DataFrame:
     return docs.select(digest(sha).alias("_digest"), sha.alias("_sha"), content.alias("_content"), best.alias("_best"), *more)
 
 
+def salted(docs: DataFrame, digest: Digest = whole, salts: int | None = None) -> DataFrame:
+    """One row per distinct normalised text and salt: ``_digest, _salt, _content, _n, _best``.
+
+    The salt is that of the task, so each task sends one row per distinct text.
+    It may differ between attempts; the final combining does not depend on it.
+    """
+    salts = salts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts)).cast("int")
+    rows = _keyed(docs, digest, salt.alias("_salt"))
+    return rows.groupBy("_digest", "_salt", "_content").agg(F.count(F.lit(1)).alias("_n"), F.max("_best").alias("_best"))
+
+
 def combined(docs: DataFrame, digest: Digest = whole, salts: int | None = None) -> DataFrame:
     """One row per distinct normalised text: ``_digest, _content, _n, _best``."""
-    salts = salts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    salt = F.pmod(F.xxhash64("_best"), F.lit(salts)).cast("int")
-    rows = _keyed(docs, digest).select("_digest", salt.alias("_salt"), "_content", "_best")
-    salted = rows.groupBy("_digest", "_salt", "_content").agg(F.count(F.lit(1)).alias("_n"), F.max("_best").alias("_best"))
-    return salted.groupBy("_digest", "_content").agg(F.sum("_n").alias("_n"), F.max("_best").alias("_best"))
+    return salted(docs, digest, salts).groupBy("_digest", "_content").agg(F.sum("_n").alias("_n"), F.max("_best").alias("_best"))
 
 
 def fates(docs: DataFrame, carry: list[str], digest: Digest = whole, salts: int | None = None) -> DataFrame:

@@ -191,3 +191,8 @@ def test_maximal_repeats_list_all_occurrences():
         for n, a, b in suffixes.maximal_repeats(common.tolist(), left.tolist(), 4)
     }
     assert found == {(b"abcdefg", ((0, 2), (1, 2), (2, 2))), (b"abcdefgh", ((0, 2), (1, 2)))}
+
+
+def test_each_task_sends_one_row_per_text(spark):
+    docs = frame(spark, [(i, "one text") for i in range(300)] + [(i, "another") for i in range(300, 350)]).coalesce(1)
+    assert sorted((r["_content"], r["_n"]) for r in exact.salted(docs, salts=8).collect()) == [("another", 50), ("onetext", 300)]
