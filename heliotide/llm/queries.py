@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliotide.llm import automaton, decontaminate, exact, licences, near, packing, quality, secrets, suffixes, toxicity
+from heliotide.llm import automaton, decontaminate, divergence, exact, licences, near, packing, quality, secrets, suffixes, toxicity
 from heliotide.llm.arrow import remainder
 from heliotide.session import cut_lineage
 
@@ -190,3 +190,42 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_divergence"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+    FROM documents
+), vec AS (
+    SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(ts) AS term FROM d) GROUP BY ALL
+), vocabulary AS (
+    SELECT lang, term, sum(n)::HUGEINT AS total FROM vec GROUP BY lang, term HAVING count(*) >= 3
+), langs AS (
+    SELECT lang, count(term)::HUGEINT AS v, coalesce(sum(total), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN vocabulary USING (lang) GROUP BY lang
+), sums AS (
+    SELECT lang, source, term, sum(vec.n)::HUGEINT AS c FROM vec JOIN vocabulary USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+    SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN sums USING (lang, source) GROUP BY lang, source
+), probs AS (
+    SELECT g.lang, g.source, t.term, coalesce(s.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(s.c, 0) + 1) // (g.n + l.v) AS p,
+           1 + 1000000000::HUGEINT * (t.total + 1) // (l.n + l.v) AS q
+    FROM groups g JOIN langs l USING (lang) JOIN vocabulary t USING (lang) LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.term = t.term
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM probs a JOIN probs b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM probs WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+WHERE part = 'pair' OR rank <= 200
+"""
