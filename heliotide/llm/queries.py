@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliotide.llm import automaton, decontaminate, divergence, exact, licences, near, packing, quality, secrets, suffixes, toxicity
+from heliotide.llm import automaton, collocations, decontaminate, divergence, exact, licences, near, packing, quality, secrets, suffixes, toxicity
 from heliotide.llm.arrow import remainder
 from heliotide.session import cut_lineage
 
@@ -229,3 +229,42 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
 WHERE part = 'pair' OR rank <= 200
 """
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH d AS (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)
+), grams AS (
+    SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k)
+), counts AS (
+    SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM grams GROUP BY lang, k, phrase
+), totals AS (
+    SELECT lang, sum(a)::HUGEINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), candidates AS (
+    SELECT * FROM counts WHERE k > 1 AND a >= 100
+), cuts AS (
+    SELECT c.lang, c.phrase, c.k, c.a, cut, l.a AS l, r.a AS r, n, 1000 * c.a * n // (l.a * r.a) AS score
+    FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM candidates) c
+    JOIN totals t ON t.lang = c.lang
+    JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:cut], ' ')
+    JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[cut + 1:], ' ')
+), weakest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), rest AS (
+    SELECT * FROM weakest w WHERE NOT EXISTS (
+        SELECT 1 FROM candidates c
+        WHERE c.lang = w.lang AND c.k > w.k AND 100 * c.a >= 100 * w.a AND contains(' ' || c.phrase || ' ', ' ' || w.phrase || ' ')
+    )
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM rest QUALIFY rank <= 2000
+"""
