@@ -31,7 +31,7 @@ NOT_LETTER = (*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))
 SLICE_BYTES = 1 << 21
 FLUSH_ENTRIES = 3_000_000
 #: Entries (sources x terms) of one block of the pair evaluation.
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 500_000
 
 _SUMS = "lang string, source string, term string, n bigint, docs bigint"
 
