@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliotide.llm import automaton, collocations, decontaminate, divergence, exact, licences, near, packing, quality, secrets, suffixes, toxicity
+from heliotide.llm import automaton, collocations, decontaminate, divergence, exact, licences, near, packing, quality, secrets, suffixes, tokenfile, toxicity
 from heliotide.llm.arrow import remainder
 from heliotide.session import cut_lineage
 
@@ -268,3 +268,8 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
        a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM rest QUALIFY rank <= 2000
 """
+
+
+@query
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.report(table(spark, sf_dir, "documents"))
