@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from heliotide import SERIES, TS
 from heliotide.functions.calendar import ZONE, add_hours, bound
 from heliotide.operators.ordered import (
-    attach, block_window, number_rows, over_rows, with_block_context,
+    KeySizes, attach, block_window, number_rows, over_rows, with_block_context,
 )
 
 KEY = (SERIES, TS)
@@ -43,12 +43,12 @@ def between_times(df: DataFrame, start: str, end: str, ts: str = TS, zone: str =
     return df.where(F.col(ts).between(bound(start, kind, zone), bound(end, kind, zone)))
 
 
-def clip_to(rows: DataFrame, reference: DataFrame, extra_hours: int = 0) -> DataFrame:
-    """Rows inside ``[first, last + extra_hours]`` of the reference series."""
+def clip_to(rows: DataFrame, reference: DataFrame, extra_hours: int = 0, sizes: KeySizes | None = None) -> DataFrame:
+    """Rows inside ``[first, last + extra_hours]`` of the reference series (P8); ``sizes`` as in ``attach``."""
     bounds = reference.groupBy(SERIES).agg(
         F.min(TS).alias("_first"), add_hours(F.max(TS), extra_hours).alias("_last")
     )
-    inside = attach(rows, bounds, how="inner").where(F.col(TS).between(F.col("_first"), F.col("_last")))
+    inside = attach(rows, bounds, how="inner", sizes=sizes).where(F.col(TS).between(F.col("_first"), F.col("_last")))
     return inside.select(*rows.columns)
 
 

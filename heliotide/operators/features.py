@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from heliotide import SERIES, TS
 from heliotide.functions.calendar import ZONE, add_cyclic
 from heliotide.operators.align import fill_hour_grid
-from heliotide.operators.ordered import attach, over_rows
+from heliotide.operators.ordered import KeySizes, attach, over_rows
 
 
 def past_columns(
@@ -163,14 +163,14 @@ def sequences(
     )
 
 
-def standardise(df: DataFrame, values: Sequence[str]) -> DataFrame:
+def standardise(df: DataFrame, values: Sequence[str], sizes: KeySizes | None = None) -> DataFrame:
     """(x - mean) / sample std per series; a constant column gives NULL."""
     stats = df.groupBy(SERIES).agg(
         *[F.avg(v).alias(f"_mean_{v}") for v in values],
         *[F.stddev_samp(v).alias(f"_std_{v}") for v in values],
     )
     scaled = {v: F.try_divide(F.col(v) - F.col(f"_mean_{v}"), F.col(f"_std_{v}")) for v in values}
-    joined = attach(df, stats)
+    joined = attach(df, stats, sizes=sizes)
     return joined.select(*[scaled[c].alias(c) if c in scaled else c for c in df.columns])
 
 

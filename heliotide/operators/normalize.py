@@ -14,8 +14,8 @@ from heliotide import SERIES, TS
 from heliotide.functions.calendar import add_hours
 from heliotide.functions.scaling import min_max, target_columns
 from heliotide.operators.ordered import (
-    attach, block_window, number_rows, over_rows, spread_chunks,
-    with_block_context,
+    BLOCK, KeySizes, attach, block_window, key_sizes, number_rows, over_rows, spread_chunks,
+    with_block, with_block_context,
 )
 from heliotide.session import cut_lineage
 
@@ -68,8 +68,10 @@ def rolling_quantile(
         rolled = over_rows(df, build, back=window - 1, chunk_rows=chunk_rows)
     if not back_fill:
         return rolled.select(*df.columns, F.col("_q").cast("float").alias(name))
+    # dealt to blocks once: both sides of the join below read this exchange, so the quantile runs once
+    blocks = with_block(rolled).repartition(SERIES, BLOCK)
     context = with_block_context(
-        rolled, after_first={"_later": F.min_by("_q", F.when(F.col("_q").isNotNull(), F.col(TS)))}
+        blocks, after_first={"_later": F.min_by("_q", F.when(F.col("_q").isNotNull(), F.col(TS)))}
     )
     onward = block_window().rowsBetween(0, Window.unboundedFollowing)
     next_known = F.coalesce(F.first("_q", ignorenulls=True).over(onward), F.col("_later"))
@@ -132,7 +134,8 @@ class SeriesNormaliser(Estimator):
             window=self.window, q=self.q, min_values=self.min_values,
         )
         return SeriesNormaliserModel(
-            present, self.target, bounds, rolled.select(SERIES, TS, F.col("denominator").cast("double"))
+            # dealt by hour once: the last value per series and the join by hour read the same exchange
+            present, self.target, bounds, rolled.select(SERIES, TS, F.col("denominator").cast("double")).repartition(SERIES, TS)
         )
 
 
@@ -143,18 +146,20 @@ class SeriesNormaliserModel(Model):
     when its hour was not in the fit (J6).
     """
 
-    def __init__(self, covariates, target, bounds: DataFrame, denominators: DataFrame):
+    def __init__(self, covariates, target, bounds: DataFrame, denominators: DataFrame, sizes: KeySizes | None = None):
         super().__init__()
+        self.sizes = sizes
         self.covariates, self.target = covariates, target
         self.bounds, self.denominators = bounds, denominators
 
     def stored(self) -> SeriesNormaliserModel:
-        """The same model with its denominators written to the shared folder.
+        """The same model with its denominators written to the shared folder, and its series counted.
 
         For a model that is used more than once; otherwise every use computes
         the rolling quantile again.
         """
-        return SeriesNormaliserModel(self.covariates, self.target, self.bounds, cut_lineage(self.denominators))
+        denominators = cut_lineage(self.denominators)
+        return SeriesNormaliserModel(self.covariates, self.target, self.bounds, denominators, key_sizes(denominators))
 
     def with_denominator(self, df: DataFrame) -> DataFrame:
         return self._with_stats(df, last_denominator(self.denominators)).drop("last_denominator")
@@ -163,7 +168,7 @@ class SeriesNormaliserModel(Model):
         """``denominator`` of the hour, else the last one, and the per-series ``stats``."""
         matched = df.join(self.denominators, [SERIES, TS], "left")
         filled = F.coalesce("denominator", "last_denominator")
-        return attach(matched, stats).withColumn("denominator", filled)
+        return attach(matched, stats, sizes=self.sizes).withColumn("denominator", filled)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self.scale(dataset).drop("denominator")

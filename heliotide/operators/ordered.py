@@ -17,19 +17,22 @@ chunk at most ``chunk_rows + back + ahead``.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliotide import SERIES, TS
-from heliotide.session import cut_lineage
 
 BLOCK = "_block"
 BLOCK_DAYS = 128
 CHUNK_ROWS = 4096
 #: Per-key tables up to this size are sent to the rows.
 BROADCAST_BYTES = 32 << 20
+#: A key with more rows is spread; a task takes about so many.
+HOT_ROWS = 10_000_000
+MOST_HOT = 10_000
 
 
 def _block_of(df: DataFrame, ts: str, block_days: int) -> Column:
@@ -43,6 +46,11 @@ def _block_of(df: DataFrame, ts: str, block_days: int) -> Column:
     return F.coalesce(F.floor(day / block_days), F.lit(0))
 
 
+def with_block(df: DataFrame, ts: str = TS, block_days: int = BLOCK_DAYS) -> DataFrame:
+    """``_block``, the number of the row's span of days, unless it is there already."""
+    return df if BLOCK in df.columns else df.withColumn(BLOCK, _block_of(df, ts, block_days))
+
+
 def with_block_context(
     df: DataFrame,
     before_sum: Mapping[str, Column] | None = None,
@@ -62,7 +70,7 @@ def with_block_context(
     the same blocks share one shuffle.
     """
     groups = [before_sum or {}, before_last or {}, after_first or {}, total_sum or {}]
-    blocked = df if BLOCK in df.columns else df.withColumn(BLOCK, _block_of(df, ts, block_days))
+    blocked = with_block(df, ts, block_days)
     blocks = blocked.groupBy(*keys, BLOCK).agg(
         *[agg.alias(name) for group in groups for name, agg in group.items()]
     )
@@ -181,24 +189,55 @@ def over_rows(
     return wide.where(in_own_chunk(chunk_rows)).select(*ordered, *keep)
 
 
+@dataclass(frozen=True)
+class KeySizes:
+    """How many keys a table has and its hot ones, as (rows, key values); measured once, used by many joins."""
+
+    keys: tuple[str, ...]
+    n_keys: int
+    hot: tuple[tuple, ...] = ()
+
+
+def key_sizes(df: DataFrame, keys: Sequence[str] = (SERIES,), hot_rows: int = HOT_ROWS) -> KeySizes:
+    """Counts the keys of ``df`` and finds those with more than ``hot_rows`` rows, at most ``MOST_HOT``.
+
+    One job that reads the key columns only. A pipeline that attaches several
+    tables to the same rows calls it once and passes the result on.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = F.when(F.col("_rows") > hot_rows, F.struct("_rows", *keys))
+    found = counts.agg(
+        F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list(hot), asc=False), 1, MOST_HOT).alias("hot")
+    ).first()
+    return KeySizes(tuple(keys), found["n"], tuple(tuple(h) for h in found["hot"]))
+
+
 def attach(
     rows: DataFrame,
     stats: DataFrame,
     keys: Sequence[str] = (SERIES,),
     how: str = "left",
-    salts: int | None = None,
+    sizes: KeySizes | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join one-row-per-key ``stats`` to ``rows`` without moving ``rows``, if ``stats`` is small.
+    """Join one-row-per-key ``stats`` to ``rows``; runs nothing.
 
-    ``stats`` is written once and measured. Up to ``broadcast_bytes`` it is sent
-    to where the rows are; beyond, the rows are shuffled (``attach_spread``). The
-    result is the same both ways. ``stats`` holds numbers, times and short texts.
+    Without ``sizes`` it is a plain join, and adaptive execution decides when the
+    statistics are there: small ones are sent to the rows, and of large ones the
+    part of a key that owns too many rows is read by several tasks.
+
+    With the ``sizes`` of the table that ``stats`` was grouped from, the rows need
+    not move: up to ``broadcast_bytes`` the statistics are broadcast, beyond that
+    the rows are shuffled with only the hot keys spread. The result is the same
+    all three ways.
     """
-    stored = cut_lineage(stats)
-    if stored.count() * sum(_width(f.dataType) for f in stored.schema.fields) <= broadcast_bytes:
-        return rows.join(F.broadcast(stored), list(keys), how)
-    return attach_spread(rows, stored, keys, how, salts)
+    if sizes is None:
+        return rows.join(stats, list(keys), how)
+    if sizes.keys != tuple(keys):
+        raise ValueError(f"sizes are of {sizes.keys}, not of {tuple(keys)}")
+    if sizes.n_keys * sum(_width(f.dataType) for f in stats.schema.fields) <= broadcast_bytes:
+        return rows.join(F.broadcast(stats), list(keys), how)
+    return attach_spread(rows, stats, sizes, how)
 
 
 def _width(kind: T.DataType) -> int:
@@ -207,22 +246,38 @@ def _width(kind: T.DataType) -> int:
 
 
 def attach_spread(
-    rows: DataFrame, stats: DataFrame, keys: Sequence[str] = (SERIES,), how: str = "left", salts: int | None = None
+    rows: DataFrame, stats: DataFrame, sizes: KeySizes, how: str = "left", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Join one-row-per-key ``stats`` to ``rows`` with the key spread over ``salts`` join partitions.
+    """Join one-row-per-key ``stats`` to ``rows`` with the hot keys spread over several join partitions.
 
-    By default there are as many as the session has shuffle partitions, so a key
-    that owns a third of the rows is no single task however many rows there are.
-    Rows are spread by their time, or by their values where they have none.
+    A hot key gets one copy of its statistics per ``hot_rows`` rows, and its rows
+    are dealt to the copies by their time, or by their values where they have
+    none. All other keys keep one copy. The list of hot keys is bounded.
     """
-    n = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = list(sizes.keys)
+    if not sizes.hot:
+        return rows.join(stats, keys, how)
     spread = [TS] if TS in rows.columns else [
         f.name for f in rows.schema.fields
         if f.name not in keys and not isinstance(f.dataType, (T.MapType, T.ArrayType, T.VariantType))
-    ] or list(keys)
-    salted = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    salt = F.pmod(F.xxhash64(*spread), F.lit(n)).cast("int")
-    return rows.withColumn("_salt", salt).join(salted, [*keys, "_salt"], how).drop("_salt")
+    ] or keys
+    n = F.coalesce("_copies", F.lit(1))
+    dealt = rows.join(_hot_copies(rows, sizes, hot_rows), keys, "left")
+    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(*spread), n).cast("int")).drop("_copies")
+    return dealt.join(copied_stats(stats, sizes, hot_rows), [*keys, "_salt"], how).drop("_salt")
+
+
+def copied_stats(stats: DataFrame, sizes: KeySizes, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``stats`` with ``_salt``: a hot key once per ``hot_rows`` of its rows, every other key once."""
+    n = F.coalesce("_copies", F.lit(1))
+    counted = stats.join(_hot_copies(stats, sizes, hot_rows), list(sizes.keys), "left")
+    return counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_copies")
+
+
+def _hot_copies(df: DataFrame, sizes: KeySizes, hot_rows: int) -> DataFrame:
+    kinds = T.StructType([T.StructField("_copies", T.IntegerType()), *[df.schema[k] for k in sizes.keys]])
+    copies = [(-(-h[0] // hot_rows), *h[1:]) for h in sizes.hot]
+    return F.broadcast(df.sparkSession.createDataFrame(copies, kinds))
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliotide import SERIES, TS
-from heliotide.operators.ordered import BLOCK, attach, block_window, with_block_context
+from heliotide.operators.ordered import BLOCK, KeySizes, attach, block_window, with_block_context
 from heliotide.operators.quantiles import exact_quantiles
 
 
@@ -134,7 +134,9 @@ def check_has_values(df: DataFrame, target: str) -> DataFrame:
     return df
 
 
-def flag_outliers(df: DataFrame, value: str, factor: float = 1.5, z_limit: float = 3.0) -> DataFrame:
+def flag_outliers(
+    df: DataFrame, value: str, factor: float = 1.5, z_limit: float = 3.0, sizes: KeySizes | None = None
+) -> DataFrame:
     """Add ``iqr_outlier``, ``z_outlier`` and their conjunction ``outlier`` (Q2-Q4).
 
     Quartile fences are closed; the z-score uses the sample deviation. Both
@@ -142,7 +144,7 @@ def flag_outliers(df: DataFrame, value: str, factor: float = 1.5, z_limit: float
     """
     quartiles = exact_quantiles(df, [SERIES], value, [0.25, 0.75], ["_q1", "_q3"])
     moments = df.groupBy(SERIES).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
-    joined = attach(df, quartiles.join(moments, SERIES))
+    joined = attach(df, quartiles.join(moments, SERIES), sizes=sizes)
     x, reach = F.col(value), factor * (F.col("_q3") - F.col("_q1"))
     iqr = (x <= F.col("_q1") - reach) | (x >= F.col("_q3") + reach)
     z = F.abs(F.try_divide(x - F.col("_mean"), F.col("_std"))) > z_limit

@@ -14,8 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliotide.operators.ordered import attach_spread
-
 SLICES = 128
 
 
@@ -33,7 +31,7 @@ def _counted_slices(
     cuts = counted.groupBy(*keys).agg(
         F.expr(f"array_distinct(percentile_approx({present}, CAST(split('{probs}', ',') AS ARRAY<DOUBLE>), {10 * slices}))").alias("_cuts")
     )
-    placed = attach_spread(counted, cuts, keys, "inner")
+    placed = counted.join(cuts, list(keys))
     return placed.select(*keys, "_v", "_c", _cuts_up_to(slices).alias("_slice"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from heliotide import SERIES, TS
 from heliotide.functions.calendar import ZONE, wall_clock
-from heliotide.operators.ordered import attach, attach_spread, over_rows
+from heliotide.operators.ordered import attach, over_rows
 from heliotide.operators.quantiles import average_ranks, exact_quantiles
 
 
@@ -44,22 +44,20 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(a, b, spearman)`` over rows complete in all columns.
 
-    Equal rows are merged first, then all columns are ranked in one pass. Ranks
-    are looked up per distinct value with the value salted, so a value held by
-    most rows does not form one task.
+    Equal rows are merged first. Each column is cut into ranges by its values;
+    the rows in a range and those in the ranges before give the ranks, counted
+    per distinct value, so a value held by most rows forms no task of its own.
+    The merged rows then take one rank per column. All columns read the merged
+    rows from one exchange.
     """
-    rows = df.select(F.struct(*columns).alias("_row")).where(
-        " AND ".join(f"_row.`{c}` IS NOT NULL" for c in columns)
-    ).groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("_i"), F.col(f"_row.{c}").cast("double").alias("_x")) for i, c in enumerate(columns)
-    ])
-    long = rows.select("_row", "_n", F.inline(cells))
-    ranks = average_ranks(long.select("_i", "_x", "_n"), ["_i"], "_x", weight="_n")
-    placed = attach_spread(long, ranks, ["_i", "_x"], "inner")
-    ranked = placed.groupBy("_row").agg(F.max("_n").alias("_n"), *[
-        F.max(F.when(F.col("_i") == i, F.col("avg_rank"))).alias(f"_rank{i}") for i in range(len(columns))
-    ])
+    names = {c: f"_v{i}" for i, c in enumerate(columns)}
+    known = df.select([F.col(f"`{c}`").cast("double").alias(v) for c, v in names.items()]).dropna()
+    rows = known.groupBy(*names.values()).agg(F.count(F.lit(1)).alias("_n"))
+    cells = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(v).alias("_x")) for i, v in enumerate(names.values())])
+    ranks = average_ranks(rows.select("_n", F.inline(cells)), ["_i"], "_x", weight="_n")
+    ranked = rows
+    for i, v in enumerate(names.values()):
+        ranked = ranked.join(ranks.where(F.col("_i") == i).select(F.col("_x").alias(v), F.col("avg_rank").alias(f"_rank{i}")), v)
     return _pair_table(ranked, {c: f"_rank{i}" for i, c in enumerate(columns)}, "spearman", "_n")
 
 
@@ -104,7 +102,7 @@ def histogram(df: DataFrame, value: str, bins: int = 20, keys: Sequence[str] = (
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_total")
     )
     # counted per value first: the join sees each value once per group
-    placed = attach_spread(known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), bounds, keys, "inner")
+    placed = attach(known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), bounds, keys, "inner")
     width = (F.col("_hi") - F.col("_lo")) / bins
     bucket = F.least(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width)), F.lit(bins - 1))
     counted = placed.groupBy(*keys, F.coalesce(bucket, F.lit(0)).alias("bin")).agg(

@@ -15,6 +15,7 @@ from heliotide.operators.features import (
     add_forecast_features, add_past_features, add_time_features, sequences,
 )
 from heliotide.operators.normalize import WINDOW_ROWS, SeriesNormaliser
+from heliotide.operators.ordered import KeySizes
 from heliotide.operators.quality import WEATHER_RANGES, require_columns
 from heliotide.operators.shape import add_suffix, drop_unshifted
 from heliotide.operators.spatial import central_and_dispersion
@@ -64,24 +65,27 @@ def _columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (SERIES, TS)]
 
 
-def inference_table(production: DataFrame, past: DataFrame, forecast: DataFrame, config: FeatureConfig) -> DataFrame:
+def inference_table(
+    production: DataFrame, past: DataFrame, forecast: DataFrame, config: FeatureConfig, sizes: KeySizes | None = None
+) -> DataFrame:
     """Rows of the past-weather range with past, forecast and time features.
 
     Leads are taken on the whole forecast before the join, so the last known
-    hour sees the hours to come.
+    hour sees the hours to come. ``sizes`` are the series of ``production``.
     """
-    past = clip_to(past, production)
-    ahead = add_suffix(clip_to(forecast, production, config.forecast_hours - 1))
+    past = clip_to(past, production, sizes=sizes)
+    ahead = add_suffix(clip_to(forecast, production, config.forecast_hours - 1, sizes))
     behind = add_past_features(
         join_hourly(past, production), config.past_features, config.past_lags, config.past_windows, config.grid
     )
     leads = add_forecast_features(ahead, _columns(ahead), config.forecast_leads, config.forecast_deltas, config.grid)
     joined = join_hourly(behind, drop_unshifted(leads, _columns(ahead)), "right")
-    return add_time_features(clip_to(joined, past), config.periods, config.zone)
+    return add_time_features(clip_to(joined, past, sizes=sizes), config.periods, config.zone)
 
 
 def training_table(
-    production: DataFrame, past: DataFrame, forecast: DataFrame, config: FeatureConfig, leads_first: bool = True
+    production: DataFrame, past: DataFrame, forecast: DataFrame, config: FeatureConfig, leads_first: bool = True,
+    sizes: KeySizes | None = None,
 ) -> DataFrame:
     """Hours with production, past weather and forecast, and their features.
 
@@ -89,7 +93,7 @@ def training_table(
     table does. Without it the tables are joined first and leads count joined
     rows.
     """
-    past, ahead = clip_to(past, production), add_suffix(forecast)
+    past, ahead = clip_to(past, production, sizes=sizes), add_suffix(forecast)
     if leads_first:
         behind = add_past_features(
             join_hourly(past, production), config.past_features, config.past_lags, config.past_windows, config.grid

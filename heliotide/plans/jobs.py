@@ -15,6 +15,7 @@ from heliotide.functions.calendar import bound
 from heliotide.learning.boosting import MultiHorizonModel, TrainingConfig, train_horizons
 from heliotide.learning.registry import load_model, log_run, publish_model
 from heliotide.operators.normalize import recent_quantile
+from heliotide.operators.ordered import key_sizes
 from heliotide.operators.publish import rescale_predictions
 from heliotide.operators.quality import check_has_values
 from heliotide.operators.shape import last_row, melt_predictions
@@ -127,7 +128,8 @@ def run_forecast(
     if hours is not None and hours <= reach:
         raise ValueError(f"{hours} hours do not hold the longest lag or window, {reach}")
     records = recent(records, hours, now)
-    table = inference_table(*_staged(records, past, forecast, config), config)
+    staged = _staged(records, past, forecast, config)
+    table = inference_table(*staged, config, key_sizes(staged[0]))
     write_table(table, layout.features)
     stored = read_table(spark, layout.features)
     predictions = predict_latest(stored, read_quantiles(spark, layout.quantiles), load_model(spark, layout.root))
@@ -140,7 +142,8 @@ def build_training(
     start: str, end: str,
 ) -> DataFrame:
     """Training table for the closed range, stored."""
-    table = training_table(*_staged(records, past, forecast, config, start=start, end=end), config)
+    staged = _staged(records, past, forecast, config, start=start, end=end)
+    table = training_table(*staged, config, sizes=key_sizes(staged[0]))
     write_table(table, layout.training)
     return read_table(records.sparkSession, layout.training)
 

@@ -1,9 +1,13 @@
+import uuid
+
 import pandas as pd
 import pytest
 from conftest import ordered, per_series, same, to_spark
 from pyspark.sql import functions as F
 
+from heliotide.operators import align, features, normalize, quality
 from heliotide.operators import ordered as o
+from heliotide.operators import stats as stats_ops
 from heliotide.operators.align import hourly_mean
 
 
@@ -57,30 +61,100 @@ def test_reserved_names_are_refused(hourly):
         o.over_rows(hourly[1].withColumn("pos", F.lit(1)), lambda w: {}, back=1)
 
 
-def test_attach_keeps_rows_of_a_hot_key(spark):
+def _jobs_while(spark, build):
+    """Spark jobs that start while ``build`` runs, and what it returns."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "building")
+    try:
+        return build(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_key_sizes_count_keys_and_name_the_hot_ones(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 100)).alias("series_id"), "id")
+    sizes = o.key_sizes(rows, hot_rows=500)
+    assert sizes == o.KeySizes(("series_id",), 101, ((2000, "hot"),))
+    assert o.key_sizes(rows.limit(0)) == o.KeySizes(("series_id",), 0, ())
+    two = o.key_sizes(rows.withColumn("k", F.col("id") % 2), ["series_id", "k"], hot_rows=500)
+    assert {h[1:] for h in two.hot} == {("hot", 0), ("hot", 1)}
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_attach_gives_the_same_rows_all_ways(spark, how):
     rows = spark.range(3000).select(F.when(F.col("id") < 2000, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("series_id"), "id")
+    rows = rows.union(spark.sql("SELECT CAST(NULL AS STRING), 9999L"))
+    stats = rows.where("series_id <> 'k2500'").groupBy("series_id").agg(F.count("*").alias("n"))
+    sizes = o.key_sizes(rows, hot_rows=300)
+    ways = [
+        o.attach(rows, stats, how=how), o.attach(rows, stats, how=how, sizes=sizes), o.attach(rows, stats, how=how, sizes=sizes, broadcast_bytes=0),
+        o.attach_spread(rows, stats, sizes, how, hot_rows=300), o.attach_spread(rows, stats, o.KeySizes(("series_id",), 5), how),
+    ]
+    first, *others = [sorted(df.select("series_id", "id", "n").collect(), key=lambda r: r["id"]) for df in ways]
+    assert len(first) == (3001 if how == "left" else 2999) and first[0]["n"] == 2000
+    assert all(other == first for other in others)
+    with pytest.raises(ValueError, match="sizes are of"):
+        o.attach(rows, stats, ["id"], sizes=sizes)
+
+
+def test_only_hot_keys_are_copied(spark):
+    """One hot and 10**5 cold keys: the statistics have one row per cold key and a few for the hot one."""
+    rows = spark.range(300_000).select(F.when(F.col("id") % 3 > 0, F.lit(-1)).otherwise(F.col("id")).alias("series_id"), "id")
     stats = rows.groupBy("series_id").agg(F.count("*").alias("n"))
-    for out in (o.attach(rows, stats), o.attach(rows, stats, broadcast_bytes=0, salts=7), o.attach_spread(rows, stats)):
-        assert out.count() == 3000
-        assert out.where("series_id = 'hot' AND n = 2000").count() == 2000
+    sizes = o.key_sizes(rows, hot_rows=20_000)
+    assert sizes.n_keys == 100_001 and [h[1] for h in sizes.hot] == [-1]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = o.attach_spread(rows, stats, sizes, hot_rows=20_000)
+        assert o.copied_stats(stats, sizes, 20_000).count() == 100_000 + 200_000 // 20_000
+        assert joined.where("series_id = -1").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        assert joined.where("n IS NOT NULL").count() == 300_000
+    finally:
+        for name in ("autoBroadcastJoinThreshold", "adaptive.autoBroadcastJoinThreshold", "adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(f"spark.sql.{name}")
 
 
-def test_attach_does_not_move_rows_when_the_table_is_small(spark, tmp_path):
+def test_attach_does_not_move_rows_when_the_table_is_known_to_be_small(spark, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
     try:
         spark.range(5000).select(F.lit("hot").alias("series_id"), F.col("id").cast("timestamp").alias("ts"), "id").write.parquet(str(tmp_path / "r"))
         rows = spark.read.parquet(str(tmp_path / "r"))
         stats = rows.groupBy("series_id").agg(F.avg("id").alias("m"))
-        near, far = o.attach(rows, stats), o.attach(rows, stats, broadcast_bytes=0)
-        assert sorted(near.collect()) == sorted(far.select(*near.columns).collect())
-        plans = [df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0] for df in (near, far)]
-        assert "Exchange hashpartitioning" not in plans[0] and "BroadcastHashJoin" in plans[0]
-        spread = far.select(F.spark_partition_id().alias("p")).distinct().count()
-        assert spread > 1
+        near = o.attach(rows, stats, sizes=o.key_sizes(rows))
+        assert near.count() == 5000
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        # the one exchange is that of the statistics
+        assert "BroadcastHashJoin" in final and final.count("Exchange hashpartitioning") == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_operators_run_nothing_while_they_are_built(spark, hourly):
+    df = hourly[1]
+    steps = {
+        "standardise": lambda: features.standardise(df, ["x"]),
+        "flag_outliers": lambda: quality.flag_outliers(df, "y"),
+        "box_summary": lambda: stats_ops.box_summary(df, "y", ["series_id"]),
+        "normaliser": lambda: normalize.SeriesNormaliser(["x"]).fit(df).transform(df),
+        "spearman": lambda: stats_ops.spearman(df, ["x", "y"]),
+        "clip_to": lambda: align.clip_to(df, df),
+    }
+    for name, step in steps.items():
+        assert _jobs_while(spark, step)[1] == 0, name
+
+
+def test_normaliser_computes_the_rolling_quantile_once(hourly, tmp_path):
+    hourly[1].write.parquet(str(tmp_path / "t"))
+    df = hourly[1].sparkSession.read.parquet(str(tmp_path / "t"))
+    out = normalize.SeriesNormaliser(["x"]).fit(df).transform(df)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FlatMapGroupsInPandas") == 1 and "ReusedExchange" in final
+
+
 def test_last_per_key_and_empty_input(spark, hourly):
     pdf, df = hourly
     got = ordered(o.last_per_key(df, ["series_id"], ["ts"]), "series_id")
