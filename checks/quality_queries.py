@@ -304,19 +304,29 @@ def _(spark, folder):
     return rounded(rounded(stats.line_fit(lines, "l_extendedprice", "l_quantity"), "slope", "intercept", places=3), "r2", places=5)
 
 
-@query("autocorrelation", f"""
-WITH {v.PROD}, c AS (SELECT series_id, ts, y - avg(y) OVER (PARTITION BY series_id) AS d, row_number() OVER w AS i FROM prod {W}),
-k AS (SELECT unnest(range(0, 97)) AS lag)
-SELECT a.series_id, CAST(lag AS INTEGER) AS lag, {r('sum(a.d * b.d) / any_value(t.s)', 'acf')}
+_ACF = f"""{v.PROD}, c AS (SELECT series_id, ts, y - avg(y) OVER (PARTITION BY series_id) AS d, row_number() OVER w AS i FROM prod {W}),
+k AS (SELECT unnest(range(0, 97)) AS lag),
+acf AS (SELECT a.series_id, CAST(lag AS INTEGER) AS lag, sum(a.d * b.d) / any_value(t.s) AS acf
 FROM k JOIN c a ON true JOIN c b ON a.series_id = b.series_id AND a.i = b.i + lag
-JOIN (SELECT series_id, sum(d * d) AS s FROM c GROUP BY 1) t ON t.series_id = a.series_id GROUP BY 1, 2""")
+JOIN (SELECT series_id, sum(d * d) AS s FROM c GROUP BY 1) t ON t.series_id = a.series_id GROUP BY 1, 2)"""
+
+
+@query("autocorrelation", f"WITH {_ACF} SELECT series_id, lag, {r('acf', 'acf')} FROM acf")
 def _(spark, folder):
     return rounded(stats.autocorrelation(v.prod(spark, folder), "y"), "acf")
 
 
-@query("partial_autocorrelation")
+@query("partial_autocorrelation", f"""
+WITH RECURSIVE {_ACF}, rho AS (SELECT series_id, list(acf ORDER BY lag) AS rho FROM acf GROUP BY 1),
+step AS (
+  SELECT series_id, 0 AS lag, rho, CAST([] AS DOUBLE[]) AS phi, CAST(1 AS DOUBLE) AS error, CAST(1 AS DOUBLE) AS pacf FROM rho
+  UNION ALL
+  SELECT series_id, lag + 1, rho, list_append(list_transform(range(1, lag + 1), lambda j: phi[j] - r * phi[lag + 1 - j]), r), error * (1 - r * r), r
+  FROM (SELECT *, (rho[lag + 2] - coalesce(list_sum(list_transform(range(1, lag + 1), lambda j: phi[j] * rho[lag + 2 - j])), 0)) / error AS r FROM step WHERE lag < len(rho) - 1)
+)
+SELECT series_id, CAST(lag AS INTEGER) AS lag, {r('pacf', 'pacf')} FROM step""")
 def _(spark, folder):
-    return stats.partial_autocorrelation(stats.autocorrelation(v.prod(spark, folder), "y"))
+    return rounded(stats.partial_autocorrelation(stats.autocorrelation(v.prod(spark, folder), "y")), "pacf")
 
 
 @query("cross_correlation", f"""

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from heliotide import SERIES, TS
 from heliotide.operators.ordered import BLOCK, KeySizes, attach, block_window, with_block_context
-from heliotide.operators.quantiles import exact_quantiles
+from heliotide.operators.quantiles import exact_quantiles, summaries
 
 
 @dataclass(frozen=True)
@@ -135,50 +135,66 @@ def check_has_values(df: DataFrame, target: str) -> DataFrame:
 
 
 def flag_outliers(
-    df: DataFrame, value: str, factor: float = 1.5, z_limit: float = 3.0, sizes: KeySizes | None = None
+    df: DataFrame, value: str | Sequence[str], factor: float = 1.5, z_limit: float = 3.0, sizes: KeySizes | None = None
 ) -> DataFrame:
     """Add ``iqr_outlier``, ``z_outlier`` and their conjunction ``outlier`` (Q2-Q4).
 
     Quartile fences are closed; the z-score uses the sample deviation. Both
     are per series over its whole history. A missing value is no outlier.
+    Several columns are judged from one pass over their values; their flags are
+    named ``{column}_iqr_outlier`` and so on.
     """
-    quartiles = exact_quantiles(df, [SERIES], value, [0.25, 0.75], ["_q1", "_q3"])
-    moments = df.groupBy(SERIES).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
-    joined = attach(df, quartiles.join(moments, SERIES), sizes=sizes)
-    x, reach = F.col(value), factor * (F.col("_q3") - F.col("_q1"))
-    iqr = (x <= F.col("_q1") - reach) | (x >= F.col("_q3") + reach)
-    z = F.abs(F.try_divide(x - F.col("_mean"), F.col("_std"))) > z_limit
-    no = F.lit(False)
-    flagged = joined.select(
-        *df.columns, F.coalesce(iqr, no).alias("iqr_outlier"), F.coalesce(z, no).alias("z_outlier")
-    )
-    return flagged.withColumn("outlier", F.col("iqr_outlier") & F.col("z_outlier"))
-
-
-def missing_runs(df: DataFrame, value: str, max_gap: int = 3) -> DataFrame:
+    several = not isinstance(value, str)
+    values = list(value) if several else [value]
+    stats = ("q1", "q3", "mean", "std")
+    if several:
+        cells = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"`{c}`").cast("double").alias("_x")) for i, c in enumerate(values)])
+        long = summaries(df.select(SERIES, F.inline(cells)), [SERIES, "_i"], "_x", [0.25, 0.75], ["q1", "q3"])
+        known = long.groupBy(SERIES).agg(*[
+            F.max(F.when(F.col("_i") == i, F.col(s))).alias(f"_{s}{i}") for i in range(len(values)) for s in stats
+        ])
+    else:
+        quartiles = exact_quantiles(df, [SERIES], value, [0.25, 0.75], ["_q10", "_q30"])
+        moments = df.groupBy(SERIES).agg(F.avg(value).alias("_mean0"), F.stddev_samp(value).alias("_std0"))
+        known = quartiles.join(moments, SERIES)
+    joined, no, flags = attach(df, known, sizes=sizes), F.lit(False), []
+    for i, c in enumerate(values):
+        x, q1, q3 = F.col(f"`{c}`"), F.col(f"_q1{i}"), F.col(f"_q3{i}")
+        reach, prefix = factor * (q3 - q1), f"{c}_" if several else ""
+        iqr = F.coalesce((x <= q1 - reach) | (x >= q3 + reach), no)
+        z = F.coalesce(F.abs(F.try_divide(x - F.col(f"_mean{i}"), F.col(f"_std{i}"))) > z_limit, no)
+        flags += [iqr.alias(f"{prefix}iqr_outlier"), z.alias(f"{prefix}z_outlier"), (iqr & z).alias(f"{prefix}outlier")]
+    return joined.select(*df.columns, *flags)
+
+
+def missing_runs(df: DataFrame, value: str | Sequence[str], max_gap: int = 3) -> DataFrame:
     """Runs of more than ``max_gap`` missing rows on an hourly grid (Q5).
 
     ``run_no`` counts all runs of the series, reported or not. ``open`` marks
-    a run that reaches the end of the series.
+    a run that reaches the end of the series. Several columns are looked at in
+    one pass; the result then has a ``column``.
     """
-    missing = F.col("_missing")
+    if isinstance(value, str):
+        keys, marked = [SERIES], df.select(SERIES, TS, F.col(f"`{value}`").isNull().alias("_missing"))
+    else:
+        keys = [SERIES, "column"]
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").isNull().alias("_missing")) for c in value])
+        marked = df.select(SERIES, TS, F.inline(cells))
     neighbours = with_block_context(
-        df.select(SERIES, TS, F.col(value).isNull().alias("_missing")),
-        before_last={"_prev": F.max_by("_missing", TS)},
-        after_first={"_next": F.min_by("_missing", TS)},
+        marked, before_last={"_prev": F.max_by("_missing", TS)}, after_first={"_next": F.min_by("_missing", TS)}, keys=keys
     )
-    window = block_window()
+    missing, window = F.col("_missing"), block_window(keys)
     before = F.coalesce(F.lag("_missing", 1).over(window), F.col("_prev"), F.lit(False))
-    marked = neighbours.select(
-        SERIES, TS, "_missing", BLOCK, (missing & ~before).cast("int").alias("_starts"),
+    starts = neighbours.select(
+        *keys, TS, "_missing", BLOCK, (missing & ~before).cast("int").alias("_starts"),
         F.coalesce(F.lead("_missing", 1).over(window), F.col("_next")).isNull().alias("_final"),
     )
-    context = with_block_context(marked, before_sum={"_before": F.sum("_starts")})
+    context = with_block_context(starts, before_sum={"_before": F.sum("_starts")}, keys=keys)
     run_no = F.col("_before") + F.sum("_starts").over(window)
     runs = (
         context.withColumn("run_no", run_no)
         .where("_missing")
-        .groupBy(SERIES, "run_no")
+        .groupBy(*keys, "run_no")
         .agg(
             F.min(TS).alias("start"), F.max(TS).alias("end"),
             F.count(F.lit(1)).alias("n_missing"), F.bool_or("_final").alias("open"),
@@ -197,7 +213,12 @@ def summary(df: DataFrame, ts: str = TS) -> DataFrame:
 
 
 def column_profile(df: DataFrame, percentiles: bool = False) -> DataFrame:
-    """Per column: type, missing values, and for numbers count, mean, std, min, max (Q9)."""
+    """Per column: type, missing values, and for numbers mean, std, min, max (Q9); with ``percentiles`` the quartiles too.
+
+    One scan either way.
+    """
+    if percentiles:
+        return _profile_of_cells(df)
     aggs, lines = [], []
     for i, field in enumerate(df.schema.fields):
         c = F.col(f"`{field.name}`")
@@ -214,15 +235,26 @@ def column_profile(df: DataFrame, percentiles: bool = False) -> DataFrame:
             F.col(f"null{i}").alias("n_null"),
             *[(F.col(f"{s}{i}") if numeric else none).alias(s) for s in ("mean", "std", "min", "max")],
         ))
-    profile = df.agg(*aggs).select(F.inline(F.array(*lines)))
-    if not percentiles:
-        return profile
-    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in numbers
-    ])).alias("_p")).select("_p.*")
-    quartiles = exact_quantiles(long, ["column"], "x", [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-    return profile.join(quartiles, "column", "left")
+    return df.agg(*aggs).select(F.inline(F.array(*lines)))
+
+
+def _profile_of_cells(df: DataFrame) -> DataFrame:
+    """The profile with quartiles, everything from one count of (column, value).
+
+    Of columns that are no numbers only missing values are counted.
+    """
+    cells, kinds = [], []
+    for i, field in enumerate(df.schema.fields):
+        c, numeric = F.col(f"`{field.name}`"), isinstance(field.dataType, T.NumericType)
+        x = c.cast("double") if numeric else F.when(c.isNotNull(), F.lit(0.0))
+        cells.append(F.struct(F.lit(i).alias("_i"), x.alias("_x")))
+        kinds.append((i, field.name, field.dataType.simpleString(), numeric))
+    found = summaries(df.select(F.inline(F.array(*cells))), ["_i"], "_x", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], few_keys=True)
+    listed = df.sparkSession.createDataFrame(kinds, "_i int, column string, dtype string, _number boolean")
+    return listed.join(found, "_i", "left").select(
+        "column", "dtype", F.coalesce("n_null", F.lit(0)).alias("n_null"),
+        *[F.when(F.col("_number"), F.col(s)).alias(s) for s in ("mean", "std", "min", "max", "p25", "p50", "p75")],
+    )
 
 
 def type_counts(df: DataFrame) -> DataFrame:

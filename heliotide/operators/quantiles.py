@@ -15,24 +15,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 128
+SALTS = 64
 
 
 def _counted_slices(
-    df: DataFrame, keys: Sequence[str], value: str, slices: int, weight: str | None = None
+    df: DataFrame, keys: Sequence[str], value: str, slices: int, weight: str | None = None, nulls: bool = False, few_keys: bool = False
 ) -> DataFrame:
-    """``(keys, value, _c, _slice)``: distinct values, their counts and slices."""
+    """``(keys, value, _c, _slice, _mid)``: distinct values, their counts and slices, and one value from the middle.
+
+    With ``nulls`` missing values are counted too, as slice -1. Groups that are
+    ``few_keys`` by construction (columns, months) get their cuts sent; otherwise
+    the cuts are copied to the at most ``SALTS`` parts the values of a group are
+    dealt to, so a group of very many values is no single task.
+    """
     one = F.col(weight) if weight else F.lit(1)
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), one.alias("_w"))
-    counted = known.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"))
+    rows = df.select(*keys, F.col(value).alias("_v"), one.alias("_w"))
+    counted = (rows if nulls else rows.where("_v IS NOT NULL")).groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"))
     # one foldable expression instead of a hundred literals keeps plan analysis short
     probs = ",".join(str(i / slices) for i in range(1, slices))
-    # naming _c keeps this branch equal to the one below, so the counts are built once
+    # naming _c keeps the branches equal, so the counts are built once
     present = "CASE WHEN _c > 0 THEN _v END"
     cuts = counted.groupBy(*keys).agg(
         F.expr(f"array_distinct(percentile_approx({present}, CAST(split('{probs}', ',') AS ARRAY<DOUBLE>), {10 * slices}))").alias("_cuts")
     )
-    placed = counted.join(cuts, list(keys))
-    return placed.select(*keys, "_v", "_c", _cuts_up_to(slices).alias("_slice"))
+    if few_keys:
+        placed = counted.join(F.broadcast(cuts), list(keys))
+    else:
+        salted = counted.withColumn("_salt", F.when(F.col("_c") > 0, F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int")))
+        parts = salted.select(*keys, "_salt").distinct().join(cuts, list(keys))
+        placed = salted.join(parts, [*keys, "_salt"])
+    place = F.when(F.col("_v").isNull(), -1).otherwise(_cuts_up_to(slices)) if nulls else _cuts_up_to(slices)
+    return placed.select(*keys, "_v", "_c", place.alias("_slice"), F.get("_cuts", F.floor(F.size("_cuts") / 2).cast("int")).alias("_mid"))
 
 
 def _cuts_up_to(slices: int) -> Column:
@@ -48,8 +61,11 @@ def _cuts_up_to(slices: int) -> Column:
 
 
 def _slice_ranks(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(keys, _slice, _start, _size, _n)``; at most ``SLICES`` rows per group."""
-    sizes = counted.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_size"))
+    """``(keys, _slice, _size, _start, _n)``; at most ``SLICES`` rows per group."""
+    return _starts(counted.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_size")), keys)
+
+
+def _starts(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
     group = Window.partitionBy(*keys)
     before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select(
@@ -66,13 +82,52 @@ def exact_quantiles(
     probs: Sequence[float],
     names: Sequence[str],
     slices: int = SLICES,
+    few_keys: bool = False,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, missing values skipped.
 
     Only the slices that hold a wanted rank are sorted.
     """
-    counted = _counted_slices(df, keys, value, slices)
-    ranks = _slice_ranks(counted, keys)
+    counted = _counted_slices(df, keys, value, slices, few_keys=few_keys)
+    return _interpolated(counted, _slice_ranks(counted, keys), keys, probs, names)
+
+
+def summaries(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], slices: int = SLICES,
+    few_keys: bool = False,
+) -> DataFrame:
+    """Per group ``n, n_null, mean, std, min, max`` and exact quantiles, all from one count of the values.
+
+    Deviations are taken from a value in the middle of the group, so the sample
+    deviation keeps its digits where values are large and close together. A group
+    without values has only ``n_null``.
+    """
+    counted = _counted_slices(df, keys, value, slices, nulls=True, few_keys=few_keys)
+    off = F.col("_v") - F.col("_mid")
+    parts = counted.groupBy(*keys, "_slice").agg(
+        F.sum("_c").alias("_size"), F.sum(F.col("_c") * off).alias("_s1"), F.sum(F.col("_c") * off * off).alias("_s2"),
+        F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.first("_mid").alias("_mid"),
+    )
+    known = F.col("_slice") >= 0
+    totals = parts.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(known, F.col("_size"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(~known, F.col("_size"))), F.lit(0)).alias("n_null"),
+        F.sum("_s1").alias("_s1"), F.sum("_s2").alias("_s2"), F.min("_least").alias("min"), F.max("_most").alias("max"),
+        F.first("_mid", ignorenulls=True).alias("_mid"),
+    )
+    n = F.col("n")
+    spread = F.greatest(F.col("_s2") - F.try_divide(F.col("_s1") * F.col("_s1"), n), F.lit(0.0))
+    moments = totals.select(
+        *keys, "n", "n_null", (F.col("_mid") + F.try_divide("_s1", n)).alias("mean"),
+        F.sqrt(F.try_divide(spread, n - 1)).alias("std"), "min", "max",
+    )
+    found = _interpolated(counted.where(known), _starts(parts.where(known), keys), keys, probs, names)
+    return moments.join(found, list(keys), "left")
+
+
+def _interpolated(
+    counted: DataFrame, ranks: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]
+) -> DataFrame:
     wanted = [_targets(p) for p in probs]
     hit = _any([
         (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_size"))
@@ -111,13 +166,13 @@ def _any(conditions: Sequence[Column]) -> Column:
 
 
 def average_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, slices: int = SLICES, weight: str | None = None
+    df: DataFrame, keys: Sequence[str], value: str, slices: int = SLICES, weight: str | None = None, few_keys: bool = False
 ) -> DataFrame:
     """``(keys, value, avg_rank)`` per distinct value; ties share the mean rank.
 
     A row counts ``weight`` times.
     """
-    counted = _counted_slices(df, keys, value, slices, weight)
+    counted = _counted_slices(df, keys, value, slices, weight, few_keys=few_keys)
     ranks = _slice_ranks(counted, keys)
     inside = Window.partitionBy(*keys, "_slice").orderBy("_v")
     before = F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, -1))

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from heliotide import SERIES, TS
 from heliotide.functions.calendar import ZONE, wall_clock
-from heliotide.operators.ordered import attach, over_rows
+from heliotide.operators.ordered import attach, number_rows, over_rows, spread_chunks
 from heliotide.operators.quantiles import average_ranks, exact_quantiles
 
+#: Rows of a chunk whose lag products one call sums.
+LAG_CHUNK_ROWS = 1 << 16
+
 
 def distribution_shape(df: DataFrame, value: str, keys: Sequence[str] = (SERIES,)) -> DataFrame:
     """Bias-corrected skewness and excess kurtosis, and the Jarque-Bera test.
@@ -50,14 +53,15 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     The merged rows then take one rank per column. All columns read the merged
     rows from one exchange.
     """
-    names = {c: f"_v{i}" for i, c in enumerate(columns)}
-    known = df.select([F.col(f"`{c}`").cast("double").alias(v) for c, v in names.items()]).dropna()
-    rows = known.groupBy(*names.values()).agg(F.count(F.lit(1)).alias("_n"))
-    cells = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(v).alias("_x")) for i, v in enumerate(names.values())])
-    ranks = average_ranks(rows.select("_n", F.inline(cells)), ["_i"], "_x", weight="_n")
-    ranked = rows
-    for i, v in enumerate(names.values()):
-        ranked = ranked.join(ranks.where(F.col("_i") == i).select(F.col("_x").alias(v), F.col("avg_rank").alias(f"_rank{i}")), v)
+    names = [f"_v{i}" for i in range(len(columns))]
+    known = df.select([F.col(f"`{c}`").cast("double").alias(v) for c, v in zip(columns, names)]).dropna()
+    rows = known.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    cells = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(v).alias("_x")) for i, v in enumerate(names)])
+    long = rows.select(*names, "_n", F.inline(cells))
+    ranks = average_ranks(long, ["_i"], "_x", weight="_n", few_keys=True)
+    ranked = long.join(ranks, ["_i", "_x"]).groupBy(*names).agg(F.max("_n").alias("_n"), *[
+        F.max(F.when(F.col("_i") == i, F.col("avg_rank"))).alias(f"_rank{i}") for i in range(len(columns))
+    ])
     return _pair_table(ranked, {c: f"_rank{i}" for i, c in enumerate(columns)}, "spearman", "_n")
 
 
@@ -142,44 +146,75 @@ def _centred(df: DataFrame, values: Sequence[str]) -> DataFrame:
     return joined.select(SERIES, TS, *[(F.col(v) - F.col(f"_m_{v}")).alias(v) for v in values])
 
 
+def _lag_sums(
+    df: DataFrame, fixed: str, moved: Sequence[str], lags: Sequence[int], chunk_rows: int = LAG_CHUNK_ROWS
+) -> DataFrame:
+    """``(series_id, name, lag, total)``: sum over rows t of ``fixed[t] * name[t + lag]``, for each of ``moved``.
+
+    A chunk of rows, with the few rows beyond its edges that the lags reach, gives
+    one sum per lag; only these are added up. Rows outside the series and missing
+    values count nothing.
+    """
+    back, ahead = max(0, -min(lags)), max(0, max(lags))
+    names = list(dict.fromkeys([fixed, *moved]))
+    spread = spread_chunks(number_rows(df.select(SERIES, TS, *names)), back, ahead, chunk_rows)
+
+    def products(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("pos")
+        own = np.flatnonzero(part["pos"].to_numpy() // chunk_rows == part["_chunk"].iloc[0])
+        first, last = own[0], own[-1] + 1
+        x = part[fixed].fillna(0.0).to_numpy(dtype=float)
+        out = []
+        for name in moved:
+            y = part[name].fillna(0.0).to_numpy(dtype=float)
+            for lag in lags:
+                a, b = max(first, -lag), min(last, len(y) - lag)
+                out.append((name, lag, float(x[a:b] @ y[a + lag : b + lag]) if a < b else 0.0))
+        sums = pd.DataFrame(out, columns=["name", "lag", "total"])
+        sums.insert(0, SERIES, part[SERIES].iloc[0])
+        return sums
+
+    kind = df.schema[SERIES].dataType.simpleString()
+    parts = spread.groupBy(SERIES, "_chunk").applyInPandas(products, f"{SERIES} {kind}, name string, lag int, total double")
+    return parts.groupBy(SERIES, "name", "lag").agg(F.sum("total").alias("total"))
+
+
 def autocorrelation(df: DataFrame, value: str, lags: int = 96) -> DataFrame:
     """``(series_id, lag, acf)`` for lags 0..``lags`` by row.
 
     Missing values count as the mean; fill them first if that is not wanted.
     """
-    centred = _centred(df, [value]).fillna(0.0, [value])
-    # newest first: the element at position k lies k rows back
-    framed = over_rows(
-        centred,
-        lambda w: {"_back": F.reverse(F.collect_list(value).over(w.rowsBetween(-lags, 0)))},
-        back=lags,
-    )
-    pairs = framed.select(SERIES, value, F.posexplode("_back").alias("lag", "_x"))
-    sums = pairs.groupBy(SERIES, "lag").agg(F.sum(F.col(value) * F.col("_x")).alias("_p"))
-    variance = sums.where("lag = 0").select(SERIES, F.col("_p").alias("_p0"))
-    return sums.join(variance, SERIES).select(SERIES, "lag", F.try_divide("_p", "_p0").alias("acf"))
+    sums = _lag_sums(_centred(df, [value]), value, [value], range(-lags, 1)).select(SERIES, (-F.col("lag")).alias("lag"), "total")
+    variance = sums.where("lag = 0").select(SERIES, F.col("total").alias("_p0"))
+    return sums.join(variance, SERIES).select(SERIES, "lag", F.try_divide("total", "_p0").alias("acf"))
 
 
 def partial_autocorrelation(acf: DataFrame) -> DataFrame:
     """``(series_id, lag, pacf)`` from the result of :func:`autocorrelation`.
 
-    Durbin-Levinson recursion on the unadjusted autocorrelations. Its input is
-    ``lags + 1`` rows per series.
+    Durbin-Levinson recursion on the unadjusted autocorrelations, as a fold over
+    the ``lags + 1`` values of a series; NULL from where it is not defined.
     """
-    schema = acf.select(SERIES, "lag", F.col("acf").alias("pacf")).schema
-    return acf.groupBy(SERIES).applyInPandas(_durbin_levinson, schema)
-
-
-def _durbin_levinson(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("lag")
-    rho = part["acf"].to_numpy(dtype=float)
-    out, phi, error = np.ones(len(rho)), np.zeros(0), 1.0
-    for k in range(1, len(rho)):
-        reflection = (rho[k] - phi @ rho[k - 1:0:-1]) / error if error else np.nan
-        phi = np.append(phi - reflection * phi[::-1], reflection)
-        error *= 1 - reflection**2
-        out[k] = reflection
-    return pd.DataFrame({SERIES: part[SERIES], "lag": part["lag"], "pacf": out})
+    lagged = F.array_sort(F.collect_list(F.struct("lag", "acf")))
+    series = acf.groupBy(SERIES).agg(F.transform(lagged, lambda x: x["acf"]).alias("_rho"))
+
+    def step(state: Column, k: Column) -> Column:
+        phi = state["phi"]
+        past = F.reverse(F.slice("_rho", F.lit(2), k - 1))
+        known = F.aggregate(F.zip_with(phi, past, lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)
+        reflection = F.try_divide(F.element_at("_rho", k + 1) - known, state["error"])
+        # a list of one element, so that the reflection is computed once
+        return F.transform(F.array(reflection), lambda r: F.struct(
+            F.concat(F.zip_with(phi, F.reverse(phi), lambda a, b: a - r * b), F.array(r)).alias("phi"),
+            (state["error"] * (1 - r * r)).alias("error"),
+            F.concat(state["out"], F.array(r)).alias("out"),
+        ))[0]
+
+    none = F.array().cast("array<double>")
+    start = F.struct(none.alias("phi"), F.lit(1.0).alias("error"), F.array(F.lit(1.0)).alias("out"))
+    steps = F.when(F.size("_rho") > 1, F.sequence(F.lit(1), F.size("_rho") - 1)).otherwise(F.array().cast("array<int>"))
+    found = series.select(SERIES, F.aggregate(steps, start, step, lambda state: state["out"]).alias("_pacf"))
+    return found.select(SERIES, F.posexplode("_pacf").alias("lag", "pacf"))
 
 
 def cross_correlation(df: DataFrame, covariates: Sequence[str], target: str, lags: int = 72) -> DataFrame:
@@ -189,22 +224,16 @@ def cross_correlation(df: DataFrame, covariates: Sequence[str], target: str, lag
     """
     values = list(dict.fromkeys([*covariates, target]))
     centred = _centred(df, values).fillna(0.0, values)
-    row = F.struct(*covariates)
-    framed = over_rows(
-        centred, lambda w: {"_on": F.collect_list(row).over(w.rowsBetween(0, lags - 1))}, ahead=lags - 1
-    )
-    pairs = framed.select(SERIES, F.col(target).alias("_y"), F.posexplode("_on").alias("lag", "_x"))
-    sums = pairs.groupBy(SERIES, "lag").agg(*[F.sum(F.col("_y") * F.col(f"_x.{c}")).alias(c) for c in covariates])
-    long = sums.unpivot([SERIES, "lag"], list(covariates), "covariate", "_p")
+    sums = _lag_sums(centred, target, list(covariates), range(lags))
     spreads = centred.groupBy(SERIES).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_pop(target).alias("_sy"),
         F.map_from_arrays(
             F.array(*[F.lit(c) for c in covariates]), F.array(*[F.stddev_pop(c) for c in covariates])
         ).alias("_sx"),
     )
-    scale = F.col("_n") * F.col("_sy") * F.col("_sx")[F.col("covariate")]
-    return long.join(spreads, SERIES).select(
-        SERIES, "covariate", "lag", F.try_divide("_p", scale).alias("ccf")
+    scale = F.col("_n") * F.col("_sy") * F.col("_sx")[F.col("name")]
+    return sums.join(spreads, SERIES).select(
+        SERIES, F.col("name").alias("covariate"), "lag", F.try_divide("total", scale).alias("ccf")
     )
 
 

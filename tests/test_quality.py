@@ -1,7 +1,8 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import ordered, per_series, to_spark
+from conftest import ordered, per_series, same, to_spark
+from pyspark.sql import functions as F
 
 from heliotide.operators import quality
 from heliotide.operators.align import fill_hour_grid
@@ -72,3 +73,41 @@ def test_summary_and_profile(hourly):
     assert profile.loc["y", "n_null"] == pdf.y.isna().sum()
     twice = quality.duplicate_share(df.unionAll(df)).first()
     assert twice.duplicate_pct == 50.0
+
+
+def test_profile_of_an_empty_table_and_of_texts(hourly):
+    df = hourly[1].withColumn("t", F.when(F.col("y") > 50, "a"))
+    empty = quality.column_profile(df.limit(0), True).toPandas().set_index("column")
+    assert list(empty.index) == df.columns and (empty.n_null == 0).all() and empty.p50.isna().all()
+    full = quality.column_profile(df, True).toPandas().set_index("column")
+    plain = quality.column_profile(df).toPandas().set_index("column")
+    assert full.loc["t", "n_null"] == plain.loc["t", "n_null"] and np.isnan(full.loc["t", "mean"])
+    for c in ("mean", "std", "min", "max"):
+        same(full.loc[["x", "y"], c], plain.loc[["x", "y"], c])
+
+
+def test_several_columns_are_judged_in_one_scan(hourly, tmp_path):
+    hourly[1].write.parquet(str(tmp_path / "t"))
+    df = hourly[1].sparkSession.read.parquet(str(tmp_path / "t"))
+    both = quality.flag_outliers(df, ["x", "y"], 0.5, 1.5)
+    got = ordered(both)
+    for c in ("x", "y"):
+        one = ordered(quality.flag_outliers(df, c, 0.5, 1.5))
+        for flag in ("iqr_outlier", "z_outlier", "outlier"):
+            assert list(got[f"{c}_{flag}"]) == list(one[flag]) and one[flag].any()
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # the rows once, and one pass over the values of both columns
+    assert plan.count("Scan parquet") == 2
+    profile = quality.column_profile(df, True)
+    profile.collect()
+    assert profile._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Scan parquet") == 1
+
+
+def test_missing_runs_of_several_columns(hourly, spark):
+    grid = fill_hour_grid(hourly[1])
+    both = quality.missing_runs(grid, ["x", "y"], 0).toPandas()
+    for c in ("x", "y"):
+        want = ordered(quality.missing_runs(grid, c, 0), "series_id", "start")
+        got = both[both.column == c].sort_values(["series_id", "start"]).reset_index(drop=True)
+        assert len(want) > 3 and got.drop(columns="column")[list(want.columns)].equals(want)

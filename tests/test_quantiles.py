@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from conftest import ordered, same, to_spark
 
-from heliotide.operators.quantiles import average_ranks, exact_quantiles
+from heliotide.operators.quantiles import average_ranks, exact_quantiles, summaries
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +41,20 @@ def test_ranks_match_pandas(values):
     assert len(both) == len(got) == len(want)
     same(both.avg_rank_x, both.avg_rank_y)
     assert ordered(average_ranks(df, [], "v"), "v").avg_rank.is_monotonic_increasing
+
+
+@pytest.mark.parametrize("slices", [2, 64])
+def test_summaries_match_pandas(values, slices):
+    pdf, df = values
+    got = summaries(df, ["k"], "v", [0.25, 0.75], ["q1", "q3"], slices).toPandas().set_index("k")
+    assert set(got.index) == set(pdf.k)
+    for k, part in pdf.groupby("k"):
+        v = part.v.dropna()
+        assert (got.loc[k, "n"], got.loc[k, "n_null"]) == (len(v), part.v.isna().sum())
+        same(got.loc[k, ["mean", "std", "min", "max", "q1", "q3"]], [v.mean(), v.std(), v.min(), v.max(), v.quantile(0.25), v.quantile(0.75)])
+
+
+def test_summaries_keep_the_digits_of_large_close_values(spark):
+    v = 1e9 + np.arange(1000) / 1000
+    got = summaries(to_spark(spark, pd.DataFrame({"k": "a", "v": v})), ["k"], "v", [0.5], ["p50"]).first()
+    assert abs(got["std"] - v.std(ddof=1)) < 1e-6 and abs(got["mean"] - v.mean()) < 1e-6
