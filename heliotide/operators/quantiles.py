@@ -38,8 +38,9 @@ def _counted_slices(
     cuts = counted.groupBy(*keys).agg(
         F.expr(f"array_distinct(percentile_approx({present}, CAST(split('{probs}', ',') AS ARRAY<DOUBLE>), {10 * slices}))").alias("_cuts")
     )
-    if few_keys:
-        placed = counted.join(F.broadcast(cuts), list(keys))
+    if few_keys or not keys:
+        # without keys the cuts are one row
+        placed = counted.join(F.broadcast(cuts), list(keys) or None)
     else:
         salted = counted.withColumn("_salt", F.when(F.col("_c") > 0, F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int")))
         parts = salted.select(*keys, "_salt").distinct().join(cuts, list(keys))
