@@ -37,9 +37,9 @@ WINDOW = 50
 WORD_GRAM, BYTE_GRAM = 8, 16
 HOT_SHARE = 1000
 LEAST_HOT = 1000
-LEAST_BUCKETS, LEAST_CONTEXT_BUCKETS = 16, 64
+LEAST_BUCKETS, LEAST_CONTEXT_BUCKETS = 16, 128
 #: Bytes of text per bucket, for anchors and for contexts.
-BUCKET_BYTES, CONTEXT_BUCKET_BYTES = 64 << 20, 16 << 20
+BUCKET_BYTES, CONTEXT_BUCKET_BYTES = 64 << 20, 8 << 20
 SLICE_BYTES = 1 << 21
 FLUSH_ANCHORS = 1 << 21
 FLUSH_CONTEXTS = 1 << 18
@@ -82,13 +82,44 @@ def _grams(values: np.ndarray) -> np.ndarray:
     n = len(values) - BYTE_GRAM + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    halves = []
-    for k in (0, BYTE_GRAM // 2):
-        half = np.zeros(n, dtype=np.uint64)
-        for j in range(BYTE_GRAM // 2):
-            half |= values[k + j : k + j + n].astype(np.uint64) << np.uint64(8 * j)
-        halves.append(half)
-    return mix(mix(halves[0] + np.uint64(0x632BE59BD9B4E019)) + halves[1])
+    # The eight bytes from every place on, read as numbers at eight shifts.
+    half = BYTE_GRAM // 2
+    eight = np.empty(n + half, dtype=np.uint64)
+    padded = np.append(values, np.zeros(2 * half, np.uint8))
+    for shift in range(half):
+        part = eight[shift::half]
+        part[:] = np.frombuffer(padded, "<u8", len(part), shift)
+    return mix(mix(eight[:n] + np.uint64(0x632BE59BD9B4E019)) + eight[half:])
+
+
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """The first place of the least value in every ``width`` consecutive ones.
+
+    Blocks of ``width`` are scanned from both ends; a window is the end of one block and the start of the next.
+    """
+    count = len(values) - width + 1
+    if count <= 0:
+        return np.empty(0, np.int64)
+    blocks = -(-len(values) // width) + 1
+    padded = np.full(blocks * width, np.uint64(0xFFFFFFFFFFFFFFFF))
+    padded[: len(values)] = values
+    rows = np.ascontiguousarray(padded.reshape(blocks, width).T)
+    kind = np.uint8 if width <= 256 else np.int64
+    until, since = rows.copy(), rows.copy()
+    first_until, first_since = np.zeros(rows.shape, kind), np.full(rows.shape, width - 1, kind)
+    for k in range(1, width):
+        np.minimum(rows[k], until[k - 1], out=until[k])
+        first_until[k] = np.where(rows[k] < until[k - 1], kind(k), first_until[k - 1])
+    for k in range(width - 2, -1, -1):
+        np.minimum(rows[k], since[k + 1], out=since[k])
+        first_since[k] = np.where(rows[k] <= since[k + 1], kind(k), first_since[k + 1])
+    out = np.empty((width, blocks - 1), np.int64)
+    base = np.arange(blocks - 1) * width
+    out[0] = base + first_since[0, :-1]
+    for k in range(1, width):
+        later = until[k - 1, 1:] < since[k, :-1]
+        out[k] = base + np.where(later, first_until[k - 1, 1:].astype(np.int64) + width, first_since[k, :-1])
+    return out.T.reshape(-1)[:count]
 
 
 def contexts(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,13 +129,7 @@ def contexts(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     none = np.empty(0, np.int64)
     if n <= 0:
         return none, np.empty(0, np.uint64), none, none, none
-    width = WINDOW - gram_of(units.values) + 1
-    best, at, span = grams, np.arange(len(grams), dtype=np.int64), 1
-    while span < width:
-        step = min(span, width - span)
-        right = best[step:] < best[:-step]
-        best, at = np.where(right, best[step:], best[:-step]), np.where(right, at[step:], at[:-step])
-        span += step
+    at = least_places(grams, WINDOW - gram_of(units.values) + 1)
     windows = np.maximum(np.diff(units.first) - WINDOW + 1, 0)
     text = np.repeat(np.arange(len(windows)), windows)
     start = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(units.first[:-1], windows)
@@ -186,9 +211,9 @@ def _anchor_rows(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.Record
     for t, where in _by(doc[mine], np.flatnonzero(mine)):
         out.append({"bucket": int(key[where[0]] % buckets), "row_key": int(key[where[0]]), "places": _packed(np.sort(place[where]))})
     shared = np.column_stack([(a[head][local] & _LOW48).astype(np.int64), low[local], high[local], n_docs[local]])
-    to_shared = (a[head][local] >> np.uint64(48)).astype(np.int64) % buckets
+    to_shared = _bucket(a[head][local], buckets)
     alone = np.flatnonzero(~mine)
-    to = (anchor[alone] >> np.uint64(48)).astype(np.int64) % buckets
+    to = _bucket(anchor[alone], buckets)
     alone = alone[np.lexsort((place[alone], doc[alone], to))]
     to = np.sort(to)
     for b in np.union1d(to, to_shared).tolist():
@@ -203,6 +228,11 @@ def _anchor_rows(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.Record
     return pa.RecordBatch.from_pylist(out, schema=_STAGE1)
 
 
+def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    """From all bits, as rows carry 48 of them: what meets in a bucket differs in those or is equal."""
+    return (mix(anchor) % np.uint64(buckets)).astype(np.int64)
+
+
 def _by(group: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(group, its values) for each group."""
     order = np.argsort(group, kind="stable")

@@ -19,18 +19,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from heliotide.llm.repeats import WINDOW, bytes_as_units, covered, spans_of
-from heliotide.llm.words import slices
+from heliotide.llm.words import slices, span_hashes
 
 _BORDER = -1
 #: Passages sorted together: one array for many shards costs less than many small ones.
 BATCH = 4096
 
 
+def _met_again(contents: list[bytes], content: np.ndarray, start: np.ndarray, least: int) -> np.ndarray:
+    """Suffixes whose first ``least`` bytes begin another suffix too (by hash, so a few more may be left in).
+
+    No other suffix lies in an interval with a common prefix of that length.
+    """
+    first = np.cumsum([0, *map(len, contents)])
+    at = first[content] + start
+    head = span_hashes(np.frombuffer(b"".join(contents), np.uint8), at, at + least)
+    order = np.argsort(head)
+    run = head[order]
+    same = run[1:] == run[:-1]
+    again = np.zeros(len(head), dtype=bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    return np.flatnonzero(again)
+
+
 def enhanced_suffix_array(contents: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(content, start, common prefix with the entry before, byte to the left or -1) of all suffixes of at least ``least`` bytes, sorted."""
+    """(content, start, common prefix with the entry before, byte to the left or -1) of the suffixes that share their first ``least`` bytes, sorted."""
     counts = np.array([max(0, len(c) - least + 1) for c in contents], dtype=np.int64)
     content = np.repeat(np.arange(len(contents)), counts)
     start = np.arange(len(content)) - np.repeat(np.cumsum(counts) - counts, counts)
+    again = _met_again(contents, content, start, least)
+    content, start = content[again], start[again]
     width = -(-max(map(len, contents), default=0) // 8) * 8
     padded = np.zeros((len(contents), width * 2), dtype=np.uint8)
     for i, c in enumerate(contents):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliotide.llm import automaton, components, exact, near, suffixes
+from heliotide.llm import automaton, components, exact, near, repeats, suffixes
 from tests.llm.corpora import BASE, corpus, empty, frame, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -196,3 +196,35 @@ def test_maximal_repeats_list_all_occurrences():
 def test_each_task_sends_one_row_per_text(spark):
     docs = frame(spark, [(i, "one text") for i in range(300)] + [(i, "another") for i in range(300, 350)]).coalesce(1)
     assert sorted((r["_content"], r["_n"]) for r in exact.salted(docs, salts=8).collect()) == [("another", 50), ("onetext", 300)]
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 35])
+def test_least_places_are_the_first_of_each_window(width):
+    rng = np.random.default_rng(width)
+    for n in (0, 1, 34, 35, 36, 70, 71, 500):
+        values = rng.integers(0, 6, n).astype(np.uint64)
+        want = [i + int(np.argmin(values[i : i + width])) for i in range(n - width + 1)]
+        assert repeats.least_places(values, width).tolist() == want
+    top = np.full(40, np.uint64(0xFFFFFFFFFFFFFFFF))
+    assert repeats.least_places(top, width).tolist() == list(range(40 - width + 1))
+
+
+def test_grams_read_every_byte():
+    data = np.random.default_rng(0).integers(0, 256, 300).astype(np.uint8)
+    plain = [data[i : i + repeats.BYTE_GRAM].tobytes() for i in range(300 - repeats.BYTE_GRAM + 1)]
+    doubled = repeats._grams(np.concatenate([data, data]))
+    assert len(repeats._grams(data)) == len(plain) == len(set(repeats._grams(data).tolist()))
+    assert (doubled[: len(plain)] == doubled[300 : 300 + len(plain)]).all()
+    assert all(len(repeats._grams(data[:n])) == max(0, n - repeats.BYTE_GRAM + 1) for n in range(25))
+
+
+def test_suffixes_that_stand_alone_change_nothing():
+    """Windows found with and without the suffixes that share their start with no other."""
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        contents = [bytes(rng.integers(97, 100, rng.integers(0, 60)).astype(np.uint8)) for _ in range(6)]
+        ids = rng.integers(0, 4, 6).tolist()
+        got = suffixes.repeated_windows(contents, ids, 5)
+        for i, c in enumerate(contents):
+            want = [any(ids[j] < ids[i] and c[k : k + 5] in contents[j] for j in range(6)) for k in range(max(0, len(c) - 4))]
+            assert got[i].tolist() == want
