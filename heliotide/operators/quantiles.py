@@ -120,7 +120,7 @@ def summaries(
     spread = F.greatest(F.col("_s2") - F.try_divide(F.col("_s1") * F.col("_s1"), n), F.lit(0.0))
     moments = totals.select(
         *keys, "n", "n_null", (F.col("_mid") + F.try_divide("_s1", n)).alias("mean"),
-        F.sqrt(F.try_divide(spread, n - 1)).alias("std"), "min", "max",
+        F.when(n > 1, F.sqrt(spread / (n - 1))).alias("std"), "min", "max",
     )
     found = _interpolated(counted.where(known), _starts(parts.where(known), keys), keys, probs, names)
     return moments.join(found, list(keys), "left")
