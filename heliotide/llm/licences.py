@@ -111,8 +111,22 @@ def _whole() -> Iterator[tuple[str, str]]:
             yield licence, "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", t))
 
 
+#: Titles under which the short licences are published; some texts have none.
+_TITLES = {"MIT": ("The MIT License (MIT)", "The MIT License", "MIT License (MIT)", "MIT"), "ISC": ("The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC")}
+
+
+def _titled() -> Iterator[tuple[str, str]]:
+    """The short licences under their other titles and without one."""
+    for licence, text in _NOTICES:
+        title, _, rest = text.partition("\n\n")
+        if rest:
+            yield licence, rest
+            for other in _TITLES[licence]:
+                yield licence, f"{other}\n\n{rest}"
+
+
 #: Notices, tag lines, standard headers and whole texts.
-KNOWN = tuple(dict.fromkeys((*_NOTICES, *((k, f"SPDX-License-Identifier: {tag}") for k, tags in _TAGS.items() for tag in tags), *_headers(), *_whole())))
+KNOWN = tuple(dict.fromkeys((*_NOTICES, *_titled(), *((k, f"SPDX-License-Identifier: {tag}") for k, tags in _TAGS.items() for tag in tags), *_headers(), *_whole())))
 
 #: Spellings that mean the same, as (pattern over the lower-cased text, replacement).
 EQUIVALENT = (
@@ -120,8 +134,8 @@ EQUIVALENT = (
     (r"merchantibility", "merchantability"), (r"organisation", "organization"), (r"whilst", "while"), (r"judgement", "judgment"),
     (r"https://", "http://"), (r"\bv(?:er)?\.? ?(?=[0-9])", "version "), (r"\bversion +([0-9]+)\.0\b", "version $1"), (r"©", "(c)"),
 )
-#: A line that begins like this names an owner, not a licence.
-COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(?:copyright|\(c\)).*$"
+#: A line that begins like this names an owner, not a licence: the word with a year, a sign or a blank to fill in behind it.
+COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(?:copyright:?[ \t]*(?:\(c\)|[0-9]{4}|[<\[{])|\(c\)[ \t]*(?:[0-9]{4}|copyright)).*$"
 
 
 def canonical_lines(text: Column) -> Column:
@@ -165,7 +179,8 @@ def matches(docs: DataFrame, licences: DataFrame) -> DataFrame:
 
     A document is looked up as a whole; its paragraphs and lines too where it
     has several. Paragraphs end at lines without letters or digits, such as
-    blank lines and copyright lines. ``licences`` comes from ``known_licences``.
+    blank lines and copyright lines. ``licences`` comes from ``known_licences``,
+    a list the caller holds, and is sent to the documents.
     """
     texts = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"),
@@ -173,7 +188,8 @@ def matches(docs: DataFrame, licences: DataFrame) -> DataFrame:
     )
     units = texts.select("doc_id", "text_key", F.posexplode(_units(F.col("lines"))).alias("unit", "u"))
     digests = units.select("doc_id", "text_key", "unit", F.col("u.scope").alias("scope"), F.sha2("u.text", 256).alias("digest"))
-    return digests.join(licences, "digest").select("doc_id", "text_key", "scope", "unit", "licence")
+    # A fixed list from the driver: no digest of a document is moved.
+    return digests.join(F.broadcast(licences), "digest").select("doc_id", "text_key", "scope", "unit", "licence")
 
 
 def report(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from heliotide.llm import decontaminate, licences, quality, secrets, toxicity
 from tests.llm.corpora import corpus, empty, frame, words
@@ -238,3 +239,32 @@ def test_whole_licences_and_headers(spark):
     assert [got[i][0] for i in range(len(names))] == names
     assert got[100][0] == "Apache-2.0" and got[101][0] == "GPL-3.0" and got[102] == (None, "Apache-2.0") and got[103] == (None, "LGPL-2.1")
     assert got[104][0] is None
+
+
+def test_licences_under_other_titles_and_wrapped_anew(spark):
+    import textwrap
+
+    folder = files("heliotide.llm").joinpath("licence_texts")
+    mit = dict(licences.KNOWN[4:5])["MIT"]
+    body = mit.split("\n\n", 1)[1].replace("<year> <copyright holders>", "2021 A. Person")
+
+    def wrapped(text, width):
+        # owner lines stay lines of their own
+        return "\n\n".join("\n".join(x for line in ([p] if "opyright (c)" in p.lower()[:20] else [" ".join(p.split())]) for x in (line.split("\n") if line is p else textwrap.wrap(line, width))) for p in re.split(r"\n\s*\n", text))
+
+    docs = {
+        1: ("MIT", "The MIT License (MIT)\n\n" + body), 2: ("MIT", body), 3: ("MIT", "The MIT License\n\n" + wrapped(body, 50)),
+        4: ("Apache-2.0", wrapped(folder.joinpath("Apache-2.0.txt").read_text(), 72)), 5: ("Apache-2.0", wrapped(folder.joinpath("Apache-2.0.txt").read_text(), 60)),
+    }
+    got = {r["doc_id"]: r["whole_licence"] for r in licences.report(frame(spark, [(i, t) for i, (_, t) in docs.items()])).collect()}
+    assert got == {i: name for i, (name, _) in docs.items()}
+    kept = {r["c"] for r in spark.createDataFrame([("Copyright notices must stay\n# Copyright 2020 X\n(c) 2019 Y\ncopyright © Z",)], "t string").select(licences.canonical(F.col("t")).alias("c")).collect()}
+    assert kept == {"copyright notices must stay"}
+
+
+def test_no_digest_of_a_document_is_moved(spark, tmp_path):
+    frame(spark, [(i, f"line {i}\nSPDX-License-Identifier: MIT") for i in range(50)]).write.parquet(str(tmp_path / "d"))
+    df = licences.matches(spark.read.parquet(str(tmp_path / "d")), licences.known_licences(spark))
+    assert len(df.collect()) == 50
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "Exchange hashpartitioning(digest" not in plan
