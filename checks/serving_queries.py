@@ -10,7 +10,7 @@ from checks.registered import query, r, rounded, rs
 from heliotide import SERIES, TS
 from heliotide.functions import scaling
 from heliotide.operators import evaluate, features, normalize, publish, shape
-from heliotide.session import shared_dir
+from heliotide.session import cut_lineage, shared_dir
 from heliotide.sources import readers, schemas, tables
 
 W = "WINDOW w AS (PARTITION BY series_id ORDER BY ts)"
@@ -452,7 +452,7 @@ def _(spark, folder):
     return lines.select("*", scaling.training_set().alias("training_set"), scaling.horizon_tag().alias("tag"))
 
 
-# --- models: rows only, fits have no SQL ----------------------------------
+# --- models -----------------------------------------------------------------
 
 def model_input(spark, folder):
     """Hourly table with past and time features, target ``y``."""
@@ -492,3 +492,65 @@ def _(spark, folder):
     registry.log_run(spark, model, path)
     records = registry.read_runs(spark, path)
     return records.select("horizon", "feature_set", "horizon_tag", "n_features", "rmse")
+
+
+# Trees of depth 0 predict the mean label, so what is around them can be checked in SQL.
+FLAT_RANGES = {"maxDepth": (0, 0, "int"), "stepSize": (0.1, 0.1, "log"), "maxIter": (1, 1, "int"), "minInstancesPerNode": (10, 10, "int"), "maxBins": (32, 32, "int")}
+FLAT_SELECTOR = {"maxDepth": 0, "stepSize": 0.1, "maxIter": 1, "minInstancesPerNode": 20}
+FLAT_HORIZONS = (1, 24)
+
+
+def flat_training(spark, folder, folds):
+    from heliotide.learning import boosting
+
+    config = boosting.TrainingConfig(
+        horizons=FLAT_HORIZONS, folds=folds, trials=1, ranges=FLAT_RANGES, selector_params=FLAT_SELECTOR, always_keep=["hour_sin"]
+    )
+    table = cut_lineage(model_input(spark, folder))
+    return table, boosting.train_horizons(table, MODEL_FEATURES, ["hour_sin", "hour_cos"], "y", config)
+
+
+@query("training_errors", f"""
+WITH {v.PROD}, num AS (SELECT *, row_number() OVER w - 1 AS i FROM prod {W}), hs AS (SELECT unnest([1, 24]) AS h),
+lab AS (SELECT a.series_id, h, a.ts, a.y, b.y AS actual FROM num a JOIN hs ON true JOIN num b ON b.series_id = a.series_id AND b.i = a.i + h WHERE b.y IS NOT NULL),
+rolled AS (SELECT *, row_number() OVER (PARTITION BY series_id, h ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY series_id, h) AS n,
+  CASE WHEN count(y) OVER f >= 24 THEN quantile_cont(y, 0.99) OVER f END AS q FROM lab
+  WINDOW f AS (PARTITION BY series_id, h ORDER BY ts ROWS BETWEEN 2159 PRECEDING AND CURRENT ROW)),
+used AS (SELECT *, pos < n - (6 - fold) * (n // 6) AS train FROM (SELECT *, unnest(range(1, 6)) AS fold FROM rolled) WHERE pos < n - (5 - fold) * (n // 6)),
+filled AS (SELECT *, CASE WHEN train THEN first_value(q IGNORE NULLS) OVER (PARTITION BY series_id, h, fold, train ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS d FROM used),
+den AS (SELECT *, CAST(CAST(CASE WHEN train THEN d ELSE max_by(d, pos) FILTER (WHERE train) OVER (PARTITION BY series_id, h, fold) END AS FLOAT) AS DOUBLE) AS den FROM filled),
+lbl AS (SELECT *, actual / nullif(den, 0) AS label FROM den WHERE den <> 0),
+means AS (SELECT h, fold, avg(label) AS m FROM lbl WHERE train GROUP BY 1, 2),
+errors AS (SELECT h, fold, sqrt(avg((actual - m * den) ** 2)) AS e FROM lbl JOIN means USING (h, fold) WHERE NOT train GROUP BY 1, 2)
+SELECT CAST(h AS INTEGER) AS horizon, CASE WHEN h <= 3 THEN 'short' WHEN h <= 12 THEN 'mid' ELSE 'long' END AS feature_set,
+  CAST(1 AS INTEGER) AS n_features, {r('avg(e)', 'rmse', 3)} FROM errors GROUP BY 1, 2""")
+def _(spark, folder):
+    from heliotide.learning import registry
+
+    path = shared_dir(spark)
+    registry.log_run(spark, flat_training(spark, folder, 5)[1], path)
+    records = registry.read_runs(spark, path).select("horizon", "feature_set", F.col("n_features").cast("int").alias("n_features"), "rmse")
+    return rounded(records, "rmse", places=3)
+
+
+@query("trained_walk_forward", f"""
+WITH {v.PROD}, num AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM prod {W}), hs AS (SELECT unnest([1, 24]) AS h),
+rolled AS (SELECT *, CASE WHEN count(y) OVER f >= 24 THEN quantile_cont(y, 0.99) OVER f END AS q FROM num WINDOW f AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 2159 PRECEDING AND CURRENT ROW)),
+den AS (SELECT series_id, ts, i, n, y, CAST(CAST(first_value(q IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS FLOAT) AS DOUBLE) AS d FROM rolled),
+means AS (SELECT h, avg(b.y / a.d) AS m FROM den a JOIN hs ON true JOIN den b ON b.series_id = a.series_id AND b.i = a.i + h WHERE a.d <> 0 GROUP BY 1),
+walk AS (SELECT t.series_id, o.ts AS origin_ts, o.d, CAST(t.i - o.i AS INTEGER) AS horizon, t.y AS actual, p.y AS baseline
+  FROM den o JOIN den t ON t.series_id = o.series_id AND t.i BETWEEN o.i + 1 AND o.i + 24 LEFT JOIN den p ON p.series_id = t.series_id AND p.i = t.i - 24
+  WHERE o.i + 1 >= 48 AND o.i + 1 < o.n - 24),
+made AS (SELECT walk.*, CASE WHEN m IS NOT NULL THEN greatest(m, 0) * d END AS prediction FROM walk LEFT JOIN means ON h = horizon)
+SELECT series_id, horizon, count(actual - prediction) AS n, count(*) FILTER (WHERE actual IS NOT NULL AND prediction IS NULL) AS n_missing,
+  {r('sqrt(avg((actual - prediction) ** 2))', 'rmse', 3)}, {r('avg(abs(actual - prediction))', 'mae', 3)},
+  {r('1 - sqrt(avg((actual - prediction) ** 2)) / nullif(sqrt(avg((actual - baseline) ** 2)), 0)', 'skill', 5)}
+FROM made GROUP BY series_id, horizon""")
+def _(spark, folder):
+    from heliotide.plans.jobs import walk_forward_of
+
+    table, model = flat_training(spark, folder, 2)
+    made = cut_lineage(walk_forward_of(model, table, "y"))
+    found = evaluate.skill_table(made).where("horizon IS NOT NULL").join(evaluate.prediction_coverage(made).drop("n_actual"), [SERIES, "horizon"])
+    columns = found.select(SERIES, F.col("horizon").cast("int").alias("horizon"), "n", "n_missing", "rmse", "mae", "skill")
+    return rounded(rounded(columns, "rmse", "mae", places=3), "skill", places=5)

@@ -28,7 +28,8 @@ MISSING = -1.0e9
 # Selector horizons used for each training set.
 SELECTOR_HORIZONS = {"short": [1, 3], "mid": [3, 6, 12], "long": [12, 24]}
 
-# Searched ranges (low, high, scale).
+# Searched ranges (low, high, scale). maxBins has no published
+# counterpart; it stands in for the number of leaves, which Spark's trees do not take.
 SEARCH_RANGES = {
     "maxDepth": (1, 30, "int"),
     "stepSize": (0.005, 0.2, "log"),
@@ -122,20 +123,46 @@ def sample_params(ranges: Mapping[str, tuple], trials: int, seed: int = 42) -> l
     return points
 
 
-def fold_table(
-    labelled: DataFrame, features: Sequence[str], covariates: Sequence[str], target: str, folds: int
-) -> DataFrame:
-    """``(fold, role, inputs, label, actual, denominator)`` for every fold (M3, M4).
+def fold_rows(labelled: DataFrame, covariates: Sequence[str], target: str, folds: int) -> DataFrame:
+    """Scaled rows of every fold with ``fold, role, label, actual, denominator`` (M3, M4).
 
     Each fold is normalised with what its own training rows know. Written once
-    to the shared folder: every trial reads it and no trial recomputes it.
+    to the shared folder: selection and every trial read it, none recomputes it.
     """
     split = expanding_folds(labelled, folds)
     # each fold is a series of its own, so one normaliser pass serves all folds
     keyed = split.withColumn(SERIES, F.concat_ws("#", "fold", SERIES))
     model = SeriesNormaliser(covariates, target).fit(keyed.where("role = 'train'")).stored()
-    table = assemble(_scale_rows(model, keyed), features)
-    return cut_lineage(table.select("fold", "role", "inputs", "label", "actual", "denominator"), ("fold", "role"))
+    return cut_lineage(_scale_rows(model, keyed), ("fold", "role"))
+
+
+def fold_features(
+    rows: DataFrame, features: Sequence[str], target: str, folds: int, horizons: Sequence[int], config: TrainingConfig
+) -> dict[int, list[str]]:
+    """Features of each fold, selected on its own training rows (M5).
+
+    Targets of the selector are taken among those rows too, so no fold knows an
+    hour that it is tested on.
+    """
+    def chosen(fold: int) -> list[str]:
+        train = rows.where((F.col("fold") == fold) & (F.col("role") == "train"))
+        return fit_selected_features(train, features, target, horizons, config.selector_params, config.threshold, config.always_keep)
+
+    each = range(1, folds + 1)
+    with ThreadPoolExecutor(config.parallel) as pool:
+        return dict(zip(each, pool.map(chosen, each)))
+
+
+def fold_table(rows: DataFrame, features: Mapping[int, Sequence[str]]) -> DataFrame:
+    """``(fold, role, inputs, label, actual, denominator)`` with each fold's own features, written once."""
+    parts = [
+        assemble(rows.where(F.col("fold") == fold), chosen).select("fold", "role", "inputs", "label", "actual", "denominator")
+        for fold, chosen in features.items()
+    ]
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    return cut_lineage(table, ("fold", "role"))
 
 
 def _scale_rows(model: SeriesNormaliserModel, rows: DataFrame) -> DataFrame:
@@ -147,20 +174,24 @@ def _scale_rows(model: SeriesNormaliserModel, rows: DataFrame) -> DataFrame:
 def search(
     table: DataFrame, folds: int, points: Sequence[Mapping[str, float]], parallel: int = 4
 ) -> tuple[float, dict]:
-    """Best mean RMSE over folds, in the unit of the target, and its parameters."""
-    def score(params):
-        errors = []
-        for fold in range(1, folds + 1):
-            rows = table.where((F.col("fold") == fold) & F.col("label").isNotNull())
-            model = regressor(params).fit(rows.where("role = 'train'"))
-            error = F.col("actual") - F.col("prediction") * F.col("denominator")
-            tested = model.transform(rows.where("role = 'test'"))
-            errors.append(tested.agg(F.sqrt(F.avg(error * error))).first()[0])
-        known = [e for e in errors if e is not None]
-        return sum(known) / len(known) if known else math.inf
+    """Best mean RMSE over folds, in the unit of the target, and its parameters.
 
+    Every fold counts: one without a test row that has a value raises ValueError.
+    """
+    def error_of(task: tuple[int, int]) -> float:
+        point, fold = task
+        rows = table.where((F.col("fold") == fold) & F.col("label").isNotNull())
+        model = regressor(points[point]).fit(rows.where("role = 'train'"))
+        error = F.col("actual") - F.col("prediction") * F.col("denominator")
+        found = model.transform(rows.where("role = 'test'")).agg(F.sqrt(F.avg(error * error))).first()[0]
+        if found is None:
+            raise ValueError(f"fold {fold} has no test row with a value")
+        return found
+
+    tasks = [(point, fold) for point in range(len(points)) for fold in range(1, folds + 1)]
     with ThreadPoolExecutor(parallel) as pool:
-        scores = list(pool.map(score, points))
+        errors = list(pool.map(error_of, tasks))
+    scores = [sum(errors[i * folds : (i + 1) * folds]) / folds for i in range(len(points))]
     best = min(range(len(points)), key=lambda i: scores[i])
     return scores[best], dict(points[best])
 
@@ -210,19 +241,19 @@ class MultiHorizonModel:
     normaliser: SeriesNormaliserModel
     horizons: dict[int, HorizonModel]
 
-    def predict_wide(self, df: DataFrame) -> DataFrame:
+    def predict_wide(self, df: DataFrame, with_denominator: bool = False) -> DataFrame:
         """``(series_id, ts, +1h, ..)`` normalised, not below 0.
 
         The rows pass once through all models; horizons without a model are
-        left out.
+        left out. ``with_denominator`` adds the row's ``denominator``.
         """
-        rows, columns = self.normaliser.transform(df), []
+        rows, columns = self.normaliser.scale(df), []
         for h in sorted(self.horizons):
             part = self.horizons[h]
             trees = part.trees.copy().setFeaturesCol("inputs").setPredictionCol(f"+{h}h")
             rows = trees.transform(assemble(rows, part.features)).drop("inputs")
             columns.append(non_negative(F.col(f"`+{h}h`")).alias(f"+{h}h"))
-        return rows.select(SERIES, TS, *columns)
+        return rows.select(SERIES, TS, *columns, *(["denominator"] if with_denominator else []))
 
 
 def set_name(horizon: int) -> str:
@@ -239,25 +270,27 @@ def train_horizons(
     """Direct training: per horizon select, search and refit on all rows (M7).
 
     The denominator is fitted on the unshifted target and the target is
-    shifted once. Features are selected once per training set.
+    shifted once. Features are selected once per training set: on all rows for
+    the model, and on each fold's training rows for the errors of the search.
     """
     config = config or TrainingConfig()
     df = cut_lineage(df)
     normaliser = SeriesNormaliser(covariates, target).fit(df).stored()
     scaled = cut_lineage(normaliser.transform(df))
     points = sample_params(config.ranges, config.trials, config.seed)
-    selected, models = {}, {}
+    selected, by_fold, models = {}, {}, {}
     for h in config.horizons:
         name = set_name(h)
+        labelled = align_to_target(df, target, h)
+        rows = fold_rows(labelled, covariates, target, config.folds)
         if name not in selected:
+            wanted = SELECTOR_HORIZONS[name]
             selected[name] = fit_selected_features(
-                scaled, features, target, SELECTOR_HORIZONS[name],
-                config.selector_params, config.threshold, config.always_keep,
+                scaled, features, target, wanted, config.selector_params, config.threshold, config.always_keep
             )
+            by_fold[name] = fold_features(rows, features, target, config.folds, wanted, config)
         chosen = selected[name]
-        labelled = align_to_target(df, target, h)
-        folds = fold_table(labelled, chosen, covariates, target, config.folds)
-        rmse, params = search(folds, config.folds, points, config.parallel)
+        rmse, params = search(fold_table(rows, by_fold[name]), config.folds, points, config.parallel)
         final = assemble(_scale_rows(normaliser, labelled), chosen).where("label is not null")
         trees = regressor(params, config.seed).fit(cut_lineage(final.select("inputs", "label")))
         models[h] = HorizonModel(h, name, chosen, trees, rmse, params)

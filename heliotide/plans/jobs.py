@@ -14,6 +14,7 @@ from heliotide import SERIES, TS
 from heliotide.functions.calendar import bound
 from heliotide.learning.boosting import MultiHorizonModel, TrainingConfig, train_horizons
 from heliotide.learning.registry import load_model, log_run, publish_model
+from heliotide.operators.evaluate import join_predictions, predictions_by_origin, walk_forward
 from heliotide.operators.normalize import recent_quantile
 from heliotide.operators.ordered import key_sizes
 from heliotide.operators.publish import rescale_predictions
@@ -137,6 +138,20 @@ def run_forecast(
     return read_predictions(spark, layout.predictions)
 
 
+def walk_forward_of(
+    model: MultiHorizonModel, table: DataFrame, target: str, first_origin: int = 48, stride: int = 1,
+) -> DataFrame:
+    """Forecasts of a trained model from every origin of ``table``.
+
+    All horizons of all rows are scored in one pass and take the denominator of
+    their origin's row. One row per origin and horizon: ``actual``, ``baseline``
+    and ``prediction``, which is NULL where the model has none
+    (``prediction_coverage`` counts those, ``skill_table`` sums up the errors).
+    """
+    made = predictions_by_origin(model.predict_wide(table, with_denominator=True), "denominator")
+    return join_predictions(walk_forward(table, target, first_origin=first_origin, stride=stride), made)
+
+
 def build_training(
     records: DataFrame, past: DataFrame, forecast: DataFrame, layout: Layout, config: FeatureConfig,
     start: str, end: str,

@@ -124,3 +124,39 @@ def test_refreshed_quantile_is_that_of_all_records(spark, region, tmp_path):
         assert got == everything and got.keys() == ends.keys() and got["live"] == pytest.approx(1 + 0.99 * (days - 1))
     with pytest.raises(ValueError, match="180 days"):
         jobs.refresh_quantile(records, jobs.Layout(str(tmp_path / "c")), config, days=180, hours=24 * 91)
+
+
+def test_a_fold_without_test_values_is_no_silent_loss(spark):
+    rows = [(fold, role, float(i), float(i), 1.0) for fold in (1, 2) for role in ("train", "test") for i in range(30) if (fold, role) != (2, "test")]
+    df = spark.createDataFrame(rows, "fold int, role string, x double, label double, denominator double").withColumn("actual", F.col("label"))
+    table = boosting.assemble(df, ["x"])
+    flat = {"maxDepth": 0, "maxIter": 1}
+    with pytest.raises(ValueError, match="fold 2"):
+        boosting.search(table, 2, [flat])
+    error, best = boosting.search(table.withColumn("fold", F.lit(1)), 1, [flat, {"maxDepth": 3, "maxIter": 3, "minInstancesPerNode": 1}])
+    assert best["maxDepth"] == 3 and error < 5
+
+
+def test_features_are_selected_on_the_rows_of_the_fold(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(fold, role, "1#a", i) for fold in (1, 2) for role in ("train", "test") for i in range(fold)], "fold int, role string, series_id string, i int"
+    )
+    seen = []
+
+    def chosen(part, features, *rest):
+        seen.append({(r["fold"], r["role"]) for r in part.collect()})
+        return features[: len(seen)]
+
+    monkeypatch.setattr(boosting, "fit_selected_features", chosen)
+    config = boosting.TrainingConfig(parallel=1)
+    found = boosting.fold_features(rows, ["a", "b"], "y", 2, [1], config)
+    assert seen == [{(1, "train")}, {(2, "train")}] and found == {1: ["a"], 2: ["a", "b"]}
+
+
+def test_fold_tables_take_each_folds_own_features(spark):
+    rows = spark.createDataFrame(
+        [(f, r, 1.0, 2.0, 3.0, 4.0, 5.0) for f in (1, 2) for r in ("train", "test")],
+        "fold int, role string, a double, b double, label double, actual double, denominator double",
+    )
+    table = {(r["fold"], r["role"]): r["inputs"].toArray().tolist() for r in boosting.fold_table(rows, {1: ["b"], 2: ["a", "b"]}).collect()}
+    assert table == {(1, "train"): [2.0], (1, "test"): [2.0], (2, "train"): [1.0, 2.0], (2, "test"): [1.0, 2.0]}

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from checks.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"trained_model_forecast", "training_run_records", "selected_feature_gains"}
+SLOW = {"trained_model_forecast", "training_run_records", "selected_feature_gains", "training_errors", "trained_walk_forward"}
 
 
 @pytest.fixture(scope="module")
