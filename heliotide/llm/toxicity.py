@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from heliotide.llm.arrow import ids_and_texts
 from heliotide.llm.quality import logistic
 from heliotide.llm.words import NOT_LOWER_ALNUM, Words, mix, slices, span_hashes, split
+from heliotide.session import cut_lineage
 
 FIT_ROWS = 200_000
 SUPPORT = 3
@@ -86,11 +87,11 @@ class Model:
         at = np.flatnonzero(best > 0)
         return maximal_segments(at.tolist(), best[at].tolist(), self.drift)
 
-    def evidence(self, best: np.ndarray) -> float:
+    def evidence(self, segments: list[tuple[int, int, float]], n_words: int) -> float:
         """Sum over significant segments of -ln of the chance of such a score in a clean text of this length."""
         total = 0.0
-        for _, _, score in self.segments(best):
-            expected = self.level * len(best) * math.exp(-self.decay * score)
+        for _, _, score in segments:
+            expected = self.level * n_words * math.exp(-self.decay * score)
             chance = -math.expm1(-expected)
             if chance < SIGNIFICANT:
                 total -= math.log(max(chance, 1e-300))
@@ -110,22 +111,26 @@ def maximal_segments(at: list[int], scores: list[float], drift: float) -> list[t
     running total to their left and right; a new one merges with the nearest
     earlier candidate of smaller left total if that raises the right total.
     """
-    kept: list[list] = []
+    kept: list[list] = []  # first word, end word, total to the left, total to the right, place of that earlier candidate
     total, last = 0.0, -1
     for place, score in zip(at, scores):
         total -= drift * (place - last - 1)
-        new = [place, place + 1, total, total + score]
+        new = [place, place + 1, total, total + score, -1]
         total, last = total + score, place
+        j = len(kept) - 1
         while True:
-            j = len(kept) - 1
+            # What lies between a candidate and its own earlier one has no smaller left total: hop over it.
             while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
+                j = kept[j][4]
             if j < 0 or kept[j][3] >= new[3]:
+                new[4] = j
                 kept.append(new)
                 break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
+            first, _, left, _, earlier = kept[j]
+            new = [first, new[1], left, new[3], -1]
             del kept[j:]
-    return [(a, b, right - left) for a, b, left, right in kept]
+            j = earlier
+    return [(a, b, right - left) for a, b, left, right, _ in kept]
 
 
 def _per_text(words: Words, values: np.ndarray) -> Iterator[np.ndarray]:
@@ -143,7 +148,8 @@ def sample(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Model from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, label``: 1 toxic, 0 clean)."""
     # The sample has a bounded number of rows, so this side can be broadcast.
-    known = ids_and_texts(docs).join(F.broadcast(sample(labels, rows)), "doc_id").select("text", "label")
+    # Written once, as five steps read it; the documents themselves are read for this only.
+    known = cut_lineage(ids_and_texts(docs).join(F.broadcast(sample(labels, rows)), "doc_id").select("text", "label"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     base = (n1 + 1) / (n1 + n0 + 2)
@@ -228,7 +234,7 @@ def _calibrated(known: DataFrame, model: Model, n1: int, n0: int) -> Model:
             for row, _, data, texts in slices(batch.column("text")):
                 words = _words(data, texts)
                 for k, best in enumerate(_per_text(words, model.word_scores(words))):
-                    z = math.log1p(model.evidence(best)) if best.any() else 0.0
+                    z = math.log1p(model.evidence(model.segments(best), len(best))) if best.any() else 0.0
                     count[label[row + k], min(_BINS - 1, math.ceil(z * 10))] += 1
         c, b = np.indices(count.shape)
         yield pa.RecordBatch.from_arrays([pa.array(v.ravel()) for v in (c, b, count)], names=["c", "b", "n"])
@@ -273,8 +279,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 for t in positive.tolist():
                     a, b = words.first[t], words.first[t + 1]
                     best = scores[a:b]
-                    evidence[t] = model.evidence(best)
-                    for first, end, score in model.segments(best):
+                    segments = model.segments(best)
+                    evidence[t] = model.evidence(segments, len(best))
+                    for first, end, score in segments:
                         if model.level * len(best) * math.exp(-model.decay * score) < SIGNIFICANT:
                             text = words.data[words.starts[a + first] : words.ends[a + end - 1]].tobytes().decode("utf-8", "replace")
                             passages[t].append({"first": first, "end": end, "text": text, "score": score})

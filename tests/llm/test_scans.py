@@ -268,3 +268,29 @@ def test_no_digest_of_a_document_is_moved(spark, tmp_path):
     assert len(df.collect()) == 50
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "Exchange hashpartitioning(digest" not in plan
+
+
+def test_maximal_segments_in_linear_time():
+    """Hits far apart, so that every new total is the lowest, and hits that rise and fall."""
+    import time
+
+    n = 100_000
+    for gap, scores in ((10, [1.0] * n), (2, [1.0 + (i % 7) / 2 for i in range(n)]), (1, [1.0] * n)):
+        at = list(range(0, gap * n, gap))
+        start = time.process_time()
+        got = toxicity.maximal_segments(at, scores, 1.0)
+        assert time.process_time() - start < 1.5
+        if gap == 10:
+            assert got == [(i, i + 1, 1.0) for i in at]
+        if gap == 1:
+            assert len(got) == 1 and got[0][:2] == (0, n)
+
+
+def test_toxic_text_with_very_many_hits(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(words(rng, 30)) + (" vile filth scum" if i % 3 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id bigint, label int")
+    model = toxicity.fit(frame(spark, rows), labels)
+    long = " ".join(" ".join(words(rng, 9)) + " vile" for _ in range(20_000))
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(frame(spark, [(1, long), (2, "vile filth scum"), (3, "calm words")]), model).collect()}
+    assert got[2] > 0.3 > got[3] and 0 <= got[1] <= 1
