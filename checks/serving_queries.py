@@ -153,7 +153,6 @@ def _(spark, folder):
     middle = F.lit("2024-01-15").cast("timestamp_ntz")
     for part in (every.where(F.col("computed_at") < middle), every.where(F.col("computed_at") >= middle)):
         tables.upsert_quantiles(tables.latest_quantile(part), path)
-    tables.compact(spark, path, [SERIES], "computed_at")
     return tables.read_quantiles(spark, path)
 
 
@@ -185,9 +184,11 @@ def _(spark, folder):
 @query("feature_set_table", f"WITH {GAINS} SELECT horizon AS horizon_set, feature FROM shares WHERE share < 0.95")
 def _(spark, folder):
     path = shared_dir(spark)
-    chosen = features.pareto_select(gains(spark, folder))
-    tables.write_table(chosen.select(F.col("horizon").alias("horizon_set"), "feature"), path)
-    return tables.read_table(spark, path)
+    # as many rows as the models have columns
+    chosen = features.pareto_select(gains(spark, folder)).groupBy("horizon").agg(F.collect_list("feature").alias("f")).collect()
+    tables.write_feature_sets(spark, {str(row["horizon"]): row["f"] for row in chosen}, path)
+    stored = [(name, feature) for name, some in tables.read_feature_sets(spark, path).items() for feature in some]
+    return spark.createDataFrame(stored, "horizon_set string, feature string")
 
 
 # --- normalisation --------------------------------------------------------

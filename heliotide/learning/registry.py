@@ -38,7 +38,7 @@ def run_records(spark: SparkSession, model: MultiHorizonModel, run_id: str, logg
 def log_run(spark: SparkSession, model: MultiHorizonModel, path: str, run_id: str | None = None) -> str:
     """Append the run to the run table."""
     run_id = run_id or uuid.uuid4().hex
-    upsert(run_records(spark, model, run_id, datetime.now(timezone.utc)), path)
+    upsert(run_records(spark, model, run_id, datetime.now(timezone.utc)), path, ["run_id", "horizon"], "logged_at", "logged_at")
     return run_id
 
 
@@ -63,7 +63,7 @@ def publish_model(spark: SparkSession, model: MultiHorizonModel, root: str, alia
         "covariates": F.array(*map(F.lit, norm.covariates)).cast("array<string>"), "target": F.lit(norm.target),
     }).write.parquet(f"{folder}/meta")
     pointer = spark.createDataFrame([(alias, version, now)], "alias string, version string, set_at timestamp")
-    upsert(pointer, f"{root}/aliases")
+    upsert(pointer, f"{root}/aliases", ["alias"], "set_at", "set_at")
     return version
 
 

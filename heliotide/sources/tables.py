@@ -1,112 +1,47 @@
-"""Tables the jobs keep: parquet folders, latest-wins on read.
-
-A table is a folder with complete snapshots ``base/v=<version>`` and changes
-``delta/v=<version>``. Replacing a table adds a snapshot, an upsert adds only
-its own rows as a change. Every snapshot has a list of the changes it stands
-for, written before its data; a read takes the newest snapshot and every
-complete change that its list does not name. So a change written while a
-snapshot is made is neither lost nor counted twice, whichever ends first.
-Versions are unique names that sort by time, so writers never share one.
-Version folders are never modified once complete, and one without a success
-marker is invisible, so readers never meet half a write.
+"""Tables the jobs keep: parquet folders, replaced whole or upserted by day.
+
+An upserted table is partitioned by the day of one time column. An upsert reads
+the days it brings rows for, keeps the newest row per key, and replaces those
+days alone, so it costs what it brings. One writer at a time per table.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliotide import SERIES, TS
 from heliotide.functions.calendar import ZONE, to_local, wall_clock
 from heliotide.operators.ordered import last_per_key
+from heliotide.session import cut_lineage
 from heliotide.sources import schemas
 
-
-def _fs(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), folder
+#: Partition column of upserted tables.
+DAY = "upsert_day"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, folder = _fs(spark, path)
-    return fs.exists(folder)
-
-
-def _versions(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the complete versions below ``folder``, oldest first."""
-    fs, root = _fs(spark, folder)
-    if not fs.exists(root):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(root)]
-    return sorted(n[2:] for n in names if n.startswith("v=") and path_exists(spark, f"{folder}/{n}/_SUCCESS"))
-
-
-def _new_version() -> str:
-    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
-
-
-def _write_list(spark: SparkSession, path: str, names: Sequence[str]) -> None:
-    fs, file = _fs(spark, path)
-    out = fs.create(file, False)
-    out.write(bytearray("\n".join(names).encode()))
-    out.close()
-
-
-def _read_list(spark: SparkSession, path: str) -> set[str]:
-    fs, file = _fs(spark, path)
-    stream = fs.open(file)
-    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    stream.close()
-    return set(text.split())
-
-
-def _state(spark: SparkSession, path: str) -> tuple[str | None, list[str]]:
-    """The newest snapshot and the changes it does not stand for."""
-    base = _versions(spark, f"{path}/base")
-    changes = _versions(spark, f"{path}/delta")
-    if not base:
-        return None, changes
-    folded = _read_list(spark, f"{path}/base/_folded-{base[-1]}")
-    return base[-1], [v for v in changes if v not in folded]
-
-
-def _snapshot(df: DataFrame, path: str, folded: Sequence[str], partition_by: Sequence[str] = ()) -> None:
-    version = _new_version()
-    _write_list(df.sparkSession, f"{path}/base/_folded-{version}", folded)
-    df.write.partitionBy(*partition_by).parquet(f"{path}/base/v={version}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace the table's content by a new snapshot (S10); changes that end later stay changes."""
-    _snapshot(df, path, _versions(df.sparkSession, f"{path}/delta"), partition_by)
+    """Replace the table's content."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(path)
 
 
-def _content(
-    spark: SparkSession, path: str, base: str | None, changes: Sequence[str], keys: Sequence[str], order: str | None,
-    schema: T.StructType | str | None,
-) -> DataFrame:
-    if changes and not keys:
-        raise ValueError(f"{path} has upserts: give the keys and the order that resolve them")
-    parts = []
-    if base:
-        parts.append(spark.read.parquet(f"{path}/base/v={base}").withColumn("_v", F.lit("")))
-    if changes:
-        reader = spark.read.option("basePath", f"{path}/delta")
-        delta = reader.parquet(*[f"{path}/delta/v={v}" for v in changes])
-        parts.append(delta.withColumnRenamed("v", "_v"))
-    if not parts:
-        if schema is None:
-            raise FileNotFoundError(path)
-        return spark.createDataFrame([], schema)
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    if changes:
-        rows = last_per_key(rows, keys, [order, "_v"])
-    return rows.drop("_v")
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored rows, or None where nothing was written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def read_table(
@@ -116,12 +51,17 @@ def read_table(
     order: str | None = None,
     schema: T.StructType | str | None = None,
 ) -> DataFrame:
-    """Current content.
+    """Current content (S10); with ``keys`` the row with the highest ``order`` per key.
 
-    ``keys`` and ``order`` resolve upserts; a read without them fails when there
-    are upserts. With ``schema`` a table that was never written is empty.
+    With ``schema`` a table that was never written is empty.
     """
-    return _content(spark, path, *_state(spark, path), keys, order, schema)
+    rows = _existing(spark, path)
+    if rows is None:
+        if schema is None:
+            raise FileNotFoundError(path)
+        return spark.createDataFrame([], schema)
+    rows = rows.drop(DAY)
+    return last_per_key(rows, keys, [order]) if keys else rows
 
 
 def merge_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -130,16 +70,28 @@ def merge_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str
     return last_per_key(both, keys, [order, "_new"]).drop("_new")
 
 
-def upsert(df: DataFrame, path: str) -> None:
-    """Add ``df`` as a change; reads by key take the newest row."""
-    df.write.parquet(f"{path}/delta/v={_new_version()}")
+def _day(df: DataFrame, time: str) -> Column:
+    """Day of ``time``; of instants by UTC, whatever the session's zone."""
+    if isinstance(df.schema[time].dataType, T.TimestampType):
+        return F.date_from_unix_date(F.floor(F.unix_seconds(time) / 86400).cast("int"))
+    return F.col(time).cast("date")
+
+
+def upserted(df: DataFrame, path: str, keys: Sequence[str], order: str, time: str) -> DataFrame:
+    """The new content of the days that ``df`` has rows for."""
+    new = df.withColumn(DAY, _day(df, time))
+    old = _existing(df.sparkSession, path)
+    if old is None:
+        return last_per_key(new, [*keys, DAY], [order])
+    # a delivery spans a few days; the list lets the scan skip all other folders
+    days = [r[DAY] for r in new.select(DAY).distinct().collect()]
+    return merge_latest(old.where(F.col(DAY).isin(days)).select(*new.columns), new, [*keys, DAY], order)
 
 
-def compact(spark: SparkSession, path: str, keys: Sequence[str], order: str) -> None:
-    """Fold the changes that are complete now into a new snapshot."""
-    base, changes = _state(spark, path)
-    folded = {*changes, *(_read_list(spark, f"{path}/base/_folded-{base}") if base else ())}
-    _snapshot(_content(spark, path, base, changes, keys, order, None), path, sorted(folded))
+def upsert(df: DataFrame, path: str, keys: Sequence[str], order: str, time: str) -> None:
+    """Rows of ``df`` replace stored ones of the same key and day of ``time`` unless those have a higher ``order``."""
+    content = upserted(cut_lineage(df), path, keys, order, time)
+    content.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
 
 
 PREDICTION_KEYS = (SERIES, "predicted_at", "forecast_horizon")
@@ -147,19 +99,20 @@ PREDICTION_KEYS = (SERIES, "predicted_at", "forecast_horizon")
 
 def upsert_predictions(df: DataFrame, path: str) -> None:
     """Predictions keyed by series, run and horizon; a later call wins."""
-    upsert(df, path)
+    upsert(df, path, PREDICTION_KEYS, "predicted_at", "predicted_at")
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, PREDICTION_KEYS, "predicted_at", schemas.PREDICTIONS)
+    return read_table(spark, path, schema=schemas.PREDICTIONS)
 
 
 def upsert_quantiles(df: DataFrame, path: str) -> None:
-    """One factor per series, the newest by ``computed_at``."""
-    upsert(df, path)
+    """Factors per series and day they were computed on."""
+    upsert(df, path, [SERIES], "computed_at", "computed_at")
 
 
 def read_quantiles(spark: SparkSession, path: str) -> DataFrame:
+    """One factor per series, the newest by ``computed_at``."""
     return read_table(spark, path, [SERIES], "computed_at", schemas.QUANTILES)
 
 

@@ -107,57 +107,63 @@ def test_coordinates(spark, tmp_path):
         readers.read_coordinates(spark, str(tmp_path / "c"))
 
 
-def test_upsert_compact_and_unfinished_version(spark, tmp_path):
+def test_upserts_keep_the_newest(spark, tmp_path):
     path = str(tmp_path / "q")
-    make = lambda *rows: spark.createDataFrame(list(rows), "series_id string, p99_value double, computed_at timestamp")
-    day = lambda d: datetime(2024, 1, d)
-    assert tables.read_quantiles(spark, path).count() == 0
-    tables.upsert_quantiles(make(("a", 1.0, day(1)), ("b", 5.0, day(3))), path)
-    tables.upsert_quantiles(make(("a", 2.0, day(2)), ("b", 6.0, day(2))), path)
-    want = {"a": 2.0, "b": 5.0}
-    read = lambda: {r.series_id: r.p99_value for r in tables.read_quantiles(spark, path).collect()}
-    assert read() == want
-    tables.compact(spark, path, ["series_id"], "computed_at")
-    assert read() == want
-    (tmp_path / "q" / "delta" / "v=00000009").mkdir(parents=True)
-    assert read() == want
-    tables.upsert_quantiles(make(("a", 3.0, day(4))), path)
-    assert read() == {"a": 3.0, "b": 5.0}
-
-
-@pytest.mark.parametrize("moment", ["before the list", "after the list", "after the data"])
-def test_an_upsert_during_compaction_is_kept(spark, tmp_path, monkeypatch, moment):
-    path, day = str(tmp_path / "q"), lambda d: datetime(2024, 1, d)
     make = lambda *rows: spark.createDataFrame(list(rows), schemas.QUANTILES)
-    tables.upsert_quantiles(make(("a", 1.0, day(1))), path)
-    late = lambda: tables.upsert_quantiles(make(("b", 2.0, day(1)), ("a", 3.0, day(1))), path)
-    kept = tables._state, tables._write_list, tables._snapshot
-    if moment == "before the list":
-        monkeypatch.setattr(tables, "_state", lambda *a: (kept[0](*a), late())[0])
-        tables.compact(spark, path, ["series_id"], "computed_at")
-    elif moment == "after the list":
-        monkeypatch.setattr(tables, "_write_list", lambda *a: (kept[1](*a), late())[0])
-        tables.compact(spark, path, ["series_id"], "computed_at")
-    else:
-        monkeypatch.setattr(tables, "_snapshot", lambda *a: (kept[2](*a), late())[0])
-        tables.compact(spark, path, ["series_id"], "computed_at")
-    monkeypatch.undo()
-    want = {"a": 3.0, "b": 2.0}
-    for _ in range(2):
-        assert {r.series_id: r.p99_value for r in tables.read_quantiles(spark, path).collect()} == want
-        tables.compact(spark, path, ["series_id"], "computed_at")
-    assert tables.read_table(spark, path).count() == 2
-
-
-def test_a_read_without_keys_refuses_upserts(spark, tmp_path):
-    path = str(tmp_path / "q")
-    tables.write_table(spark.createDataFrame([("a", 1.0, datetime(2024, 1, 1))], schemas.QUANTILES), path)
-    tables.upsert_quantiles(spark.createDataFrame([("b", 1.0, datetime(2024, 1, 1))], schemas.QUANTILES), path)
-    with pytest.raises(ValueError, match="keys"):
-        tables.read_table(spark, path)
-    assert tables.read_quantiles(spark, path).count() == 2
-    tables.write_table(spark.createDataFrame([("c", 1.0, datetime(2024, 1, 1))], schemas.QUANTILES), path)
-    assert [r.series_id for r in tables.read_table(spark, path).collect()] == ["c"]
+    at = lambda d, h=0: datetime(2024, 1, d, h)
+    read = lambda: {r.series_id: r.p99_value for r in tables.read_quantiles(spark, path).collect()}
+    assert read() == {}
+    tables.upsert_quantiles(make(), path)
+    assert read() == {}
+    tables.upsert_quantiles(make(("a", 1.0, at(1)), ("b", 5.0, at(3))), path)
+    tables.upsert_quantiles(make(("a", 2.0, at(2)), ("b", 6.0, at(2))), path)
+    assert read() == {"a": 2.0, "b": 5.0}
+    tables.upsert_quantiles(make(("a", 3.0, at(4))), path)
+    tables.upsert_quantiles(make(("a", 4.0, at(4, 5)), ("b", 7.0, at(4, 1))), path)
+    tables.upsert_quantiles(make(("a", 9.0, at(4, 2))), path)
+    assert read() == {"a": 4.0, "b": 7.0}
+    # one row per series and day
+    assert tables.read_table(spark, path).count() == 6
+    with pytest.raises(FileNotFoundError):
+        tables.read_table(spark, str(tmp_path / "none"))
+
+
+def test_an_upsert_touches_its_days_alone(spark, tmp_path):
+    path = str(tmp_path / "p")
+    rows = [(s, datetime(2024, 1, d), datetime(2024, 1, d, 1), float(d)) for s in "ab" for d in range(1, 11)]
+    tables.upsert_predictions(spark.createDataFrame(rows, schemas.PREDICTIONS), path)
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "p").rglob("*.parquet")}
+    before = files()
+    new = spark.createDataFrame([("a", datetime(2024, 1, 4), datetime(2024, 1, 4, 1), 40.0), ("c", datetime(2024, 1, 20), datetime(2024, 1, 20, 1), 1.0)], schemas.PREDICTIONS)
+    content = tables.upserted(new, path, tables.PREDICTION_KEYS, "predicted_at", "predicted_at")
+    assert sorted((r["series_id"], r["predicted_value"]) for r in content.collect()) == [("a", 40.0), ("b", 4.0), ("c", 1.0)]
+    plan = content._jdf.queryExecution().executedPlan().toString()
+    assert "upsert_day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    tables.upsert_predictions(new, path)
+    after = files()
+    gone = before.keys() - after.keys()
+    assert len({f.split("upsert_day=")[1][:10] for f in gone}) == 1 and all(after[k] == before[k] for k in before.keys() - gone)
+    got = {(r.series_id, r.predicted_at.day): r.predicted_value for r in tables.read_predictions(spark, path).collect()}
+    assert len(got) == 21 and got["a", 4] == 40.0 and got["b", 4] == 4.0 and got["c", 20] == 1.0
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_days_do_not_depend_on_the_session(spark, tmp_path, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        path = str(tmp_path / "q")
+        rows = spark.sql("SELECT 'a' AS series_id, 1.0D AS p99_value, timestamp_seconds(1704067200 + 3600 * h) AS computed_at FROM VALUES (0), (23), (24) AS t(h)")
+        tables.upsert_quantiles(rows, path)
+        assert sorted(f.name for f in (tmp_path / "q").iterdir() if f.is_dir()) == ["upsert_day=2024-01-01", "upsert_day=2024-01-02"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_table_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for value in ("a", "b"):
+        tables.write_table(spark.createDataFrame([(value, 1)], "s string, k int"), path, ["k"])
+    assert [r.s for r in tables.read_table(spark, path).collect()] == ["b"]
 
 
 def test_later_delivery_wins_a_tie(spark, tmp_path):
