@@ -294,3 +294,27 @@ def test_toxic_text_with_very_many_hits(spark):
     long = " ".join(" ".join(words(rng, 9)) + " vile" for _ in range(20_000))
     got = {r["doc_id"]: r["score"] for r in toxicity.scored(frame(spark, [(1, long), (2, "vile filth scum"), (3, "calm words")]), model).collect()}
     assert got[2] > 0.3 > got[3] and 0 <= got[1] <= 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_base_secrets_by_plain_patterns(spark, seed):
+    kinds = {
+        "assign": (re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
+        "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        "hex": (re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    }
+    rng = random.Random(seed)
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", "passwd", "=", ":", " ", " ", '"', "'", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef", "é", "x", "Zz9/+_.-", "\n", "中", "abc", "F"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(200)]
+    got = {r["doc_id"]: r for r in secrets.report(frame(spark, list(enumerate(texts)))).collect()}
+    some = 0
+    for i, text in enumerate(texts):
+        spans = [(m.start(), k, m.end()) for k, (kind, (pattern, ok)) in enumerate(kinds.items()) for m in pattern.finditer(text) if ok(m)]
+        names = list(kinds)
+        base = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in names] == [sum(1 for s in spans if s[1] == n) for n in range(3)]
+        every = got[i]["spans"].split(",")
+        assert all(f"{names[k]}:{a}:{b}" in every for a, k, b in spans)
+        some += len(spans)
+    assert some > 50
