@@ -278,6 +278,12 @@ def block_size(n: int) -> int:
     return size
 
 
+def _lanes(count: int) -> int:
+    """Blocks coded side by side: about as many in every round. Blocks do not depend on it."""
+    rounds = max(1, -(-count // LANES))
+    return max(1, -(-count // rounds))
+
+
 def encode(ids: np.ndarray, block: int | None = None) -> bytes:
     """A segment: head, per block the CRC-32 of its ids and of its code and the code's length, CRC-32 of all that, codes."""
     ids = np.ascontiguousarray(ids)
@@ -287,8 +293,9 @@ def encode(ids: np.ndarray, block: int | None = None) -> bytes:
     block = block or block_size(n)
     count = -(-n // block)
     payloads: list[bytes] = []
-    for part in range(0, count, LANES):
-        some = ids[part * block : (part + LANES) * block]
+    per = _lanes(count)
+    for part in range(0, count, per):
+        some = ids[part * block : (part + per) * block]
         lengths = np.full(-(-len(some) // block), block, np.int64)
         lengths[-1] = len(some) - block * (len(lengths) - 1)
         padded = np.zeros(len(lengths) * block, np.uint16)
@@ -322,8 +329,9 @@ def decode(segment: bytes) -> np.ndarray:
         if zlib.crc32(payload) != table[k, 1]:
             raise ValueError(f"code of block {k} is damaged")
     out = np.empty(n, "<u4")
-    for part in range(0, count, LANES):
-        some = payloads[part : part + LANES]
+    per = _lanes(count)
+    for part in range(0, count, per):
+        some = payloads[part : part + per]
         lengths = np.full(len(some), block, np.int64)
         lengths[-1] = min(block, n - block * (part + len(some) - 1))
         ids = _run(_Decoder(some), None, lengths).T.reshape(-1)

@@ -26,10 +26,10 @@ from heliotide.llm.arrow import ids_and_texts
 from heliotide.session import shared_dir
 
 END_ID = 2
-PART_ROWS = 12_000
+PART_ROWS = 10_000
 #: Parts are counted on the driver and broadcast with their sizes, so their number is limited; parts then only grow.
 MOST_PARTS = 1 << 16
-SEGMENT_IDS = rangecoder.LANES * rangecoder.BLOCK
+SEGMENT_IDS = rangecoder.LANES * rangecoder.BLOCK * 3 // 2
 _SEGMENTS = "part int, first bigint, n_ids bigint, n_docs bigint, segment binary"
 _TABLE = struct.Struct("<4sQII")
 _MAGIC = b"HTSG"
