@@ -152,8 +152,8 @@ def _lag_sums(
     """``(series_id, name, lag, total)``: sum over rows t of ``fixed[t] * name[t + lag]``, for each of ``moved``.
 
     A chunk of rows, with the few rows beyond its edges that the lags reach, gives
-    one sum per lag; only these are added up. Rows outside the series and missing
-    values count nothing.
+    one sum per lag; only these are added up. Missing values count nothing, and a
+    lag that no two rows of a series are apart has no row.
     """
     back, ahead = max(0, -min(lags)), max(0, max(lags))
     names = list(dict.fromkeys([fixed, *moved]))
@@ -169,7 +169,8 @@ def _lag_sums(
             y = part[name].fillna(0.0).to_numpy(dtype=float)
             for lag in lags:
                 a, b = max(first, -lag), min(last, len(y) - lag)
-                out.append((name, lag, float(x[a:b] @ y[a + lag : b + lag]) if a < b else 0.0))
+                if a < b:
+                    out.append((name, lag, float(x[a:b] @ y[a + lag : b + lag])))
         sums = pd.DataFrame(out, columns=["name", "lag", "total"])
         sums.insert(0, SERIES, part[SERIES].iloc[0])
         return sums
