@@ -555,3 +555,30 @@ def _(spark, folder):
     found = evaluate.skill_table(made).where("horizon IS NOT NULL").join(evaluate.prediction_coverage(made).drop("n_actual"), [SERIES, "horizon"])
     columns = found.select(SERIES, F.col("horizon").cast("int").alias("horizon"), "n", "n_missing", "rmse", "mae", "skill")
     return rounded(rounded(columns, "rmse", "mae", places=3), "skill", places=5)
+
+
+_SIDES = "SELECT event_type AS series_id, value AS x, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'r' ELSE 'c' END AS side FROM events"
+
+
+@query("drift_index", f"""
+WITH s AS ({_SIDES}), e AS (SELECT series_id, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM s WHERE side = 'r' GROUP BY 1),
+b AS (SELECT s.series_id, side, len(list_filter(edges, lambda q: q < x)) AS bin FROM s JOIN e USING (series_id) WHERE x IS NOT NULL),
+n AS (SELECT series_id, count(*) FILTER (WHERE side = 'r') AS nr, count(*) FILTER (WHERE side = 'c') AS nc FROM b GROUP BY 1),
+g AS (SELECT n.*, i, (SELECT count(*) FROM b WHERE b.series_id = n.series_id AND bin = i AND side = 'r') AS r, (SELECT count(*) FROM b WHERE b.series_id = n.series_id AND bin = i AND side = 'c') AS c
+  FROM n, (SELECT unnest(range(0, 10)) AS i)),
+p AS (SELECT series_id, nr, nc, (r + 0.5) / (nr + 5.0) AS q, (c + 0.5) / (nc + 5.0) AS p FROM g),
+d AS (SELECT series_id, nr AS n_reference, nc AS n_current, sum((p - q) * ln(p / q)) AS drift FROM p GROUP BY ALL)
+SELECT series_id, n_reference, n_current, {r('drift', 'drift')}, drift >= 0.25 AS drifted FROM d""")
+def _(spark, folder):
+    events = v.records(spark, folder)
+    middle = F.lit("2024-01-15").cast("timestamp_ntz")
+    early, late = events.where(F.col(TS) < middle), events.where(F.col(TS) >= middle)
+    return rounded(evaluate.drift_index(early, late, evaluate.drift_edges(early, "y"), "y"), "drift")
+
+
+@query("symmetric_error", f"""
+SELECT event_type AS series_id, count(value) AS n, {r('avg(CASE WHEN abs(value) + abs(user_id) = 0 THEN 0 ELSE 2 * abs(value - user_id) / (abs(value) + abs(user_id)) END) * 100', 'smape')}
+FROM events GROUP BY 1""")
+def _(spark, folder):
+    events = v.table(spark, folder, "events").select(F.col("event_type").alias(SERIES), F.col("value").alias("actual"), F.col("user_id").alias("prediction"))
+    return rounded(evaluate.symmetric_error(events, by=[SERIES]), "smape")

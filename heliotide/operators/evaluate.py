@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliotide import SERIES, TS
 from heliotide.functions.calendar import horizon_of
-from heliotide.operators.ordered import over_rows
+from heliotide.operators.ordered import attach, over_rows
+from heliotide.operators.quantiles import exact_quantiles
 
 HORIZONS = 24
 MAPE_SHIFT = 1e-6
@@ -104,3 +105,45 @@ def skill_table(df: DataFrame, by: Sequence[str] = (SERIES,)) -> DataFrame:
         F.sqrt(F.avg(base * base)).alias("rmse_baseline"),
     )
     return grouped.withColumn("skill", 1 - F.try_divide("rmse", "rmse_baseline"))
+
+
+def drift_edges(reference: DataFrame, value: str, bins: int = 10, keys: Sequence[str] = (SERIES,)) -> DataFrame:
+    """``(keys, edges)``: inner quantiles of the reference values, to be kept with the model they belong to."""
+    names = [f"_e{i}" for i in range(1, bins)]
+    found = exact_quantiles(reference, keys, value, [i / bins for i in range(1, bins)], names)
+    return found.select(*keys, F.array(*names).alias("edges"))
+
+
+def drift_index(
+    reference: DataFrame, current: DataFrame, edges: DataFrame, value: str, bins: int = 10, keys: Sequence[str] = (SERIES,),
+    smoothing: float = 0.5, limit: float = 0.25,
+) -> DataFrame:
+    """``(keys, n_reference, n_current, drift, drifted)``: how far the values moved between the bins of ``edges``.
+
+    Sum over bins of (p - q) ln(p / q) with ``smoothing`` added to every count;
+    ``drifted`` from ``limit`` on. A value lies in the bin after the edges below
+    it. Missing values count nothing; keys without edges are left out.
+    """
+    side = lambda df, name: df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"), F.lit(name).alias("_side"))
+    both = attach(side(reference, "r").union(side(current, "c")), edges, keys, "inner")
+    place = both.select(*keys, "_side", F.size(F.filter("edges", lambda e: e < F.col("_x"))).alias("_bin"))
+    met = place.groupBy(*keys).agg(*[
+        F.count_if((F.col("_side") == s) & (F.col("_bin") == i)).alias(f"_{s}{i}") for s in "rc" for i in range(bins)
+    ])
+    total = {s: sum((F.col(f"_{s}{i}") for i in range(bins)), F.lit(0)) for s in "rc"}
+
+    def share(s: str, i: int) -> Column:
+        return (F.col(f"_{s}{i}") + smoothing) / (total[s] + smoothing * bins)
+
+    drift = sum(((share("c", i) - share("r", i)) * F.ln(share("c", i) / share("r", i)) for i in range(bins)), F.lit(0.0))
+    return met.select(*keys, total["r"].alias("n_reference"), total["c"].alias("n_current"), drift.alias("drift")).withColumn(
+        "drifted", F.col("drift") >= limit
+    )
+
+
+def symmetric_error(df: DataFrame, actual: str = "actual", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
+    """Mean of 2 |a - p| / (|a| + |p|) in percent per group; rows where both are zero count as no error."""
+    a, p = F.col(actual), F.col(prediction)
+    size = F.abs(a) + F.abs(p)
+    error = F.when(size == 0, F.lit(0.0)).otherwise(2 * F.abs(a - p) / size)
+    return df.groupBy(*by).agg(F.count(error).alias("n"), (F.avg(error) * 100).alias("smape"))

@@ -3,6 +3,7 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pytest
 from conftest import ordered, same, to_spark
 from pyspark.sql import functions as F
 
@@ -67,3 +68,21 @@ def test_splits(spark):
     for _, part in folds.groupby("fold"):
         assert part[part.role == "train"].ts.max() < part[part.role == "test"].ts.min()
     assert folds[folds.role == "test"].ts.is_unique
+
+
+def test_drift_is_zero_for_the_same_values_and_flags_a_shift(spark):
+    rng = np.random.default_rng(1)
+    frames = [pd.DataFrame({"series_id": s, "y": rng.normal(size=2000)}) for s in "ab"]
+    reference = to_spark(spark, pd.concat([*frames, pd.DataFrame({"series_id": ["c", "c"], "y": [np.nan, np.nan]})]))
+    frames[1] = frames[1].assign(y=frames[1].y + 1.0)
+    current = to_spark(spark, pd.concat([*frames, pd.DataFrame({"series_id": ["a", "d"], "y": [np.nan, 1.0]})]))
+    edges = evaluate.drift_edges(reference, "y")
+    got = {r.series_id: r for r in evaluate.drift_index(reference, current, edges, "y").collect()}
+    assert sorted(got) == ["a", "b"] and (got["a"].n_reference, got["a"].n_current) == (2000, 2000)
+    assert got["a"].drift == 0.0 and not got["a"].drifted and got["b"].drift > 0.5 and got["b"].drifted
+
+
+def test_symmetric_error_by_group(spark):
+    rows = spark.createDataFrame([("day", 0.0, 0.0), ("day", 1.0, 3.0), ("night", 2.0, 2.0), ("night", None, 1.0)], "sky string, actual double, prediction double")
+    got = {r.sky: (r.n, r.smape) for r in evaluate.symmetric_error(rows, by=["sky"]).collect()}
+    assert got == {"day": (2, pytest.approx(50.0)), "night": (1, 0.0)}
