@@ -150,18 +150,19 @@ class _Order0:
         edge = np.ones((self.lanes, window), bool)
         edge[:, 1:] = some[:, 1:] != some[:, :-1]
         first = np.flatnonzero(edge)
-        size = np.diff(first, append=self.lanes * window)
-        lane, start = first // window, first % window
+        del edge
+        size = np.diff(first, append=self.lanes * window).astype(np.int32)
+        lane, start = (first // window).astype(np.int32), (first % window).astype(np.int32)
         self.new = 1 + np.bincount(lane[size == 1], minlength=self.lanes)
         self.window, self.first, self.total = window, step, window + self.new
         some = some.ravel()
         if self.ids is None:
-            self.known = np.repeat(size << 32 | start << 16 | some[first], size)
+            self.known = np.repeat(size.astype(np.int64) << 32 | start << 16 | some[first], size)
             return
         # What each id of the next steps will need; a few lanes share a table over all ids.
         ahead = np.ascontiguousarray(self.ids[step : step + min(step, _RECOUNT)].T).astype(np.int64)
         met = (lane % _SHARED << 16) + some[first]
-        need = (start << 12 | size).astype(np.int32)
+        need = start << 12 | size
         cut = np.searchsorted(lane, np.arange(0, self.lanes + _SHARED, _SHARED))
         table = np.zeros(_SHARED << 16, np.int32)
         out = np.empty(ahead.shape, np.int32)
@@ -303,9 +304,8 @@ def encode(ids: np.ndarray, block: int | None = None) -> bytes:
         coder = _Encoder(len(lengths), block // 2)
         _run(coder, np.ascontiguousarray(padded.reshape(len(lengths), block).T), lengths)
         payloads += coder.finish()
-    wide = ids.astype("<u4", copy=False)
     table = np.array(
-        [(zlib.crc32(wide[k * block : (k + 1) * block].tobytes()), zlib.crc32(p), len(p)) for k, p in enumerate(payloads)], dtype="<u4"
+        [(zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()), zlib.crc32(p), len(p)) for k, p in enumerate(payloads)], dtype="<u4"
     ).reshape(-1, 3)
     head = _HEAD.pack(_MAGIC, _VERSION, 0, block, n) + table.tobytes()
     return b"".join([head, _CRC.pack(zlib.crc32(head)), *payloads])
