@@ -19,8 +19,10 @@ FULL_WINDOW = 2160
 
 def long_series(spark, folder):
     lines = v.table(spark, folder, "lineitem")
-    hours = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("int")
-    ts = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hours, F.lit(0), F.lit(0).cast("decimal(18,6)"))
+    hours = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    # by whole days: hours alone pass 32 bits where keys are large
+    days, rest = F.floor(hours / 24).cast("int"), F.pmod(hours, F.lit(24)).cast("int")
+    ts = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(days, rest, F.lit(0), F.lit(0).cast("decimal(18,6)"))
     price = F.max(F.when(F.col("l_linenumber") % 3 != 0, F.col("l_extendedprice"))).alias("y")
     return lines.groupBy(F.lit("all").alias(SERIES), ts.alias(TS)).agg(price)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,7 +52,7 @@ def rolling_quantile(
     quantile. ``min_values=window, back_fill=False`` is the strict variant
     (W8). Rounded to single precision as the stored factor is.
 
-    ``fast`` computes each chunk with pandas, whose rolling quantile updates a
+    ``fast`` computes each chunk's values with pandas, whose rolling quantile updates a
     sorted window instead of sorting every frame anew; otherwise it is Spark's
     exact ``percentile`` on a row frame, the better choice for very many short
     series. All columns pass through, so select the needed ones first.
@@ -83,14 +83,18 @@ def _rolling_in_chunks(df, value, window, q, min_values, chunk_rows) -> DataFram
     schema = T.StructType([*df.schema.fields, T.StructField("_q", T.DoubleType())])
     names = schema.fieldNames()
 
-    def roll(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
-        values = part[value].astype("float64")
-        part["_q"] = values.rolling(window, min_periods=min_values).quantile(q)
-        return part.loc[part["pos"] // chunk_rows == part["_chunk"], names]
-
-    rolled = spread.groupBy(SERIES, "_chunk").applyInPandas(roll, schema)
-    return rolled.withColumn("_q", F.when(~F.isnan("_q"), F.col("_q")))
+    def roll(part: pa.Table) -> pa.Table:
+        # Only the values become pandas: its times end in the year 2262.
+        part = part.sort_by("pos")
+        values = part.column(value).to_pandas().astype("float64")
+        rolled = values.rolling(window, min_periods=min_values).quantile(q)
+        part = part.append_column("_q", pa.array(rolled, pa.float64()))
+        own = part.column("pos").to_numpy() // chunk_rows == part.column("_chunk").to_numpy()
+        return part.filter(pa.array(own)).select(names)
+
+    rolled = spread.groupBy(SERIES, "_chunk").applyInArrow(roll, schema)
+    known = {f.name for f in schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    return rolled.select(*[F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")).alias(c) if c in known else F.col(f"`{c}`") for c in names])
 
 
 def column_bounds(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (SERIES,)) -> DataFrame:

@@ -157,7 +157,8 @@ def _lag_sums(
     """
     back, ahead = max(0, -min(lags)), max(0, max(lags))
     names = list(dict.fromkeys([fixed, *moved]))
-    spread = spread_chunks(number_rows(df.select(SERIES, TS, *names)), back, ahead, chunk_rows)
+    # without the times: those of pandas end in the year 2262
+    spread = spread_chunks(number_rows(df.select(SERIES, TS, *names)).drop(TS), back, ahead, chunk_rows)
 
     def products(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")

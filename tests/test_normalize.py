@@ -1,9 +1,12 @@
+import datetime
+
 import numpy as np
 import pandas as pd
+import pytest
 from conftest import ordered, per_series, same, to_spark
 from pyspark.sql import functions as F
 
-from heliotide.operators import normalize
+from heliotide.operators import normalize, stats
 
 
 def rolled(p, window, minimum, fill=True):
@@ -56,3 +59,25 @@ def test_recent_quantile(spark):
     pdf = pd.DataFrame({"series_id": "a", "ts": pd.date_range("2024-01-01", periods=200, freq="h"), "y": np.arange(200.0)})
     got = normalize.recent_quantile(to_spark(spark, pdf), "y", days=4).first()
     assert abs(got.p99_value - pdf.y[-96:].quantile(0.99)) < 1e-9
+
+
+@pytest.mark.parametrize("fast", [True, False])
+def test_rolling_quantile_beyond_the_times_of_pandas(spark, fast):
+    """Hours from 2261 to 2263, that is over the end of pandas' nanoseconds."""
+    first = datetime.datetime(2262, 1, 1)
+    y = np.random.default_rng(4).normal(size=6000)
+    rows = [("a", first + datetime.timedelta(hours=i), float(v)) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, y double")
+    got = normalize.rolling_quantile(df, "y", window=48, chunk_rows=1000, fast=fast)
+    got = got.orderBy("ts").select("denominator", F.col("ts").cast("string")).collect()
+    want = pd.Series(y).rolling(48, min_periods=24).quantile(0.99).bfill().astype("float32")
+    same([r[0] for r in got], want, 1e-6)
+    assert [r[1] for r in got[:: len(got) - 1]] == [str(rows[0][1]), str(rows[-1][1])]
+
+
+def test_lag_sums_beyond_the_times_of_pandas(spark):
+    first = datetime.datetime(2262, 4, 1)
+    rows = [("a", first + datetime.timedelta(hours=i), float(i % 7)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, y double")
+    acf = stats.autocorrelation(df, "y", 7).orderBy("lag").collect()
+    assert [r["lag"] for r in acf] == list(range(8)) and acf[0]["acf"] == 1.0 and acf[7]["acf"] > 0.98
