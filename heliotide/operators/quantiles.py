@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 SLICES = 128
 SALTS = 64
+#: A value of more than this part of a column's rows is common.
+COMMON = 1000
+DEALS = 1 << 20
 
 
 def _counted_slices(
@@ -173,11 +176,38 @@ def average_ranks(
 
     A row counts ``weight`` times.
     """
+    return _ranked_values(df, keys, value, slices, weight, few_keys).select(*keys, value, "avg_rank")
+
+
+def _ranked_values(
+    df: DataFrame, keys: Sequence[str], value: str, slices: int = SLICES, weight: str | None = None, few_keys: bool = False
+) -> DataFrame:
+    """``(keys, value, avg_rank, _c, _n)``: also how often the value occurs, and all values of the group."""
     counted = _counted_slices(df, keys, value, slices, weight, few_keys=few_keys)
     ranks = _slice_ranks(counted, keys)
     inside = Window.partitionBy(*keys, "_slice").orderBy("_v")
     before = F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     rank = F.col("_start") + F.coalesce(before, F.lit(0)) + (F.col("_c") + 1) / 2
     return counted.join(ranks, [*keys, "_slice"]).select(
-        *keys, F.col("_v").alias(value), rank.alias("avg_rank")
+        *keys, F.col("_v").alias(value), rank.alias("avg_rank"), "_c", "_n"
     )
+
+
+def with_average_rank(rows: DataFrame, value: str, name: str, weight: str, of: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the average rank of ``value`` (no null) over all of them as ``name``; a row counts ``weight`` times.
+
+    ``of`` are the same rows before other columns were added, where the values are counted.
+
+    Values of more than a ``COMMON``-th of the weight, fewer than ``COMMON``, are
+    sent to the rows. The others meet their rows by value, and rows that have
+    their rank already are dealt evenly, so no value gathers its rows in one task.
+    """
+    ranks = _ranked_values(rows if of is None else of, [], value, weight=weight).withColumnRenamed(value, "_of")
+    common = F.col("_c") * COMMON > F.col("_n")
+    sent = F.broadcast(ranks.where(common).select("_of", F.col("avg_rank").alias("_sent")))
+    # naming _c keeps _at a key: a plain -1 would be put into the condition, and rows dealt by value alone
+    met = ranks.where(~common).select("_of", F.when(F.col("_c") > 0, -1).alias("_at"), F.col("avg_rank").alias("_met"))
+    known = rows.join(sent, F.col(value) == sent["_of"], "left").drop("_of")
+    dealt = known.withColumn("_deal", F.when(F.col("_sent").isNull(), -1).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(DEALS)).cast("int")))
+    joined = dealt.join(met, (F.col(value) == F.col("_of")) & (F.col("_deal") == F.col("_at")), "left")
+    return joined.select(*rows.columns, F.coalesce("_sent", "_met").alias(name))

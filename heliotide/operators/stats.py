@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from heliotide import SERIES, TS
 from heliotide.functions.calendar import ZONE, wall_clock
 from heliotide.operators.ordered import attach, number_rows, over_rows, spread_chunks
-from heliotide.operators.quantiles import average_ranks, exact_quantiles
+from heliotide.operators.quantiles import exact_quantiles, with_average_rank
 
 #: Rows of a chunk whose lag products one call sums.
 LAG_CHUNK_ROWS = 1 << 16
@@ -50,18 +50,16 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Equal rows are merged first. Each column is cut into ranges by its values;
     the rows in a range and those in the ranges before give the ranks, counted
     per distinct value, so a value held by most rows forms no task of its own.
-    The merged rows then take one rank per column. All columns read the merged
-    rows from one exchange.
+    The merged rows take the ranks of one column after the other, and a value
+    gives way to its rank.
     """
     names = [f"_v{i}" for i in range(len(columns))]
     known = df.select([F.col(f"`{c}`").cast("double").alias(v) for c, v in zip(columns, names)]).dropna()
-    rows = known.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    cells = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(v).alias("_x")) for i, v in enumerate(names)])
-    long = rows.select(*names, "_n", F.inline(cells))
-    ranks = average_ranks(long, ["_i"], "_x", weight="_n", few_keys=True)
-    ranked = long.join(ranks, ["_i", "_x"]).groupBy(*names).agg(F.max("_n").alias("_n"), *[
-        F.max(F.when(F.col("_i") == i, F.col("avg_rank"))).alias(f"_rank{i}") for i in range(len(columns))
-    ])
+    # said of every column here, it is not added to single ones, and all of them read one exchange
+    known = known.where(" AND ".join(f"{v} IS NOT NULL" for v in names)) if names else known
+    ranked = rows = known.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    for i, v in enumerate(names):
+        ranked = with_average_rank(ranked, v, f"_rank{i}", "_n", of=rows).drop(v)
     return _pair_table(ranked, {c: f"_rank{i}" for i, c in enumerate(columns)}, "spearman", "_n")
 
 

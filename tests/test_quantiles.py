@@ -2,8 +2,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import ordered, same, to_spark
+from pyspark.sql import functions as F
 
-from heliotide.operators.quantiles import average_ranks, exact_quantiles, summaries
+from heliotide.operators.quantiles import average_ranks, exact_quantiles, summaries, with_average_rank
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +59,20 @@ def test_summaries_keep_the_digits_of_large_close_values(spark):
     v = 1e9 + np.arange(1000) / 1000
     got = summaries(to_spark(spark, pd.DataFrame({"k": "a", "v": v})), ["k"], "v", [0.5], ["p50"]).first()
     assert abs(got["std"] - v.std(ddof=1)) < 1e-6 and abs(got["mean"] - v.mean()) < 1e-6
+
+
+def test_rows_of_a_common_value_do_not_meet_in_one_task(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"a": np.where(rng.random(6000) < 0.7, 1.0, rng.normal(size=6000).round(3)), "b": np.arange(6000.0), "n": rng.integers(1, 4, 6000)})
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        ranked = with_average_rank(to_spark(spark, pdf), "a", "rank", "n")
+        got = ranked.withColumn("task", F.spark_partition_id()).toPandas().sort_values("b")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got.task.value_counts().max() < 2400
+    every = pdf.loc[pdf.index.repeat(pdf.n)]
+    same(got["rank"], every.a.rank().groupby(level=0).first())
