@@ -40,7 +40,7 @@ LEAST_HOT = 1000
 LEAST_BUCKETS, LEAST_CONTEXT_BUCKETS = 16, 128
 #: Bytes of text per bucket, for anchors and for contexts.
 BUCKET_BYTES, CONTEXT_BUCKET_BYTES = 64 << 20, 8 << 20
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 FLUSH_ANCHORS = 1 << 21
 FLUSH_CONTEXTS = 1 << 18
 _CONTEXT_BASE = 0xA24BAED4963EE407
@@ -184,7 +184,7 @@ def _send_anchors(buckets: int, as_units: Callable):
             for row, last, data, texts in slices(batch.column("text"), SLICE_BYTES):
                 units = as_units(data, texts)
                 text, anchor, place, _, _ = contexts(units)
-                parts.append((anchor, docs + text, ids[row:last][text], keys[row:last][text], place - units.first[text]))
+                parts.append((anchor, (docs + text).astype(np.int32), ids[row:last][text], keys[row:last][text], (place - units.first[text]).astype(np.uint32)))
                 docs += last - row
                 n += len(text)
                 if n >= FLUSH_ANCHORS:
@@ -198,6 +198,7 @@ def _send_anchors(buckets: int, as_units: Callable):
 
 def _anchor_rows(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
     anchor, doc, own, key, place = (np.concatenate(c) for c in zip(*parts))
+    parts.clear()
     out = []
     order = np.lexsort((own, anchor))
     a, d = anchor[order], own[order]
@@ -207,11 +208,12 @@ def _anchor_rows(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.Record
     n_docs = np.add.reduceat(_first_of(a, d).astype(np.int64), head)
     mine = np.zeros(len(a), dtype=bool)
     mine[order] = np.repeat(local, np.diff(np.append(head, len(a))))
+    shared = np.column_stack([(a[head][local] & _LOW48).astype(np.int64), low[local], high[local], n_docs[local]])
+    to_shared = _bucket(a[head][local], buckets)
+    del a, d, order, low, high, n_docs, head
     # Known to be shared already: the places need no answer, the anchor is sent once.
     for t, where in _by(doc[mine], np.flatnonzero(mine)):
         out.append({"bucket": int(key[where[0]] % buckets), "row_key": int(key[where[0]]), "places": _packed(np.sort(place[where]))})
-    shared = np.column_stack([(a[head][local] & _LOW48).astype(np.int64), low[local], high[local], n_docs[local]])
-    to_shared = _bucket(a[head][local], buckets)
     alone = np.flatnonzero(~mine)
     to = _bucket(anchor[alone], buckets)
     alone = alone[np.lexsort((place[alone], doc[alone], to))]
@@ -244,36 +246,41 @@ def _by(group: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray
 
 def _meet_anchors(hot_at: int):
     def run(table: pa.Table) -> pa.Table:
-        out, anchors, ids, keys, places, several = [], [], [], [], [], []
-        for r in table.to_pylist():
-            if r["row_key"] is not None:
-                out.append({"row_key": r["row_key"], "places": r["places"]})
-                continue
-            wide = np.zeros((len(r["anchors"]) // 6, 8), dtype=np.uint8)
-            wide[:, :6] = np.frombuffer(r["anchors"], np.uint8).reshape(-1, 6)
-            docs = _int64(r["docs"]).reshape(-1, 3)
-            anchors.append(wide.view(np.int64).ravel())
-            ids.append(np.repeat(docs[:, 0], docs[:, 2]))
-            keys.append(np.repeat(docs[:, 1], docs[:, 2]))
-            places.append(_unpacked(r["places"]))
-            several.append(_int64(r["several"]).reshape(-1, 4))
-        if anchors:
-            more = np.concatenate(several)
-            one = np.concatenate(anchors)
-            a = np.concatenate([one, more[:, 0], more[:, 0]])
-            d = np.concatenate([np.concatenate(ids), more[:, 1], more[:, 2]])
-            n = np.concatenate([np.ones(len(one), np.int64), more[:, 3], np.zeros(len(more), np.int64)])
-            order = np.argsort(a, kind="stable")
-            head = np.flatnonzero(_first_of(a[order]))
+        # Column by column into arrays of known size: a bucket holds millions of anchors, and two tasks share a small executor.
+        at = lambda name, i: table.column(name)[i].as_py()
+        keys = table.column("row_key").to_pylist()
+        out = [{"row_key": k, "places": at("places", i)} for i, k in enumerate(keys) if k is not None]
+        sent = [i for i, k in enumerate(keys) if k is None]
+        if sent:
+            more = np.concatenate([_int64(at("several", i)) for i in sent]).reshape(-1, 4)
+            docs = np.concatenate([_int64(at("docs", i)) for i in sent]).reshape(-1, 3)
+            n_one, n_more = int(docs[:, 2].sum()), len(more)
+            a, places, done = np.zeros(n_one + 2 * n_more, np.int64), np.empty(n_one, np.uint32), 0
+            for i in sent:
+                raw = np.frombuffer(at("anchors", i), np.uint8).reshape(-1, 6)
+                a[done : done + len(raw)].view(np.uint8).reshape(-1, 8)[:, :6] = raw
+                places[done : done + len(raw)] = _unpacked(at("places", i))
+                done += len(raw)
+            a[n_one : n_one + n_more] = a[n_one + n_more :] = more[:, 0]
+            own = np.repeat(np.arange(len(docs), dtype=np.int32), docs[:, 2])
+            order = np.argsort(a)
+            a = a[order]
+            head = np.flatnonzero(_first_of(a))
             size = np.diff(np.append(head, len(a)))
-            shared = np.minimum.reduceat(d[order], head) != np.maximum.reduceat(d[order], head)
-            total = np.add.reduceat(n[order], head)
-            for x, c in zip(a[order][head][total >= hot_at].tolist(), total[total >= hot_at].tolist()):
+            n = np.ones(len(a), np.int32)
+            n[n_one : n_one + n_more], n[n_one + n_more :] = more[:, 3], 0
+            total = np.add.reduceat(n[order], head, dtype=np.int64)
+            for x, c in zip(a[head][total >= hot_at].tolist(), total[total >= hot_at].tolist()):
                 out.append({"hot": x, "n": c})
-            is_shared = np.zeros(len(a), dtype=bool)
+            del a, n
+            d = np.concatenate([docs[own, 0], more[:, 1], more[:, 2]])[order]
+            shared = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
+            del d
+            is_shared = np.zeros(len(order), dtype=bool)
             is_shared[order] = np.repeat(shared, size)
-            pick = is_shared[: len(one)]
-            out += [{"row_key": k, "places": _packed(np.sort(p))} for k, p in _by(np.concatenate(keys)[pick], np.concatenate(places)[pick])]
+            del order
+            pick = np.flatnonzero(is_shared[:n_one])
+            out += [{"row_key": k, "places": _packed(np.sort(p))} for k, p in _by(docs[own[pick], 1], places[pick])]
         return pa.Table.from_pylist(out, schema=_SHARED)
 
     return run
