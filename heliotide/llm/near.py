@@ -10,7 +10,8 @@ missing and one single shingle or one pair is still left.
 
 Candidates with a common signature are not expanded into all pairs. First every
 member is verified against four classes of its group, the first and last in two
-orders; what is linked falls into components. Then only pairs of one group in
+orders; what is linked falls into components. Groups with several components do
+so again with other centres, in an order of their own. Then only pairs of one group in
 different components are left, and all of those are verified too, save those
 that sizes or parities rule out. So no link between components is missed, and
 links inside one change nothing.
@@ -282,22 +283,43 @@ def _grouped(docs: DataFrame, size: int, percent: int, frequent: int) -> tuple[D
     stars = postings.select(F.col("class_key").alias("a"), F.explode("centres").alias("b")).where("a <> b").distinct()
     postings = postings.drop("centres")
     links = verified(docs, classes, settled(possible(classes, stars, percent)), size, percent)
-    links = links.union(verified(docs, classes, settled(_across(postings, classes, components(links), percent)), size, percent))
+    # Once more with other centres where components are left, so that few pairs remain.
+    mixed = _mixed(postings, components(links))
+    links = links.union(verified(docs, classes, settled(possible(classes, _stars_across(mixed), percent)), size, percent))
+    mixed = _mixed(mixed.drop("root", "major"), components(links))
+    links = links.union(verified(docs, classes, settled(_across(mixed, classes, percent)), size, percent))
     roots = components(links).select(F.col("a").alias("class_key"), "root")
     return rows, classes, roots
 
 
-def _across(postings: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """``sig, class_key, n, root, major`` of the signature groups with several components; ``major`` is the root of the commonest."""
+    member = postings.join(roots.select(F.col("a").alias("class_key"), "root"), "class_key", "left")
+    member = member.select("sig", "class_key", "n", F.coalesce("root", "class_key").alias("root"))
+    counts = member.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
+    most = counts.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    return settled(member.join(most.drop("roots"), "sig"))
+
+
+def _stars_across(mixed: DataFrame) -> DataFrame:
+    """Pairs of members with centres of their group in other components: two inside the commonest component, two outside.
+
+    The order differs from group to group, so a member of many groups meets many centres.
+    """
+    one, order = F.struct("class_key", "root"), F.xxhash64("sig", "class_key")
+    inside, outside = F.when(F.col("root") == F.col("major"), order), F.when(F.col("root") != F.col("major"), order)
+    centres = mixed.groupBy("sig").agg(F.array(*[pick(one, o) for pick in (F.min_by, F.max_by) for o in (inside, outside)]).alias("centres"))
+    met = mixed.join(centres, "sig").select("class_key", "root", F.explode("centres").alias("centre")).where("root <> centre.root")
+    return met.select(F.col("class_key").alias("a"), F.col("centre.class_key").alias("b")).distinct()
+
+
+def _across(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of one signature group in different components that sizes and parities do not rule out.
 
     In each group one component is the commonest; only members outside it are
     paired with the others, so a group that is one component makes no rows.
     """
-    member = postings.join(roots.select(F.col("a").alias("class_key"), "root"), "class_key", "left")
-    member = member.select("sig", "class_key", "n", F.coalesce("root", "class_key").alias("root"))
-    counts = member.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
-    most = counts.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    mixed = settled(member.join(most, "sig").join(classes.select("class_key", *_LONGS), "class_key"))
+    mixed = settled(mixed.join(classes.select("class_key", *_LONGS), "class_key"))
     outside = mixed.where("root <> major").select(
         "sig", F.col("class_key").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), *[F.col(c).alias(f"x{c}") for c in _LONGS]
     )

@@ -247,3 +247,12 @@ def test_a_bucket_of_anchors_takes_little_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 85 * 4 * n * per
+
+
+def test_components_of_a_group_meet_through_centres_first(spark):
+    """Of 300 members in 60 components each meets at most four others, in other components, before pairs are made."""
+    rows = [(sig, k, 20, k % 60, 0) for sig in (1, 2) for k in range(300)]
+    mixed = spark.createDataFrame(rows, "sig bigint, class_key bigint, n bigint, root bigint, major bigint")
+    got = [tuple(r) for r in near._stars_across(mixed).collect()]
+    assert {a for a, _ in got} == set(range(300)) and all(a % 60 != b % 60 for a, b in got)
+    assert max(Counter(a for a, _ in got).values()) <= 8 and len({b for _, b in got}) > 4
