@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -52,3 +53,18 @@ def test_token_ids_equal_the_tokenizer(seed):
     for row, last, ids, at in bpe.encode(pa.array(texts, pa.string())):
         for k in range(row, last):
             assert ids[at[k - row] : at[k - row + 1]].tolist() == whole.encode(texts[k] or "", add_special_tokens=False).ids, texts[k]
+
+
+def test_encoding_takes_little_room():
+    """Whatever the batch, a slice of it at a time."""
+    rng = random.Random(2)
+    words_ = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+    column = pa.array([" ".join(rng.choices(words_, k=500)) for _ in range(1500)])
+    for _ in bpe.encode(column):
+        pass
+    tracemalloc.start()
+    for _ in bpe.encode(column):
+        pass
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 48e6
