@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +76,14 @@ def _piece_encoder(folder: str | None):
 
 
 class _Known:
-    """Ids of pieces met before, by hash; forgotten when there are too many."""
+    """Ids of pieces met before, by hash; forgotten when there are too many.
+
+    A table with one place per top bits of the hash answers for nearly all
+    pieces; those it does not hold are looked up among all sorted hashes.
+    """
 
     LIMIT = 1 << 19
+    PLACE_BITS = 19
 
     def __init__(self, folder: str | None):
         self.encode = _piece_encoder(folder)._core_bpe.encode_single_piece
@@ -88,25 +94,44 @@ class _Known:
         self.begin = np.empty(0, np.int64)
         self.counts = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
+        self.held = np.zeros(1 << self.PLACE_BITS, np.uint64)
+        # A hash that belongs elsewhere: place 0 would else seem to hold the hash 0.
+        self.held[0] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        self.held_begin = np.zeros(1 << self.PLACE_BITS, np.int64)
+        self.held_counts = np.zeros(1 << self.PLACE_BITS, np.int32)
 
-    def find(self, distinct: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in ``ids`` those of each piece ``raw[starts:stops]`` begin, and how many there are."""
         if len(self.hashes) > self.LIMIT:
             self.clear()
+        place = (hashes >> np.uint64(64 - self.PLACE_BITS)).view(np.int64)
+        begin, counts = self.held_begin[place], self.held_counts[place]
+        rest = np.flatnonzero(self.held[place] != hashes)
+        if len(rest):
+            distinct, where, code = np.unique(hashes[rest], return_index=True, return_inverse=True)
+            where = rest[where]
+            at, n = self._sought(distinct, raw, starts[where], stops[where])
+            begin[rest], counts[rest] = at[code], n[code]
+            place = place[where]
+            # Of several hashes with one place the last stays, in all three.
+            _, last = np.unique(place[::-1], return_index=True)
+            last = len(place) - 1 - last
+            self.held[place[last]], self.held_begin[place[last]], self.held_counts[place[last]] = distinct[last], at[last], n[last]
+        return begin, counts
+
+    def _sought(self, distinct: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.searchsorted(self.hashes, distinct)
         new = np.ones(len(distinct), dtype=bool)
         inside = place < len(self.hashes)
         new[inside] = self.hashes[place[inside]] != distinct[inside]
         lists = [self.encode(raw[a:b]) for a, b in zip(starts[new].tolist(), stops[new].tolist())]
         counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), dtype=np.uint32, count=int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(counts.sum()))
         begin = len(self.ids) + np.cumsum(counts) - counts
         self.ids = np.concatenate([self.ids, flat])
-        hashes = np.concatenate([self.hashes, distinct[new]])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.begin = np.concatenate([self.begin, begin])[order]
-        self.counts = np.concatenate([self.counts, counts])[order]
+        self.hashes = np.insert(self.hashes, place[new], distinct[new])
+        self.begin = np.insert(self.begin, place[new], begin)
+        self.counts = np.insert(self.counts, place[new], counts)
         place = np.searchsorted(self.hashes, distinct)
         return self.begin[place], self.counts[place]
 
@@ -173,12 +198,12 @@ def _encode_slice(data: np.ndarray, texts: np.ndarray, folder: str | None) -> tu
     stops = np.append(starts[1:], len(points))
     at = np.append(heads, len(data))
     hashes = span_hashes(data, at[starts], at[stops])
-    distinct, where, code = np.unique(hashes, return_index=True, return_inverse=True)
     known = _known(folder)
-    begin, counts = known.find(distinct, raw, at[starts[where]], at[stops[where]])
-    n_of = counts[code]
-    total = np.concatenate([[0], np.cumsum(n_of)])
-    source = np.repeat(begin[code] - total[:-1], n_of) + np.arange(total[-1])
+    begin, counts = known.find(hashes, raw, at[starts], at[stops])
+    total = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts, out=total[1:])
+    source = np.repeat(begin - total[:-1], counts)
+    source += np.arange(total[-1])
     ids = known.ids[source]
     offsets = total[np.searchsorted(starts, ends)]
     if plain.all():

@@ -43,6 +43,15 @@ _HASH = np.uint32(0x9E3779B1)
 _RIGHT = np.array([_LOW * 8, 6000, 12000, 18000, 22000, 25000, 27000, 29000], np.int32)
 _FIRST_COUNT, _WINDOW, _RECOUNT = 64, 2048, 1024
 _SHARED = 16
+_STRIP = 32
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """``x.T`` as an array of its own, made in strips: turned at one go, every number would miss the cache."""
+    out = np.empty(x.shape[::-1], x.dtype)
+    for k in range(0, len(x), _STRIP):
+        out[:, k : k + _STRIP] = x[k : k + _STRIP].T
+    return out
 
 
 class _Encoder:
@@ -54,6 +63,7 @@ class _Encoder:
         self.at = np.zeros(lanes, np.int64)
         self.words = np.zeros((max(64, steps), lanes), np.uint32)
         self.most = 0
+        self.room = np.empty((3, lanes), np.int64)
 
     def _shift(self, lanes: np.ndarray) -> None:
         if self.most >= len(self.words):
@@ -77,12 +87,17 @@ class _Encoder:
 
     def event(self, first: np.ndarray, second: np.ndarray, event: np.ndarray) -> np.ndarray:
         m = len(first)
-        whole = self.range[:m]
-        unit = whole >> _BITS
-        a, b = first * unit, second * unit
+        whole, (unit, start, stop) = self.range[:m], self.room[:, :m]
         past, far = event > 0, event > 1
-        start = np.where(far, b, a * past)
-        self.range[:m] = np.where(far, whole, np.where(past, b, a)) - start
+        between = second - first
+        np.right_shift(whole, _BITS, out=unit)
+        np.multiply(first * past + between * far, unit, out=start)
+        np.multiply(first + between * past, unit, out=stop)
+        # The last event takes all that is left.
+        np.subtract(whole, stop, out=unit)
+        unit *= far
+        stop += unit
+        np.subtract(stop, start, out=whole)
         self.low[:m] += start
         return event
 
@@ -97,7 +112,7 @@ class _Encoder:
             self._shift(every)
         for row in range(int(self.at.max()) - 1, 0, -1):
             self.words[row - 1] += self.words[row] >> 16
-        lines = np.ascontiguousarray(self.words[: int(self.at.max())].astype("<u2").T)
+        lines = _turned(self.words[: int(self.at.max())].astype("<u2"))
         return [line[:n].tobytes() for line, n in zip(lines, self.at.tolist())]
 
 
@@ -112,6 +127,7 @@ class _Decoder:
         self.at = np.cumsum(sizes) - sizes
         self.value = np.zeros(lanes, np.int64)
         self.range = np.full(lanes, (1 << 48) - 1, np.int64)
+        self.room = np.empty((4, lanes), np.int64)
         every = np.arange(lanes)
         for _ in range(3):
             self._shift(every)
@@ -125,13 +141,22 @@ class _Decoder:
 
     def event(self, first: np.ndarray, second: np.ndarray, event: None) -> np.ndarray:
         m = len(first)
-        whole, value = self.range[:m], self.value[:m]
-        unit = whole >> _BITS
-        a, b = first * unit, second * unit
+        whole, value, (unit, a, b, stop) = self.range[:m], self.value[:m], self.room[:, :m]
+        np.right_shift(whole, _BITS, out=unit)
+        np.multiply(first, unit, out=a)
+        np.multiply(second, unit, out=b)
         past, far = value >= a, value >= b
-        start = np.where(far, b, a * past)
-        self.range[:m] = np.where(far, whole, np.where(past, b, a)) - start
-        value -= start
+        np.subtract(whole, b, out=unit)
+        unit *= far
+        b -= a
+        np.multiply(b, past, out=stop)
+        stop += a
+        stop += unit
+        a *= past
+        b *= far
+        a += b
+        np.subtract(stop, a, out=whole)
+        value -= a
         return past.view(np.int8) + far.view(np.int8)
 
 
@@ -146,7 +171,7 @@ class _Order0:
     def recount(self, before: np.ndarray, step: int) -> None:
         """``before`` is (step, lane): all ids so far."""
         window = min(_WINDOW, step)
-        some = np.sort(np.ascontiguousarray(before[step - window : step].T).astype(np.uint32), axis=1)
+        some = np.sort(_turned(before[step - window : step]).astype(np.uint32), axis=1)
         edge = np.ones((self.lanes, window), bool)
         edge[:, 1:] = some[:, 1:] != some[:, :-1]
         first = np.flatnonzero(edge)
@@ -160,7 +185,7 @@ class _Order0:
             self.known = np.repeat(size.astype(np.int64) << 32 | start << 16 | some[first], size)
             return
         # What each id of the next steps will need; a few lanes share a table over all ids.
-        ahead = np.ascontiguousarray(self.ids[step : step + min(step, _RECOUNT)].T).astype(np.int64)
+        ahead = _turned(self.ids[step : step + min(step, _RECOUNT)]).astype(np.int64)
         met = (lane % _SHARED << 16) + some[first]
         need = start << 12 | size
         cut = np.searchsorted(lane, np.arange(0, self.lanes + _SHARED, _SHARED))
@@ -171,7 +196,7 @@ class _Order0:
             table[met[a:b]] = need[a:b]
             out[k * _SHARED : (k + 1) * _SHARED] = table[here + (np.arange(len(here)) << 16)[:, None]]
             table[met[a:b]] = 0
-        self.ahead = np.ascontiguousarray(out.T)
+        self.ahead = _turned(out)
 
     def encode(self, coder: _Encoder, lanes: np.ndarray, now: np.ndarray, step: int) -> None:
         if self.window:
@@ -215,6 +240,14 @@ class _Order0:
         return now
 
 
+def _rooms(lanes: int) -> tuple[np.ndarray, ...]:
+    """Arrays for what a step computes per order and lane: two wide ones, ten narrow ones, hash bits, hits, and sameness per lane."""
+    return (
+        np.empty((2, 2, lanes), np.int64), np.empty((10, 2, lanes), np.int32), np.empty((2, lanes), np.uint32),
+        np.empty((2, lanes), bool), np.empty(lanes, bool),
+    )
+
+
 def _run(coder: _Encoder | _Decoder, ids: np.ndarray | None, lengths: np.ndarray) -> np.ndarray:
     """Codes all blocks side by side; ``ids`` is (step, lane), or None to decode. Only the last lane may be shorter."""
     lanes, steps = len(lengths), int(lengths[0])
@@ -223,31 +256,45 @@ def _run(coder: _Encoder | _Decoder, ids: np.ndarray | None, lengths: np.ndarray
     # Rows of what follows: order 1, order 2. A table's entry is the id seen last and, above it, how sure it is.
     table = np.zeros(lanes << _TABLE + 1, np.int32)
     right = np.tile(_RIGHT, 2 * lanes)
-    weight = np.full(lanes * (_SURE + 1), _ONE // 8 * 5, np.int32)
+    # Weights lie under the states of order 2, so the first half is not used.
+    weight = np.full(2 * lanes * (_SURE + 1), _ONE // 8 * 5, np.int32)
     every = np.arange(2 * lanes).reshape(2, lanes)
     base, sure0 = every << _TABLE, every * (_SURE + 1)
     mixed = np.zeros((2, lanes), np.uint32)
     m = lanes
+    # Every step works in the same arrays, and masks are multiplied: fresh arrays and choices by mask cost more than the sums.
+    wide, narrow, key, hit, same = _rooms(m)
     for step in range(steps):
         if step == int(lengths[-1]):
             m -= 1
-            base, sure0, mixed = base[:, :m], sure0[:, :m], mixed[:, :m]
+            base, sure0, mixed = (np.ascontiguousarray(x[:, :m]) for x in (base, sure0, mixed))
+            wide, narrow, key, hit, same = _rooms(m)
         if step >= _FIRST_COUNT and (step & (step - 1) == 0 or step % _RECOUNT == 0):
             order0.recount(decoded, step)
-        at = base + (mixed >> np.uint32(32 - _TABLE))
-        slot = table[at]
-        named, sure = slot & 0xFFFF, slot >> 16
-        state = sure0 + sure
-        chance = right[state]
-        of2 = state[1] - sure0[0, 0] - lanes * (_SURE + 1)
-        w = weight[of2]
-        same = named[0] == named[1]
-        mass1 = (chance[0] * (_ONE - w) >> _BITS) + 1
-        first = (chance[1] * w >> _BITS) + 1 + mass1 * same
-        second = first + mass1 * ~same
+        (at, state), (slot, named, sure, chance, change), (w, first, second, mass, now) = wide, narrow[:5], narrow[5:, 0]
+        np.right_shift(mixed, np.uint32(32 - _TABLE), out=key)
+        np.add(base, key, out=at)
+        table.take(at, out=slot, mode="clip")
+        np.bitwise_and(slot, 0xFFFF, out=named)
+        np.right_shift(slot, 16, out=sure)
+        np.add(sure0, sure, out=state)
+        right.take(state, out=chance, mode="clip")
+        weight.take(state[1], out=w, mode="clip")
+        np.multiply(chance[1], w, out=first)
+        first >>= _BITS
+        first += 1
+        np.subtract(_ONE, w, out=mass)
+        mass *= chance[0]
+        mass >>= _BITS
+        mass += 1
+        np.add(first, mass, out=second)
+        # Where both name the same id, the first takes the share of the second.
+        np.equal(named[0], named[1], out=same)
+        mass *= same
+        first += mass
         if ids is not None:
-            now = ids[step, :m].astype(np.int32)
-            hit = named == now
+            now[:] = ids[step, :m]
+            np.equal(named, now, out=hit)
             event = 2 - np.maximum(hit[0].view(np.int8), hit[1].view(np.int8) << 1)
             coder.event(first, second, event)
             neither = np.flatnonzero(event == 2)
@@ -255,19 +302,39 @@ def _run(coder: _Encoder | _Decoder, ids: np.ndarray | None, lengths: np.ndarray
                 order0.encode(coder, neither, now[neither], step)
         else:
             event = coder.event(first, second, None)
-            now = np.where(event == 0, named[1], named[0])
+            np.subtract(named[1], named[0], out=now)
+            now *= event == 0
+            now += named[0]
             neither = np.flatnonzero(event == 2)
             if len(neither):
                 now[neither] = order0.decode(coder, neither)
             decoded[step, :m] = now
-            hit = named == now
+            np.equal(named, now, out=hit)
         coder.settle()
-        right[state] = chance + (hit * _SPAN + (_LOW - chance) >> _RATE)
-        weight[of2] = np.minimum(np.maximum(w + (hit[1].view(np.int8) - hit[0].view(np.int8)) * _STEP, _STEP), _ONE - _STEP)
-        table[at] = now + ((np.minimum(hit * sure, _SURE - 1) + 1) << 16)
-        one = now.astype(np.uint32) * _HASH
-        mixed[1] = (mixed[0] >> np.uint32(5) ^ one) * _HASH
-        mixed[0] = one
+        hits = slot
+        hits[:] = hit
+        np.multiply(hits, _SPAN, out=change)
+        change -= chance
+        change += _LOW
+        change >>= _RATE
+        change += chance
+        right[state] = change
+        np.subtract(hits[1], hits[0], out=mass)
+        mass *= _STEP
+        w += mass
+        np.maximum(w, _STEP, out=w)
+        np.minimum(w, _ONE - _STEP, out=w)
+        weight[state[1]] = w
+        sure *= hits
+        np.minimum(sure, _SURE - 1, out=sure)
+        sure += 1
+        sure <<= 16
+        sure += now
+        table[at] = sure
+        np.right_shift(mixed[0], np.uint32(5), out=mixed[1])
+        np.multiply(now.view(np.uint32), _HASH, out=mixed[0])
+        mixed[1] ^= mixed[0]
+        mixed[1] *= _HASH
     return decoded
 
 
@@ -302,7 +369,7 @@ def encode(ids: np.ndarray, block: int | None = None) -> bytes:
         padded = np.zeros(len(lengths) * block, np.uint16)
         padded[: len(some)] = some
         coder = _Encoder(len(lengths), block // 2)
-        _run(coder, np.ascontiguousarray(padded.reshape(len(lengths), block).T), lengths)
+        _run(coder, _turned(padded.reshape(len(lengths), block)), lengths)
         payloads += coder.finish()
     table = np.array(
         [(zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()), zlib.crc32(p), len(p)) for k, p in enumerate(payloads)], dtype="<u4"
@@ -334,7 +401,7 @@ def decode(segment: bytes) -> np.ndarray:
         some = payloads[part : part + per]
         lengths = np.full(len(some), block, np.int64)
         lengths[-1] = min(block, n - block * (part + len(some) - 1))
-        ids = _run(_Decoder(some), None, lengths).T.reshape(-1)
+        ids = _turned(_run(_Decoder(some), None, lengths)).reshape(-1)
         out[part * block : part * block + len(ids)] = ids[: int(lengths.sum())]
     for k in range(count):
         if zlib.crc32(out[k * block : (k + 1) * block].tobytes()) != table[k, 0]:

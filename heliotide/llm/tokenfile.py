@@ -66,9 +66,12 @@ def _tokenised(bounds: np.ndarray, null_parts: int, end_id: int, folder: str | N
                     raise ValueError(f"ids above {rangecoder.MOST_ID} do not fit this format")
                 # Each text's ids and the closing one behind them.
                 n = last - row
+                ends = offsets[1:] + np.arange(n)
+                own_id = np.ones(len(ids) + n, dtype=bool)
+                own_id[ends] = False
                 out = np.full(len(ids) + n, end_id, dtype="<u2")
-                out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(offsets))] = ids
-                at = (offsets + np.arange(n + 1)) * 2
+                out[own_id] = ids
+                at = np.append(0, ends + 1) * 2
                 raw = memoryview(out.tobytes())
                 values = [bytes(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 tie = np.array([zlib.crc32(v) for v in values], dtype=np.int64)

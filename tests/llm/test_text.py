@@ -55,6 +55,30 @@ def test_token_ids_equal_the_tokenizer(seed):
             assert ids[at[k - row] : at[k - row + 1]].tolist() == whole.encode(texts[k] or "", add_special_tokens=False).ids, texts[k]
 
 
+def test_pieces_met_before_are_not_sorted_again(monkeypatch):
+    rng = random.Random(5)
+    column = pa.array([" ".join(rng.choice(["ab", "it's", "naïve", "1234", "zyxwv"]) for _ in range(200)) for _ in range(50)])
+    first = [ids.tolist() for _, _, ids, _ in bpe.encode(column)]
+    sorted_, unique = [], np.unique
+    monkeypatch.setattr(bpe.np, "unique", lambda x, *a, **b: (sorted_.append(len(x)), unique(x, *a, **b))[1])
+    assert [ids.tolist() for _, _, ids, _ in bpe.encode(column)] == first
+    assert sum(sorted_) == 0
+
+
+@pytest.mark.parametrize("bits", [1, 6])
+def test_pieces_that_share_a_place(monkeypatch, bits):
+    rng = random.Random(bits)
+    texts = [" ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(1, 6))) for _ in range(30)) for _ in range(40)]
+    monkeypatch.setattr(bpe._Known, "PLACE_BITS", bits)
+    known = bpe._Known(None)
+    monkeypatch.setattr(bpe, "_known", lambda folder: known)
+    whole = bpe.tokenizer()
+    for part in (texts, texts[::-1], texts):
+        for row, last, ids, at in bpe.encode(pa.array(part)):
+            for k in range(row, last):
+                assert ids[at[k - row] : at[k - row + 1]].tolist() == whole.encode(part[k], add_special_tokens=False).ids
+
+
 def test_encoding_takes_little_room():
     """Whatever the batch, a slice of it at a time."""
     rng = random.Random(2)

@@ -51,6 +51,13 @@ def test_each_block_starts_anew():
     assert (table[1] == table[2]).all() and table[0, 0] != table[1, 0]
 
 
+@pytest.mark.parametrize("shape", [(1, 1), (3, 70), (64, 5), (33, 1000)])
+def test_turned_arrays(shape):
+    x = np.random.default_rng(1).integers(0, 1 << 16, shape).astype(np.uint16)
+    turned = rangecoder._turned(x)
+    assert (turned == x.T).all() and turned.flags.c_contiguous
+
+
 def test_damage_is_found():
     ids = np.arange(3000, dtype=np.uint32) % 700
     segment = tokenfile.pack(pa.array([5, None], pa.int64()), np.array([1000, 2000]), ids)
