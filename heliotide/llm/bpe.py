@@ -141,10 +141,14 @@ def _known(folder: str | None) -> _Known:
     return _Known(folder)
 
 
-def piece_starts(points: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Where pieces start among code points of texts with fixed classes; text t is ``points[texts[t]:texts[t+1]]``."""
+def kinds(points: np.ndarray) -> np.ndarray:
+    """The class of each code point."""
+    return _KIND.take(points, mode="clip")
+
+
+def piece_starts(points: np.ndarray, kind: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where pieces start among code points of fixed classes ``kind``; text t is ``points[texts[t]:texts[t+1]]``."""
     n = len(points)
-    kind = _KIND[np.minimum(points, 0x250)]
     first = np.zeros(n + 1, dtype=bool)
     first[texts[:-1]] = True
     last = np.zeros(n, dtype=bool)
@@ -159,8 +163,7 @@ def piece_starts(points: np.ndarray, texts: np.ndarray) -> np.ndarray:
     after_blank = np.zeros(n, dtype=bool)
     after_blank[1:] = points[:-1] == 0x20
     after_blank &= ~first
-    start = np.where(space, change | (ends_run & ~last), change & ~after_blank)
-    start |= first
+    start = (change & (space | ~after_blank)) | (space & ends_run & ~last) | first
     quotes = np.flatnonzero((points == 0x27) & start & ~last)
     if len(quotes):
         room = texts[np.searchsorted(texts, quotes, side="right")] - quotes - 1
@@ -186,15 +189,15 @@ def _encode_slice(data: np.ndarray, texts: np.ndarray, folder: str | None) -> tu
     points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     heads = np.flatnonzero((data & 0xC0) != 0x80)
     ends = np.searchsorted(heads, texts)
-    unsure = np.zeros(len(points) + 1, dtype=np.int64)
-    np.cumsum(_KIND[np.minimum(points, 0x250)] == _UNSURE, out=unsure[1:])
-    plain = unsure[ends[1:]] == unsure[ends[:-1]]
+    kind = kinds(points)
+    unsure = np.flatnonzero(kind == _UNSURE)
+    plain = np.diff(np.searchsorted(unsure, ends)) == 0
     for mark in (t for t in tokenizer(folder).get_added_tokens_decoder().values() if t.content.encode() in raw):
         needle = mark.content.encode()
         for t in np.flatnonzero(plain):
             if needle in raw[texts[t] : texts[t + 1]]:
                 plain[t] = False
-    starts = np.flatnonzero(piece_starts(points, ends)) if len(points) else np.empty(0, np.int64)
+    starts = np.flatnonzero(piece_starts(points, kind, ends)) if len(points) else np.empty(0, np.int64)
     stops = np.append(starts[1:], len(points))
     at = np.append(heads, len(data))
     hashes = span_hashes(data, at[starts], at[stops])
