@@ -174,11 +174,14 @@ class _Order0:
         some = np.sort(_turned(before[step - window : step]).astype(np.uint32), axis=1)
         edge = np.ones((self.lanes, window), bool)
         edge[:, 1:] = some[:, 1:] != some[:, :-1]
+        # An id is there once if it and what follows it both start a run.
+        self.new = 1 + np.count_nonzero(edge[:, :-1] & edge[:, 1:], axis=1) + edge[:, -1]
         first = np.flatnonzero(edge)
         del edge
         size = np.diff(first, append=self.lanes * window).astype(np.int32)
-        lane, start = (first // window).astype(np.int32), (first % window).astype(np.int32)
-        self.new = 1 + np.bincount(lane[size == 1], minlength=self.lanes)
+        lane = first // window
+        start = (first - lane * window).astype(np.int32)
+        lane = lane.astype(np.int32)
         self.window, self.first, self.total = window, step, window + self.new
         some = some.ravel()
         if self.ids is None:
