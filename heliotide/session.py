@@ -40,12 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def cut_lineage(df, partition_by=()):
+def cut_lineage(df, partition_by=(), options=None):
     """Write ``df`` once to the shared folder and read it back, in folders by ``partition_by`` where only parts are read later.
 
     Used where a plan would otherwise be computed many times (folds of a
     parameter search). The files survive the loss of an executor.
     """
     path = shared_dir(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.options(**(options or {})).partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from heliotide.llm import bloom, collocations
@@ -116,3 +117,77 @@ def test_filter_denies_no_member(spark):
     others = rng.integers(-(1 << 63), (1 << 63) - 1, 20000)
     assert bloom.may_hold(words, others.view(np.uint64)).mean() < 0.05
     assert not bloom.may_hold(bloom.filter_of(spark.createDataFrame([], "h bigint"), "h", 16), others.view(np.uint64)).any()
+
+
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def bits_of(hashes, bits=16):
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    for slot in bloom._slots(hashes, bits):
+        np.bitwise_or.at(words, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+    return words
+
+
+@pytest.mark.parametrize("places,flush", [(20, 3_000_000), (1, 3_000_000), (4, 5)])
+def test_a_task_spells_a_phrase_once_between_flushes(monkeypatch, places, flush):
+    monkeypatch.setattr(collocations._Tally, "PLACE_BITS", places)
+    monkeypatch.setattr(collocations, "FLUSH_ENTRIES", flush)
+    monkeypatch.setattr(collocations, "SPELL_WORDS", flush)
+    rng = random.Random(3)
+    entries = [(rng.choice(["en", "de"]), " ".join(f"w{rng.randrange(4)}" for _ in range(rng.randrange(1, 9))), rng.randrange(1, 5), rng.randrange(1, 4)) for _ in range(300)]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*entries[a : a + 20]), (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "chunk", "own", "times"])
+        for a in range(0, 300, 20)
+    ]
+    blocks = list(collocations._packed(iter(batches)))
+    want, words = Counter(), Counter()
+    for lang, chunk, own, times in entries:
+        ws = chunk.split(" ")
+        words[lang] += own * times
+        for i in range(min(own, len(ws))):
+            for k in range(1, 6):
+                if i + k <= len(ws):
+                    want[(lang, " ".join(ws[i : i + k]), k)] += times
+    total = Counter()
+    for block in blocks:
+        total.update(dict(zip(block["langs"][0].as_py(), block["words"][0].as_py())))
+    assert total == words
+    everything = Sent(np.full(1 << 10, 0xFFFFFFFFFFFFFFFF, np.uint64))
+    out = [tuple(r.values()) for b in collocations._spelled(everything, 5)(iter(blocks)) for r in b.to_pylist()]
+    got = Counter()
+    for lang, phrase, size, a in out:
+        got[(lang, phrase, size)] += a
+    assert got == want
+    if flush > 300:
+        assert len(out) == len(want)
+
+    # Every level counts what may still be frequent, and at least that.
+    level = lambda run: {h: n for b in run(iter(blocks)) for h, n in zip(b["h"].to_pylist(), b["n"].to_pylist())}
+    if flush > 300:
+        assert sorted(level(collocations._words()).values()) == sorted(n for k, n in want.items() if k[2] == 1)
+        assert sorted(level(collocations._pairs(everything)).values()) == sorted(n for k, n in want.items() if k[2] == 2)
+        assert sorted(level(collocations._longer(everything, 5)).values()) == sorted(n for k, n in want.items() if k[2] > 2)
+    frequent = np.array([h for run in (collocations._words(), collocations._pairs(everything), collocations._longer(everything, 5)) for h, n in level(run).items() if n >= 30], np.int64)
+    kept = Counter()
+    for b in collocations._spelled(Sent(bits_of(frequent.view(np.uint64))), 5)(iter(blocks)):
+        for r in b.to_pylist():
+            kept[(r["lang"], r["phrase"], r["size"])] += r["a"]
+    if flush > 300:
+        assert {k: n for k, n in kept.items() if n >= 30} == {k: n for k, n in want.items() if n >= 30}
+
+
+def test_a_tally_counts_every_hash():
+    tally = collocations._Tally()
+    hashes = np.array([0, 1, 0, 1 << 63, (1 << 63) + 1, 5, (1 << 64) - 1, 1 << 63, 0, (1 << 64) - 1], np.uint64)
+    want = Counter()
+    for k in range(3):
+        fresh = tally.add(hashes, np.arange(10) + k)
+        for h, n in zip(hashes.tolist(), range(k, 10 + k)):
+            want[h] += n
+    assert 3 not in fresh and 0 in fresh
+    got, times = tally.rows()
+    assert dict(zip(got.tolist(), times.tolist())) == want and len(got) == len(want)
+    assert tally.empty and not len(tally.rows()[0])
