@@ -78,11 +78,12 @@ def _piece_encoder(folder: str | None):
 class _Known:
     """Ids of pieces met before, by hash; forgotten when there are too many.
 
-    A table with one place per top bits of the hash answers for nearly all
-    pieces; those it does not hold are looked up among all sorted hashes.
+    A table has one place per top bits of the hash, held by the piece that came
+    last; pieces it does not hold are encoded.
     """
 
-    LIMIT = 1 << 19
+    #: Ids that are kept.
+    LIMIT = 1 << 21
     PLACE_BITS = 19
 
     def __init__(self, folder: str | None):
@@ -90,10 +91,8 @@ class _Known:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes = np.empty(0, np.uint64)
-        self.begin = np.empty(0, np.int64)
-        self.counts = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.size = 0
         self.held = np.zeros(1 << self.PLACE_BITS, np.uint64)
         # A hash that belongs elsewhere: place 0 would else seem to hold the hash 0.
         self.held[0] = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -102,38 +101,35 @@ class _Known:
 
     def find(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in ``ids`` those of each piece ``raw[starts:stops]`` begin, and how many there are."""
-        if len(self.hashes) > self.LIMIT:
+        if self.size > self.LIMIT:
             self.clear()
         place = (hashes >> np.uint64(64 - self.PLACE_BITS)).view(np.int64)
         begin, counts = self.held_begin[place], self.held_counts[place]
         rest = np.flatnonzero(self.held[place] != hashes)
         if len(rest):
-            distinct, where, code = np.unique(hashes[rest], return_index=True, return_inverse=True)
-            where = rest[where]
-            at, n = self._sought(distinct, raw, starts[where], stops[where])
+            order = np.argsort(hashes[rest])
+            rest = rest[order]
+            run = hashes[rest]
+            edge = np.ones(len(run), dtype=bool)
+            edge[1:] = run[1:] != run[:-1]
+            where, code = rest[edge], np.cumsum(edge) - 1
+            at, n = self._encoded(raw, starts[where], stops[where])
             begin[rest], counts[rest] = at[code], n[code]
-            place = place[where]
-            # Of several hashes with one place the last stays, in all three.
-            _, last = np.unique(place[::-1], return_index=True)
-            last = len(place) - 1 - last
-            self.held[place[last]], self.held_begin[place[last]], self.held_counts[place[last]] = distinct[last], at[last], n[last]
+            place, distinct = place[where], run[edge]
+            self.held[place] = distinct
+            # Of several hashes with one place one stays, in all three.
+            stays = self.held[place] == distinct
+            self.held_begin[place[stays]], self.held_counts[place[stays]] = at[stays], n[stays]
         return begin, counts
 
-    def _sought(self, distinct: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.searchsorted(self.hashes, distinct)
-        new = np.ones(len(distinct), dtype=bool)
-        inside = place < len(self.hashes)
-        new[inside] = self.hashes[place[inside]] != distinct[inside]
-        lists = [self.encode(raw[a:b]) for a, b in zip(starts[new].tolist(), stops[new].tolist())]
+    def _encoded(self, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lists = list(map(self.encode, map(raw.__getitem__, map(slice, starts.tolist(), stops.tolist()))))
         counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(counts.sum()))
-        begin = len(self.ids) + np.cumsum(counts) - counts
-        self.ids = np.concatenate([self.ids, flat])
-        self.hashes = np.insert(self.hashes, place[new], distinct[new])
-        self.begin = np.insert(self.begin, place[new], begin)
-        self.counts = np.insert(self.counts, place[new], counts)
-        place = np.searchsorted(self.hashes, distinct)
-        return self.begin[place], self.counts[place]
+        first, self.size = self.size, self.size + int(counts.sum())
+        if self.size > len(self.ids):
+            self.ids = np.concatenate([self.ids[:first], np.empty(2 * self.size - first, np.uint32)])
+        self.ids[first : self.size] = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=self.size - first)
+        return first + np.cumsum(counts) - counts, counts
 
 
 @lru_cache(maxsize=2)

@@ -73,7 +73,7 @@ class _Encoder:
         self.most += 1
         at, low = self.at[lanes], self.low[lanes]
         # Bit 48 is a carry into the word before; it is settled at the end.
-        self.words[at, lanes] = low >> 32
+        self.words.reshape(-1)[at * len(self.low) + lanes] = low >> 32
         self.at[lanes] = at + 1
         self.low[lanes] = (low & 0xFFFFFFFF) << 16
 

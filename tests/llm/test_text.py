@@ -92,3 +92,20 @@ def test_encoding_takes_little_room():
     _, most = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert most < 48e6
+
+
+def test_pieces_without_a_place_are_encoded_and_forgotten_in_time(monkeypatch):
+    """What stays between slices is bounded by the places and by the ids kept."""
+    monkeypatch.setattr(bpe._Known, "PLACE_BITS", 3)
+    monkeypatch.setattr(bpe._Known, "LIMIT", 50)
+    known = bpe._Known(None)
+    raw = b"one two three oneone twenty2 x"
+    which = [0, 1, 2, 3, 4, 5, 0, 1, 2]
+    starts, stops = np.array([0, 3, 7, 13, 20, 28])[which], np.array([3, 7, 13, 20, 28, 30])[which]
+    hashes = np.array([5, 1 << 63, (1 << 63) + 1, 0, (1 << 61) + 3, 9], np.uint64)[which]
+    for _ in range(30):
+        begin, counts = known.find(hashes, raw, starts, stops)
+        got = [known.ids[a : a + n].tolist() for a, n in zip(begin, counts)]
+        assert got == [known.encode(raw[a:b]) for a, b in zip(starts, stops)]
+        assert known.size <= 50 + sum(map(len, got))
+    assert len(known.held) == 8
