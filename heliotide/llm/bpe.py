@@ -83,8 +83,8 @@ class _Known:
     """
 
     #: Ids that are kept.
-    LIMIT = 1 << 21
-    PLACE_BITS = 19
+    LIMIT = 1 << 22
+    PLACE_BITS = 20
 
     def __init__(self, folder: str | None):
         self.encode = _piece_encoder(folder)._core_bpe.encode_single_piece
@@ -96,16 +96,16 @@ class _Known:
         self.held = np.zeros(1 << self.PLACE_BITS, np.uint64)
         # A hash that belongs elsewhere: place 0 would else seem to hold the hash 0.
         self.held[0] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        self.held_begin = np.zeros(1 << self.PLACE_BITS, np.int64)
-        self.held_counts = np.zeros(1 << self.PLACE_BITS, np.int32)
+        # Where the ids begin and, in the low half, how many there are.
+        self.held_span = np.zeros(1 << self.PLACE_BITS, np.int64)
 
     def find(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in ``ids`` those of each piece ``raw[starts:stops]`` begin, and how many there are."""
         if self.size > self.LIMIT:
             self.clear()
         place = (hashes >> np.uint64(64 - self.PLACE_BITS)).view(np.int64)
-        begin, counts = self.held_begin[place], self.held_counts[place]
-        rest = np.flatnonzero(self.held[place] != hashes)
+        span = self.held_span.take(place)
+        rest = np.flatnonzero(self.held.take(place) != hashes)
         if len(rest):
             order = np.argsort(hashes[rest])
             rest = rest[order]
@@ -114,20 +114,23 @@ class _Known:
             edge[1:] = run[1:] != run[:-1]
             where, code = rest[edge], np.cumsum(edge) - 1
             at, n = self._encoded(raw, starts[where], stops[where])
-            begin[rest], counts[rest] = at[code], n[code]
+            new = at << 32 | n
+            span[rest] = new[code]
             place, distinct = place[where], run[edge]
             self.held[place] = distinct
             # Of several hashes with one place one stays, in all three.
             stays = self.held[place] == distinct
-            self.held_begin[place[stays]], self.held_counts[place[stays]] = at[stays], n[stays]
-        return begin, counts
+            self.held_span[place[stays]] = new[stays]
+        return span >> 32, span & 0xFFFFFFFF
 
     def _encoded(self, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lists = list(map(self.encode, map(raw.__getitem__, map(slice, starts.tolist(), stops.tolist()))))
         counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         first, self.size = self.size, self.size + int(counts.sum())
         if self.size > len(self.ids):
-            self.ids = np.concatenate([self.ids[:first], np.empty(2 * self.size - first, np.uint32)])
+            # Room for as many again, but not for more than are kept.
+            room = max(self.size, min(2 * self.size, self.LIMIT + (1 << 16)))
+            self.ids = np.concatenate([self.ids[:first], np.empty(room - first, np.uint32)])
         self.ids[first : self.size] = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=self.size - first)
         return first + np.cumsum(counts) - counts, counts
 

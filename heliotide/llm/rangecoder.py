@@ -26,7 +26,7 @@ BLOCK = 4096
 SMALLEST_BLOCK = 256
 LANES = 4096
 _MAGIC = b"HTID"
-_VERSION = 1
+_VERSION = 2
 _HEAD = struct.Struct("<4sHHIQ")
 _CRC = struct.Struct("<I")
 
@@ -36,7 +36,9 @@ _LOW, _HIGH = 16, _ONE - 64
 _TABLE = 11
 _SURE = 7
 _RATE = 5
-_SHORT = 1 << 32
+_WORD = 24
+_SHORT = 1 << _WORD
+_REST = _SHORT - 1
 _SPAN = np.int32(_HIGH - _LOW)
 _STEP = np.int32(512)
 _HASH = np.uint32(0x9E3779B1)
@@ -55,7 +57,7 @@ def _turned(x: np.ndarray) -> np.ndarray:
 
 
 class _Encoder:
-    """Low ends and ranges of 48 bits; a range below 32 bits gives out a word of 16."""
+    """Low ends and ranges of 48 bits; a range below 24 bits gives out a word of as many."""
 
     def __init__(self, lanes: int, steps: int):
         self.low = np.zeros(lanes, np.int64)
@@ -64,6 +66,7 @@ class _Encoder:
         self.words = np.zeros((max(64, steps), lanes), np.uint32)
         self.most = 0
         self.room = np.empty((3, lanes), np.int64)
+        self.ratio = np.empty(lanes)
 
     def _shift(self, lanes: np.ndarray) -> None:
         if self.most >= len(self.words):
@@ -73,22 +76,22 @@ class _Encoder:
         self.most += 1
         at, low = self.at[lanes], self.low[lanes]
         # Bit 48 is a carry into the word before; it is settled at the end.
-        self.words.reshape(-1)[at * len(self.low) + lanes] = low >> 32
+        self.words.reshape(-1)[at * len(self.low) + lanes] = low >> _WORD
         self.at[lanes] = at + 1
-        self.low[lanes] = (low & 0xFFFFFFFF) << 16
+        self.low[lanes] = (low & _REST) << _WORD
 
     def settle(self, lanes: np.ndarray | None = None) -> None:
         short = np.flatnonzero(self.range < _SHORT) if lanes is None else lanes[self.range[lanes] < _SHORT]
         while len(short):
             self._shift(short)
-            left = self.range[short] << 16
+            left = self.range[short] << _WORD
             self.range[short] = left
             short = short[left < _SHORT]
 
-    def event(self, first: np.ndarray, second: np.ndarray, event: np.ndarray) -> np.ndarray:
+    def event(self, first: np.ndarray, second: np.ndarray, past: np.ndarray, far: np.ndarray) -> None:
+        """``past`` the first event, ``far``: past the second one too."""
         m = len(first)
         whole, (unit, start, stop) = self.range[:m], self.room[:, :m]
-        past, far = event > 0, event > 1
         between = second - first
         np.right_shift(whole, _BITS, out=unit)
         np.multiply(first * past + between * far, unit, out=start)
@@ -99,7 +102,18 @@ class _Encoder:
         stop += unit
         np.subtract(stop, start, out=whole)
         self.low[:m] += start
-        return event
+
+    def parts(self, far: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
+        """``part`` of the lanes marked in ``far``, with totals as floats: quotients of numbers below 2**48 are cut right."""
+        m = len(far)
+        whole, ratio, (unit, low, left) = self.range[:m], self.ratio[:m], self.room[:, :m]
+        np.divide(whole, total, out=ratio)
+        unit[:] = ratio
+        np.multiply(start, unit, out=low)
+        low *= far
+        self.low[:m] += low
+        np.multiply(size, unit, out=left)
+        whole[:] = np.where(far, left, whole)
 
     def part(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
         unit = self.range[lanes] // total
@@ -108,12 +122,16 @@ class _Encoder:
 
     def finish(self) -> list[bytes]:
         every = np.arange(len(self.low))
-        for _ in range(3):
+        for _ in range(2):
             self._shift(every)
-        for row in range(int(self.at.max()) - 1, 0, -1):
-            self.words[row - 1] += self.words[row] >> 16
-        lines = _turned(self.words[: int(self.at.max())].astype("<u2"))
-        return [line[:n].tobytes() for line, n in zip(lines, self.at.tolist())]
+        rows = int(self.at.max())
+        for row in range(rows - 1, 0, -1):
+            self.words[row - 1] += self.words[row] >> _WORD
+        wide = _turned(self.words[:rows].astype("<u4", copy=False)).view(np.uint8)
+        lines = np.empty((len(wide), 3 * rows), np.uint8)
+        for k in range(3):
+            lines[:, k::3] = wide[:, k::4]
+        return [line[: 3 * n].tobytes() for line, n in zip(lines, self.at.tolist())]
 
 
 class _Decoder:
@@ -122,30 +140,36 @@ class _Decoder:
     def __init__(self, payloads: list[bytes]):
         lanes = len(payloads)
         # Empty words behind the last one keep a damaged block from reading outside.
-        self.words = np.frombuffer(b"".join(payloads) + b"\0" * 8, "<u2").astype(np.int32)
-        sizes = np.array([len(p) // 2 for p in payloads], np.int64)
+        narrow = np.frombuffer(b"".join(payloads) + b"\0" * 12, np.uint8)
+        wide = np.zeros((len(narrow) // 3, 4), np.uint8)
+        for k in range(3):
+            wide[:, k] = narrow[k::3][: len(wide)]
+        self.words = wide.reshape(-1).view("<u4").astype(np.int32, copy=False)
+        sizes = np.array([len(p) // 3 for p in payloads], np.int64)
         self.at = np.cumsum(sizes) - sizes
         self.value = np.zeros(lanes, np.int64)
         self.range = np.full(lanes, (1 << 48) - 1, np.int64)
         self.room = np.empty((4, lanes), np.int64)
+        self.ratio = np.empty(lanes)
         every = np.arange(lanes)
-        for _ in range(3):
+        for _ in range(2):
             self._shift(every)
 
     def _shift(self, lanes: np.ndarray) -> None:
         at = self.at[lanes]
-        self.value[lanes] = (self.value[lanes] << 16) | self.words.take(at, mode="clip")
+        self.value[lanes] = (self.value[lanes] << _WORD) | self.words.take(at, mode="clip")
         self.at[lanes] = at + 1
 
     settle = _Encoder.settle
 
-    def event(self, first: np.ndarray, second: np.ndarray, event: None) -> np.ndarray:
+    def event(self, first: np.ndarray, second: np.ndarray, past: np.ndarray, far: np.ndarray) -> None:
         m = len(first)
         whole, value, (unit, a, b, stop) = self.range[:m], self.value[:m], self.room[:, :m]
         np.right_shift(whole, _BITS, out=unit)
         np.multiply(first, unit, out=a)
         np.multiply(second, unit, out=b)
-        past, far = value >= a, value >= b
+        np.greater_equal(value, a, out=past)
+        np.greater_equal(value, b, out=far)
         np.subtract(whole, b, out=unit)
         unit *= far
         b -= a
@@ -157,7 +181,28 @@ class _Decoder:
         a += b
         np.subtract(stop, a, out=whole)
         value -= a
-        return past.view(np.int8) + far.view(np.int8)
+
+    def place(self, total: np.ndarray) -> np.ndarray:
+        """Where the code of every lane points among its ``total`` (floats, as in ``parts``); the unit is in ``room[0]``."""
+        m = len(total)
+        ratio, (unit, place) = self.ratio[:m], self.room[:2, :m]
+        np.divide(self.range[:m], total, out=ratio)
+        unit[:] = ratio
+        # Only lanes that need no place can have so small a range.
+        np.maximum(unit, 1, out=unit)
+        np.divide(self.value[:m], unit, out=ratio)
+        place[:] = ratio
+        return place
+
+    def parts(self, far: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Goes on in the part that ``place`` found, in the lanes marked in ``far``."""
+        m = len(far)
+        whole, (unit, _, low, left) = self.range[:m], self.room[:, :m]
+        np.multiply(start, unit, out=low)
+        low *= far
+        self.value[:m] -= low
+        np.multiply(size, unit, out=left)
+        whole[:] = np.where(far, left, whole)
 
 
 class _Order0:
@@ -166,7 +211,6 @@ class _Order0:
     def __init__(self, lanes: int, ids: np.ndarray | None):
         self.lanes, self.ids = lanes, ids
         self.window = 0
-        self.total = np.ones(lanes, np.int64)
 
     def recount(self, before: np.ndarray, step: int) -> None:
         """``before`` is (step, lane): all ids so far."""
@@ -175,62 +219,70 @@ class _Order0:
         edge = np.ones((self.lanes, window), bool)
         edge[:, 1:] = some[:, 1:] != some[:, :-1]
         # An id is there once if it and what follows it both start a run.
-        self.new = 1 + np.count_nonzero(edge[:, :-1] & edge[:, 1:], axis=1) + edge[:, -1]
+        self.new = (1 + np.count_nonzero(edge[:, :-1] & edge[:, 1:], axis=1) + edge[:, -1]).astype(np.int32)
         first = np.flatnonzero(edge)
         del edge
         size = np.diff(first, append=self.lanes * window).astype(np.int32)
         lane = first // window
         start = (first - lane * window).astype(np.int32)
         lane = lane.astype(np.int32)
-        self.window, self.first, self.total = window, step, window + self.new
+        self.window, self.first, self.total = window, step, (window + self.new).astype(np.float64)
         some = some.ravel()
         if self.ids is None:
             self.known = np.repeat(size.astype(np.int64) << 32 | start << 16 | some[first], size)
+            self.begin = np.arange(self.lanes) * window
             return
-        # What each id of the next steps will need; a few lanes share a table over all ids.
-        ahead = _turned(self.ids[step : step + min(step, _RECOUNT)]).astype(np.int64)
+        # What each id of the next steps will need; a few lanes share a table over all ids. New ids lie behind the window.
+        ahead = _turned(self.ids[step : step + min(step, _RECOUNT)])
         met = (lane % _SHARED << 16) + some[first]
         need = start << 12 | size
+        behind = (window << 12 | self.new)[:, None]
         cut = np.searchsorted(lane, np.arange(0, self.lanes + _SHARED, _SHARED))
         table = np.zeros(_SHARED << 16, np.int32)
         out = np.empty(ahead.shape, np.int32)
+        place = np.empty((_SHARED, ahead.shape[1]), np.int64)
         for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-            here = ahead[k * _SHARED : (k + 1) * _SHARED]
+            rows = slice(k * _SHARED, min((k + 1) * _SHARED, self.lanes))
+            here = place[: rows.stop - rows.start]
+            np.add(ahead[rows], (np.arange(len(here)) << 16)[:, None], out=here)
             table[met[a:b]] = need[a:b]
-            out[k * _SHARED : (k + 1) * _SHARED] = table[here + (np.arange(len(here)) << 16)[:, None]]
+            table.take(here, out=out[rows], mode="clip")
             table[met[a:b]] = 0
+            out[rows] += (out[rows] == 0) * behind[rows]
         self.ahead = _turned(out)
 
-    def encode(self, coder: _Encoder, lanes: np.ndarray, now: np.ndarray, step: int) -> None:
+    def encode(self, coder: _Encoder, far: np.ndarray, now: np.ndarray, step: int) -> None:
+        """The ids ``now`` of the lanes marked in ``far``."""
         if self.window:
-            ahead = self.ahead[step - self.first, lanes]
-            size = ahead & 0xFFF
-            new = np.flatnonzero(size == 0)
+            ahead = self.ahead[step - self.first, : len(far)]
             start = ahead >> 12
-            start[new] = self.window
-            size[new] = self.new[lanes[new]]
-            coder.part(lanes, start, size, self.total[lanes])
-            lanes, now = lanes[new], now[new]
+            coder.parts(far, start, ahead & 0xFFF, self.total[: len(far)])
+            far = far & (start == self.window)
+        lanes = np.flatnonzero(far)
         if len(lanes):
             coder.settle(lanes)
-            coder.part(lanes, now, 1, 1 << 16)
+            coder.part(lanes, now[lanes], 1, 1 << 16)
 
-    def decode(self, coder: _Decoder, lanes: np.ndarray) -> np.ndarray:
+    def decode(self, coder: _Decoder, far: np.ndarray, now: np.ndarray) -> None:
+        """Puts the ids of the lanes marked in ``far`` into ``now``."""
         if not self.window:
-            return self._bare(coder, lanes)
-        total, value = self.total[lanes], coder.value[lanes]
-        unit = coder.range[lanes] // total
-        place = np.minimum(value // unit, total - 1)
-        new = np.flatnonzero(place >= self.window)
-        known = self.known[lanes * self.window + np.minimum(place, self.window - 1)]
-        now, start, size = known & 0xFFFF, known >> 16 & 0xFFFF, known >> 32
-        start[new] = self.window
-        size[new] = total[new] - self.window
-        coder.value[lanes] = value - start * unit
-        coder.range[lanes] = size * unit
-        if len(new):
-            now[new] = self._bare(coder, lanes[new])
-        return now
+            lanes = np.flatnonzero(far)
+        else:
+            m, last = len(far), self.window - 1
+            place = coder.place(self.total[:m])
+            lanes = np.flatnonzero(far & (place > last))
+            np.minimum(place, last, out=place)
+            # Lanes that need nothing look at their first place, which is near.
+            place *= far
+            place += self.begin[:m]
+            known = self.known.take(place, mode="clip")
+            lower, size = known.astype(np.int32), known >> 32
+            now[:] = np.where(far, lower & 0xFFFF, now)
+            start = lower >> 16
+            start[lanes], size[lanes] = self.window, self.new.take(lanes)
+            coder.parts(far, start, size)
+        if len(lanes):
+            now[lanes] = self._bare(coder, lanes)
 
     @staticmethod
     def _bare(coder: _Decoder, lanes: np.ndarray) -> np.ndarray:
@@ -244,10 +296,10 @@ class _Order0:
 
 
 def _rooms(lanes: int) -> tuple[np.ndarray, ...]:
-    """Arrays for what a step computes per order and lane: two wide ones, ten narrow ones, hash bits, hits, and sameness per lane."""
+    """Arrays for what a step computes per order and lane: two wide ones, ten narrow ones, hash bits, hits, and three masks per lane."""
     return (
         np.empty((2, 2, lanes), np.int64), np.empty((10, 2, lanes), np.int32), np.empty((2, lanes), np.uint32),
-        np.empty((2, lanes), bool), np.empty(lanes, bool),
+        np.empty((2, lanes), bool), np.empty((3, lanes), bool),
     )
 
 
@@ -262,20 +314,25 @@ def _run(coder: _Encoder | _Decoder, ids: np.ndarray | None, lengths: np.ndarray
     # Weights lie under the states of order 2, so the first half is not used.
     weight = np.full(2 * lanes * (_SURE + 1), _ONE // 8 * 5, np.int32)
     every = np.arange(2 * lanes).reshape(2, lanes)
-    base, sure0 = every << _TABLE, every * (_SURE + 1)
+    base, sure0 = (np.arange(lanes) << _TABLE + 1) + np.array([[0], [8]]), every * (_SURE + 1)
     mixed = np.zeros((2, lanes), np.uint32)
     m = lanes
     # Every step works in the same arrays, and masks are multiplied: fresh arrays and choices by mask cost more than the sums.
-    wide, narrow, key, hit, same = _rooms(m)
+    wide, narrow, key, hit, masks = _rooms(m)
     for step in range(steps):
         if step == int(lengths[-1]):
             m -= 1
             base, sure0, mixed = (np.ascontiguousarray(x[:, :m]) for x in (base, sure0, mixed))
-            wide, narrow, key, hit, same = _rooms(m)
+            wide, narrow, key, hit, masks = _rooms(m)
         if step >= _FIRST_COUNT and (step & (step - 1) == 0 or step % _RECOUNT == 0):
             order0.recount(decoded, step)
         (at, state), (slot, named, sure, chance, change), (w, first, second, mass, now) = wide, narrow[:5], narrow[5:, 0]
-        np.right_shift(mixed, np.uint32(32 - _TABLE), out=key)
+        same, past, far = masks
+        np.right_shift(mixed[0], np.uint32(21), out=key[0])
+        np.bitwise_and(key[0], np.uint32(0x7F8), out=key[1])
+        key[0] += key[1]
+        key[1] <<= 1
+        key[1] += mixed[1] >> np.uint32(29)
         np.add(base, key, out=at)
         table.take(at, out=slot, mode="clip")
         np.bitwise_and(slot, 0xFFFF, out=named)
@@ -298,19 +355,16 @@ def _run(coder: _Encoder | _Decoder, ids: np.ndarray | None, lengths: np.ndarray
         if ids is not None:
             now[:] = ids[step, :m]
             np.equal(named, now, out=hit)
-            event = 2 - np.maximum(hit[0].view(np.int8), hit[1].view(np.int8) << 1)
-            coder.event(first, second, event)
-            neither = np.flatnonzero(event == 2)
-            if len(neither):
-                order0.encode(coder, neither, now[neither], step)
+            np.logical_not(hit[1], out=past)
+            np.greater(past, hit[0], out=far)
+            coder.event(first, second, past, far)
+            order0.encode(coder, far, now, step)
         else:
-            event = coder.event(first, second, None)
-            np.subtract(named[1], named[0], out=now)
-            now *= event == 0
-            now += named[0]
-            neither = np.flatnonzero(event == 2)
-            if len(neither):
-                now[neither] = order0.decode(coder, neither)
+            coder.event(first, second, past, far)
+            np.subtract(named[0], named[1], out=now)
+            now *= past
+            now += named[1]
+            order0.decode(coder, far, now)
             decoded[step, :m] = now
             np.equal(named, now, out=hit)
         coder.settle()
@@ -371,7 +425,7 @@ def encode(ids: np.ndarray, block: int | None = None) -> bytes:
         lengths[-1] = len(some) - block * (len(lengths) - 1)
         padded = np.zeros(len(lengths) * block, np.uint16)
         padded[: len(some)] = some
-        coder = _Encoder(len(lengths), block // 2)
+        coder = _Encoder(len(lengths), block // 4 * 3)
         _run(coder, _turned(padded.reshape(len(lengths), block)), lengths)
         payloads += coder.finish()
     table = np.array(

@@ -109,3 +109,16 @@ def test_pieces_without_a_place_are_encoded_and_forgotten_in_time(monkeypatch):
         assert got == [known.encode(raw[a:b]) for a, b in zip(starts, stops)]
         assert known.size <= 50 + sum(map(len, got))
     assert len(known.held) == 8
+
+
+def test_many_pieces_are_remembered():
+    """Made-up words are many; most of those met before need not be encoded again."""
+    known = bpe._Known(None)
+    anew = []
+    known.encode = lambda piece: (anew.append(piece), [1, 2, 3, 4])[1]
+    hashes = np.random.default_rng(0).integers(0, 1 << 64, 400_000, np.uint64)
+    for _ in range(2):
+        anew.clear()
+        for part in np.array_split(hashes, 40):
+            known.find(part, b"abcd", np.zeros(len(part), np.int64), np.full(len(part), 4))
+    assert len(anew) < 0.4 * len(hashes)

@@ -51,6 +51,42 @@ def test_each_block_starts_anew():
     assert (table[1] == table[2]).all() and table[0, 0] != table[1, 0]
 
 
+@pytest.mark.parametrize("share", [0.001, 0.05, 0.6])
+def test_surprises_among_sure_ids_come_back(share):
+    """Events of the least chance leave small ranges, which the quotients must stand."""
+    rng = np.random.default_rng(int(share * 1000))
+    ids = np.tile(rng.integers(0, 60000, 23), 2000)
+    odd = np.flatnonzero(rng.random(len(ids)) < share)
+    ids[odd] = np.where(rng.random(len(odd)) < 0.5, rng.integers(0, 1 << 16, len(odd)), ids[rng.integers(0, 23, len(odd))])
+    with np.errstate(all="raise"):
+        assert (rangecoder.decode(rangecoder.encode(ids.astype(np.uint32), 4096)) == ids).all()
+
+
+def test_code_leaves_in_words_of_three_bytes(monkeypatch):
+    """Giving out words costs several passes over the lanes that do, so they are few."""
+    given, shift = [], rangecoder._Encoder._shift
+    monkeypatch.setattr(rangecoder._Encoder, "_shift", lambda self, lanes: (given.append(len(lanes)), shift(self, lanes))[1])
+    code = rangecoder.encode(np.random.default_rng(4).integers(0, 50_000, 40_000), 4096)
+    assert 3 * sum(given) <= len(code) < 2.2 * 40_000
+
+
+def test_both_orders_look_into_one_cache_line(monkeypatch):
+    """Two lines a lane and step were a fifth of the time of reading."""
+    lines, add = [], np.add
+
+    def spied(*args, **named):
+        out = add(*args, **named)
+        if named.get("out") is not None and out.shape == (2, 10) and out.dtype == np.int64:
+            lines.append(out // 16)
+        return out
+
+    monkeypatch.setattr(rangecoder.np, "add", spied)
+    rangecoder.encode(np.random.default_rng(5).integers(0, 50_000, 40_000), 4096)
+    # Tables have sixteen numbers a line; states, which are other sums, do not count.
+    at = lines[::2]
+    assert len(at) > 3000 and all((x[0] == x[1]).all() for x in at)
+
+
 @pytest.mark.parametrize("shape", [(1, 1), (3, 70), (64, 5), (33, 1000)])
 def test_turned_arrays(shape):
     x = np.random.default_rng(1).integers(0, 1 << 16, shape).astype(np.uint16)
