@@ -44,7 +44,7 @@ _STEP = np.int32(512)
 _HASH = np.uint32(0x9E3779B1)
 _RIGHT = np.array([_LOW * 8, 6000, 12000, 18000, 22000, 25000, 27000, 29000], np.int32)
 _FIRST_COUNT, _WINDOW, _RECOUNT = 64, 2048, 1024
-_SHARED = 16
+_SHARED, _GROUP = 16, 64
 _STRIP = 32
 
 
@@ -211,45 +211,55 @@ class _Order0:
     def __init__(self, lanes: int, ids: np.ndarray | None):
         self.lanes, self.ids = lanes, ids
         self.window = 0
+        self.new = np.empty(lanes, np.int32)
+        self.room = None
+        self.table = None if ids is None else np.zeros(_SHARED << 16, np.int32)
 
     def recount(self, before: np.ndarray, step: int) -> None:
-        """``before`` is (step, lane): all ids so far."""
+        """``before`` is (step, lane): all ids so far. A few lanes at a time, so that what is between stays in the cache."""
         window = min(_WINDOW, step)
-        some = np.sort(_turned(before[step - window : step]).astype(np.uint32), axis=1)
-        edge = np.ones((self.lanes, window), bool)
+        self.window, self.first = window, step
+        if self.ids is None:
+            if self.room is None:
+                self.room = np.empty(self.lanes * _WINDOW, np.int64)
+            self.known = self.room[: self.lanes * window]
+            self.begin = np.arange(self.lanes) * window
+        else:
+            self.ahead = np.empty((len(self.ids[step : step + min(step, _RECOUNT)]), self.lanes), np.int32)
+        for a in range(0, self.lanes, _GROUP):
+            self._recount(before[step - window : step, a : a + _GROUP], slice(a, min(a + _GROUP, self.lanes)))
+        self.total = (window + self.new).astype(np.float64)
+
+    def _recount(self, before: np.ndarray, group: slice) -> None:
+        window, lanes = before.shape
+        some = np.sort(_turned(before).astype(np.uint32), axis=1)
+        edge = np.ones((lanes, window), bool)
         edge[:, 1:] = some[:, 1:] != some[:, :-1]
         # An id is there once if it and what follows it both start a run.
-        self.new = (1 + np.count_nonzero(edge[:, :-1] & edge[:, 1:], axis=1) + edge[:, -1]).astype(np.int32)
+        self.new[group] = 1 + np.count_nonzero(edge[:, :-1] & edge[:, 1:], axis=1) + edge[:, -1]
         first = np.flatnonzero(edge)
-        del edge
-        size = np.diff(first, append=self.lanes * window).astype(np.int32)
+        size = np.diff(first, append=lanes * window)
         lane = first // window
-        start = (first - lane * window).astype(np.int32)
-        lane = lane.astype(np.int32)
-        self.window, self.first, self.total = window, step, (window + self.new).astype(np.float64)
-        some = some.ravel()
+        start = first - lane * window
+        some = some.ravel()[first].astype(np.int64)
         if self.ids is None:
-            self.known = np.repeat(size.astype(np.int64) << 32 | start << 16 | some[first], size)
-            self.begin = np.arange(self.lanes) * window
+            self.known[group.start * window : group.stop * window] = np.repeat(size << 32 | start << 16 | some, size)
             return
-        # What each id of the next steps will need; a few lanes share a table over all ids. New ids lie behind the window.
-        ahead = _turned(self.ids[step : step + min(step, _RECOUNT)])
-        met = (lane % _SHARED << 16) + some[first]
-        need = start << 12 | size
-        behind = (window << 12 | self.new)[:, None]
-        cut = np.searchsorted(lane, np.arange(0, self.lanes + _SHARED, _SHARED))
-        table = np.zeros(_SHARED << 16, np.int32)
+        # What each id of the next steps will need; some lanes share a table over all ids. New ids lie behind the window.
+        ahead = _turned(self.ids[self.first : self.first + len(self.ahead), group])
+        met = (lane % _SHARED << 16) + some
+        need = (start << 12 | size).astype(np.int32)
+        behind = (window << 12 | self.new[group])[:, None]
+        cut = np.searchsorted(lane, np.arange(0, lanes + _SHARED, _SHARED))
         out = np.empty(ahead.shape, np.int32)
-        place = np.empty((_SHARED, ahead.shape[1]), np.int64)
         for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-            rows = slice(k * _SHARED, min((k + 1) * _SHARED, self.lanes))
-            here = place[: rows.stop - rows.start]
-            np.add(ahead[rows], (np.arange(len(here)) << 16)[:, None], out=here)
-            table[met[a:b]] = need[a:b]
-            table.take(here, out=out[rows], mode="clip")
-            table[met[a:b]] = 0
-            out[rows] += (out[rows] == 0) * behind[rows]
-        self.ahead = _turned(out)
+            rows = slice(k * _SHARED, min((k + 1) * _SHARED, lanes))
+            here = (np.arange(rows.stop - rows.start) << 16)[:, None] + ahead[rows]
+            self.table[met[a:b]] = need[a:b]
+            self.table.take(here, out=out[rows], mode="clip")
+            self.table[met[a:b]] = 0
+        out += (out == 0) * behind
+        self.ahead[:, group] = _turned(out)
 
     def encode(self, coder: _Encoder, far: np.ndarray, now: np.ndarray, step: int) -> None:
         """The ids ``now`` of the lanes marked in ``far``."""

@@ -58,6 +58,8 @@ def unpack(segment: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def _tokenised(bounds: np.ndarray, null_parts: int, end_id: int, folder: str | None):
     """``part, doc_id, tie, ids``: ids as 16-bit numbers; equal doc_ids may span several parts, in the order of ``tie``."""
 
+    end = np.array([end_id], "<u2").tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids = batch.column("doc_id")
@@ -66,14 +68,8 @@ def _tokenised(bounds: np.ndarray, null_parts: int, end_id: int, folder: str | N
                     raise ValueError(f"ids above {rangecoder.MOST_ID} do not fit this format")
                 # Each text's ids and the closing one behind them.
                 n = last - row
-                ends = offsets[1:] + np.arange(n)
-                own_id = np.ones(len(ids) + n, dtype=bool)
-                own_id[ends] = False
-                out = np.full(len(ids) + n, end_id, dtype="<u2")
-                out[own_id] = ids
-                at = np.append(0, ends + 1) * 2
-                raw = memoryview(out.tobytes())
-                values = [bytes(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                raw, at = ids.astype("<u2").tobytes(), (2 * offsets).tolist()
+                values = [raw[a:b] + end for a, b in zip(at[:-1], at[1:])]
                 tie = np.array([zlib.crc32(v) for v in values], dtype=np.int64)
                 own = doc_ids.slice(row, n)
                 known = np.asarray(own.is_valid())
